@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, mixing, packing, simhash
+from . import bottomk, mixing, packing, preference, simhash, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.formatted(preference.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
 def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -32,5 +36,19 @@ def op8_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_cube_mixing, op5_best_two_fit, op7_bottom_k_fingerprints, op8_simhash_balls)}
-ORACLES: dict[str, str] = {}
+def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.captures(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op3_cube_mixing, op5_best_two_fit, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge)}
+ORACLES: dict[str, str] = {
+    "op1_preference_format": preference.ORACLE,
+    "op9_warc_index_merge": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON f.digest = p.digest""",
+}
