@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, mixing, packing, preference, simhash, warc
-from .common import table
+from . import bottomk, mixing, packing, preference, quality, simhash, toxicity, vantage, warc
+from .common import doc_crc, table
 
 
 def tokenizer() -> str:
@@ -19,10 +19,25 @@ def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.formatted(preference.swapped_replies(table(spark, sf_dir, "conversations")))
 
 
+def op2_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding"))
+    return vantage.nearest(rows.filter(F.pmod("vec_id", F.lit(20)) == 0), rows, k=20)
+
+
 def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def fourth_held_out(doc_id):
+    return F.pmod(doc_crc(doc_id), F.lit(4)) == 2
+
+
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, lambda i: ~fourth_held_out(i))
+    return quality.scored(docs, model).select("doc_id", fourth_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -41,9 +56,27 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op3_cube_mixing, op5_best_two_fit, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge)}
+def fifth_held_out(doc_id):
+    return F.pmod(doc_crc(doc_id), F.lit(5)) == 0
+
+
+def op10_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, lambda i: ~fifth_held_out(i))
+    return toxicity.scored(docs, model).select("doc_id", fifth_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vantage_trees, op3_cube_mixing, op4_rule_ensemble, op5_best_two_fit, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge, op10_recurrent_toxicity)}
 ORACLES: dict[str, str] = {
     "op1_preference_format": preference.ORACLE,
+    "op2_vantage_trees": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_warc_index_merge": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY digest)
