@@ -72,7 +72,11 @@ def page(seed: int) -> tuple[str, set[str]]:
         out = [f"<h1>{good(_sentence(r, 2, 9)[:-1])}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice([1, 2, 3, 4, 6, 10, 18])):
             kind = r.random()
-            if kind < 0.62:
+            if kind < 0.1:
+                out.append(f"<p>{good(_words(r, r.randint(1, 3)).capitalize() + '.')}</p>")
+            elif kind < 0.17:
+                out.append(f"<p><b>{good(_paragraph(r))}<br>\n")
+            elif kind < 0.62:
                 out.append(f"<p>{good(_paragraph(r))}" + r.choice(["</p>", "</p>", "</p>", "\n"]))
             elif kind < 0.68:
                 one, two = _sentence(r), _sentence(r)

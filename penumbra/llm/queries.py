@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, mixing, packing, preference, quality, simhash, toxicity, vantage, warc
+from . import bottomk, dom, layouts, mixing, packing, preference, quality, simhash, toxicity, vantage, warc
 from .common import doc_crc, table
 
 
@@ -42,6 +42,14 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
+#: Labelled pages that the field is fitted to.
+LAYOUT_PAGES = 600
+
+
+def op6_dom_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.extracted(table(spark, sf_dir, "pages"), dom.fit(layouts.pages(LAYOUT_PAGES)))
+
+
 def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.edits(table(spark, sf_dir, "documents"))
 
@@ -66,7 +74,7 @@ def op10_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", fifth_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vantage_trees, op3_cube_mixing, op4_rule_ensemble, op5_best_two_fit, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge, op10_recurrent_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vantage_trees, op3_cube_mixing, op4_rule_ensemble, op5_best_two_fit, op6_dom_field, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge, op10_recurrent_toxicity)}
 ORACLES: dict[str, str] = {
     "op1_preference_format": preference.ORACLE,
     "op2_vantage_trees": """
