@@ -13,8 +13,10 @@ lengths below 1 or above the capacity are an error.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,31 +30,78 @@ CAPACITY = 2048
 END = 0
 #: Documents a group gets, about; their pieces' lengths are what it holds.
 GROUP_ROWS = 25_000
-#: Distinct chunks of text whose ids a task keeps at once.
-CACHE_CHUNKS = 400_000
+#: Distinct chunks of text, and words in them, whose ids a worker keeps at once: about 300 MB.
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 800_000
+#: A character that is a word of its own and hardly occurs in texts.
+MARK = "\x01"
+#: Chunks whose lower case and words need no Unicode tables: printable ASCII and the letters of Latin-1.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+#: The vocabulary's words within plain lower-case chunks (a fixed pattern of the vocabulary).
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 
 
 class Tokenizing:
-    """Ids of whole texts. Chunks between white space are encoded once: no token of this kind of vocabulary spans it."""
+    """Ids of whole texts as little-endian bytes, from those of chunks between white space and of the words in them.
+
+    No token of this kind of vocabulary spans white space or two of its words, so each distinct one is encoded once.
+    Chunks of plain characters are split here; any other goes to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder, self.known, self.words = Tokenizer.from_file(path), {}, {}
+        mark = self.encoder.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """The ids of each string; many are encoded as one text, with marks between them."""
+        fast = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
+        if self.mark is None or any(MARK in w for w in new):
+            return [as_bytes(e.ids) for e in fast(new, add_special_tokens=False)]
+        out: list[bytes] = []
+        for lo in range(0, len(new), 4000):
+            ids = np.array(fast([f" {MARK} ".join(new[lo : lo + 4000])], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        known, words = self.known, self.words
+        plain = [c for c in new if PLAIN(c) and "<|" not in c]
+        parts = [SPLIT(c) for c in map(str.lower, plain)]
+        if fresh := [w for w in set(chain.from_iterable(parts)) if w not in words]:
+            words.update(zip(fresh, self._encode(fresh), strict=True))
+        get = words.__getitem__
+        known.update(zip(plain, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
+        if len(plain) < len(new):
+            other = [c for c in new if c not in known]
+            known.update(zip(other, (as_bytes(e.ids) for e in self.encoder.encode_batch(other, add_special_tokens=False)), strict=True))
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        # space, tab, line feed, carriage return: white space to any pattern
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
-        for text in texts:
-            # space, tab, line feed, carriage return: white space to any pattern
-            chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if new := {c for c in chunks if c not in known}:
-                if len(known) > CACHE_CHUNKS:
-                    known.clear()
-                    new = set(chunks)
-                new = list(new)
-                known.update(zip(new, (tuple(e.ids) for e in self.encoder.encode_batch(new, add_special_tokens=False)), strict=True))
-            yield np.fromiter(chain(chain.from_iterable(map(known.__getitem__, chunks)), (END,)), "<u4")
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if new := [c for c in set(chain.from_iterable(split)) if c not in known]:
+            self._learn(new)
+        end = as_bytes([END])
+        for chunks in split:
+            yield np.frombuffer(b"".join(map(known.__getitem__, chunks)) + end, "<u4")
+
+
+@lru_cache(maxsize=1)
+def warm(path: str) -> Tokenizing:
+    """What a worker process has encoded so far, over all its tasks."""
+    return Tokenizing(path)
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -61,11 +110,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, nth = Tokenizing(path), 0
+        make, nth = warm(path), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
+            for lo in range(0, b.num_rows, 1000):
                 rows = []
-                part = b.slice(lo, 500)
+                part = b.slice(lo, 1000)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), make.ids(part.column("text").to_pylist()), strict=True):
                     for i, at in enumerate(range(0, len(ids), capacity)):
                         own = ids[at : at + capacity]
