@@ -16,7 +16,7 @@ PATTERN = {
     "IBAN_CODE": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){0,200}[ ]?[A-Z0-9]{0,3}\b",
     "CREDIT_CARD": r"\b(?:\d[ -]?){12,18}\d\b",
     "PHONE_NUMBER": r"\+\d{1,3}[ .-]?\d{1,4}(?:[ .-]?\d{1,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\b0[1-9](?:[ .-]?\d\d){4}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b",
-    "EU_VAT": r"\b(?i:" + "|".join(COUNTRIES) + r")[  ]?[A-Za-z0-9]{2,13}\b",
+    "EU_VAT": r"\b(?i:" + "|".join(COUNTRIES) + r")[ \u00a0]?[A-Za-z0-9]{2,13}\b",
     "FR_SIRET": r"\b\d{3}[ .]?\d{3}[ .]?\d{3}[ .]?\d{5}\b",
     "FR_SIREN": r"\b\d{3}[ .]?\d{3}[ .]?\d{3}\b",
 }
