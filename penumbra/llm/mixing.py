@@ -4,8 +4,8 @@ Each source gets a target number of words; a document's expected copies are targ
 limit. Whole copies are certain, the fraction is an inclusion probability. The flight phase moves the probabilities
 of three documents at a time along the null space of two balance constraints (their number and their words), until
 one of them is 0 or 1 and the next document takes its place; at most two documents of a chunk stay fractional, beside twelve of
-spread sizes that are kept for landing. The fractional rest of a source's chunks flies again in the same way, and its
-last fourteen documents land on the whole numbers that bring the source's words nearest to its target.
+spread sizes that are kept for landing. The fractional rest of a source's chunks flies again in the same way, in
+chunks as long as one task would get too many, and its last fourteen documents land on the whole numbers that bring the source's words nearest to its target.
 
 A source of any size is flown in chunks of a bounded number of documents, dealt by a hash. The driver learns one
 number a round of the water-filling that sets targets.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Documents that fly together at most, about.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2000
 MOST_COPIES = 3
 #: Sources up to which their one row each is broadcast.
 SMALL_SOURCES = 10_000
@@ -137,35 +137,43 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = M
     sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("row")))
     share = cut(targets(sizes, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    dealt = (
-        sizes.join(F.broadcast(share) if share.count() <= SMALL_SOURCES else share, sizes["source"].eqNullSafe(share["source"]))
-        .select("doc_id", sizes["source"], "size", "row", "source_size", "target", "n", rate.alias("rate"))
-        .withColumn("chunk", F.pmod("row", F.ceil(F.col("n") / chunk_rows)))
-    )
-    fields = "doc_id long, source string, size long, row long, source_size long, target double, whole int, p double, owed double"
-    names = [c.split()[0] for c in fields.split(", ")]
+    whole = F.floor(rate + EPS).cast("int")
+    p = F.greatest(F.lit(0.0), rate - whole)
+    fields = ["doc_id", "source", "size", "row", "source_size", "target", "whole", "p", "owed"]
+    flying = sizes.join(F.broadcast(share) if share.count() <= SMALL_SOURCES else share, sizes["source"].eqNullSafe(share["source"])).select("doc_id", sizes["source"], "size", "row", "source_size", "target", whole.alias("whole"), p.alias("p"), (p * F.col("size")).alias("owed"), "n")
+    kinds = "doc_id long, source string, size long, row long, source_size long, target double, whole int, p double, owed double"
 
     def fly(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["row", "doc_id"], kind="stable", ignore_index=True)
-        whole = np.floor(f["rate"] + EPS).astype("int32")
-        start = np.clip(f["rate"] - whole, 0, 1).to_numpy()
-        size = f["size"].to_numpy()
+        start, size = f["p"].to_numpy(), f["size"].to_numpy()
         p = fly_all_but(start, size, held(start, size))
-        # what the chunk's fractional documents owe: its part of the target less what is decided
+        # those still fractional owe what the chunk owed less what is decided
         left = (p > 0) & (p < 1)
-        owed = float((start * size).sum() - (p * size)[~left].sum())
-        return f.assign(whole=whole, p=p, owed=np.where(left, owed / max(1, left.sum()), 0.0))[names]
-
-    flown = cut(dealt.groupBy("source", "chunk").applyInPandas(fly, fields))
+        owed = float(f["owed"].sum() - (p * size)[~left].sum())
+        return f.assign(p=p, owed=np.where(left, owed / max(1, left.sum()), 0.0))[fields]
 
     def settle(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["row", "doc_id"], kind="stable", ignore_index=True)
         return f.assign(p=land(f["p"].to_numpy(), f["size"].to_numpy(), float(f["owed"].sum())))
 
     fractional = F.col("p").between(EPS, 1 - EPS)
-    landed = flown.filter(fractional).groupBy("source").applyInPandas(settle, fields)
+    done, level = [], 0
+    while True:
+        chunk = F.pmod(F.xxhash64("row", F.lit(level)), F.ceil(F.col("n") / chunk_rows))
+        flown = cut(flying.withColumn("chunk", chunk).select(*fields, "chunk").groupBy("source", "chunk").applyInPandas(fly, kinds))
+        done.append(flown.filter(~fractional))
+        rest = flown.filter(fractional)
+        each = rest.groupBy("source").agg(F.count("*").alias("n"))
+        if (each.agg(F.max("n")).first()[0] or 0) <= 4 * chunk_rows:
+            break
+        each, level = cut(each), level + 1
+        flying = rest.join(F.broadcast(each) if each.count() <= SMALL_SOURCES else each, rest["source"].eqNullSafe(each["source"])).select(*(rest[c] for c in fields), "n")
+    done.append(rest.groupBy("source").applyInPandas(settle, kinds))
+    all_done = done[0]
+    for more in done[1:]:
+        all_done = all_done.unionByName(more)
     copies = (F.col("whole") + F.round("p").cast("int")).cast("int")
-    return flown.filter(~fractional).unionByName(landed).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", "row")
+    return all_done.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", "row")
 
 
 def drawn(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
