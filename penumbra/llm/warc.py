@@ -2,7 +2,7 @@
 
 Writing: digests of all payloads are aggregated (partially before the shuffle) to the page that stands for each
 payload; the others of at least 100 bytes become revisit records without a payload. Records are written through
-Spark's own writer as plain .warc parts, so any store that Spark can write works and a lost task is written anew.
+Spark's own writer as compressed parts (places are those of the plain archive), so any store that Spark can write works and a lost task is written anew.
 
 Reading: archives are parsed by their length fields only, never by searching for marks that a payload may hold.
 
@@ -18,6 +18,8 @@ empty table gives an empty index. Tables without a capture time get one that cou
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import pickle
 import re
 import uuid
@@ -92,7 +94,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     ]
     # concat_ws leaves nulls out; the writer adds the record's last line feed itself
     text = F.concat(F.concat_ws(END, *fields), F.lit(END * 2), F.col("payload"), F.lit(END + "\r"))
-    r.select(text.alias("value")).write.option("maxRecordsPerFile", ARCHIVE_RECORDS).option("lineSep", "\n").text(folder)
+    r.select(text.alias("value")).write.option("maxRecordsPerFile", ARCHIVE_RECORDS).option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 def parsed(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -113,14 +115,12 @@ def parsed(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 def read_archives(spark: SparkSession, folder: str, with_block: bool = False) -> DataFrame:
     """The entries of all archives, an archive's sorted as one run; digests of responses are taken from their blocks."""
-    import hashlib
-
     page = lambda name: None if name == "<urn:page:none>" else int(name[10:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows, data = [], content.as_py()
+                rows, data = [], gzip.decompress(content.as_py())
                 for at, f, block in parsed(data):
                     back = f.get("WARC-Refers-To")
                     digest = hashlib.sha256(block).hexdigest()
@@ -135,7 +135,7 @@ def read_archives(spark: SparkSession, folder: str, with_block: bool = False) ->
     names = ENTRY + ["block"] * with_block
     texts = {"urlkey", "captured", "url", "archive", "record_type", "payload_digest", "block"}
     schema = pa.schema([(n, pa.string() if n in texts else pa.int64()) for n in names])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("path", "content")
     return files.mapInArrow(run, ENTRY_SCHEMA + ", block string" * with_block)
 
 
