@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 6000
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, BUCKETS, ATTEND = 8, 4, 1024, 8
-STEPS, BATCH, BAG, RATE = 260, 64, 4, 0.02
+STEPS, BATCH, BAG, RATE = 260, 64, 6, 0.008
 SEED = 7
 #: Evidence over which a word is known by itself.
-KNOWN = 0.1
+KNOWN = 0.3
 #: Distinct chunks of text whose gate inputs a task keeps; windows scored at once.
-CACHE_CHUNKS, BLOCK = 500_000, 4096
+CACHE_CHUNKS, BLOCK = 300_000, 4096
 THRESHOLD = 0.5
 _LETTERS = re.compile(r"[\W_]+")
 
@@ -75,7 +76,7 @@ class Words:
         """Log odds of label 1 from counts (.., 2), drawn towards 0 where counts are low."""
         total = c.sum(-1)
         odds = np.log((c[..., 1].clip(0) + 0.5) / (self.n[1] + 1)) - np.log((c[..., 0].clip(0) + 0.5) / (self.n[0] + 1))
-        return np.where(total > 0, np.clip(odds * total / (total + 4), -4, 6), 0.0) / 3
+        return np.where(total > 0, np.clip(odds * total / (total + 4), -4, 6), 0.0)
 
     def bucket(self, gram: str) -> int:
         return 1 + zlib.crc32(gram.encode()) % (BUCKETS - 1)
@@ -193,10 +194,12 @@ class Model:
 
 
 def summary(logits: np.ndarray) -> list[float]:
-    """A document's features: highest window, windows above zero, windows."""
+    """A document's features: highest window, mean of the three highest, windows above 0 and about -2, windows."""
     if not len(logits):
-        return [-6.0, 0.0, 0.0]
-    return [float(np.clip(logits.max(), -6, 12)), float(np.log1p((logits > 0).sum())), float(np.log1p(len(logits)))]
+        return [-6.0, -6.0, 0.0, 0.0, 0.0]
+    z = np.clip(logits.astype(float), -6, 12)
+    top = np.partition(z, len(z) - 3)[-3:] if len(z) > 3 else z
+    return [float(z.max()), float(top.mean()), float(np.log1p((z > 0).sum())), float(np.log1p(sigmoid(z + 2).sum())), float(np.log1p(len(z)))]
 
 
 class Scorer:
@@ -208,38 +211,57 @@ class Scorer:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}  # row of a chunk
-        self.alike: dict = {}  # row of a known word, or of the first and last characters of any other
-        self.rows = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.rows = np.zeros((4096, 6 * HIDDEN), np.float32)
+        self.ends: tuple[dict[str, int], dict[str, int]] = ({}, {})  # of first and of last characters
+        # largest evidence, sum, number and summed embeddings of the affixes of each
+        self.parts = [np.zeros((0, 3 + EMBED)), np.zeros((0, 3 + EMBED))]
+
+    def _parts(self, side: int, texts: list[str]) -> np.ndarray:
+        """Rows of self.parts for the first (side 0) or last (side 1) characters of words."""
+        ids, words, net = self.ends[side], self.model.words, self.model.net
+        if new := [t for t in set(texts) if t not in ids]:
+            made = np.zeros((len(new), 3 + EMBED))
+            for i, t in enumerate(new):
+                ids[t] = len(ids)
+                own = affixes(t, "") if side == 0 else affixes("", t)
+                e = words.evidence(words.counts[[words.ids.get(g, len(words.ids)) for g in own]]) if own else np.zeros(0)
+                made[i, :3] = (e.max() if own else -9, e.sum(), len(own))
+                if own:
+                    made[i, 3:] = net.w["char"][[words.bucket(g) for g in own]].sum(0)
+            self.parts[side] = np.concatenate([self.parts[side], made])
+        return self.parts[side][[ids[t] for t in texts]]
 
     def _learn(self, new: list[str]) -> None:
-        ids, alike, known, fresh = self.model.words.ids, self.alike, self.known, []
-        for c in new:
-            w = bare(c)
-            key = w if "=" + w in ids else (w[:5], w[-4:])
-            if (row := alike.get(key)) is None:
-                row = alike[key] = len(alike)
-                fresh.append(("=" + w if key is w else "", affixes(w[:5], w[-4:])))
-            known[c] = row
-        if fresh:
-            while len(alike) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(alike) - len(fresh) : len(alike)] = self.model.net.gates(self.model.net.vectors(*self.model.words.inputs(fresh)))
-
-    def window_logits(self, text: str | None) -> np.ndarray:
-        return self.all_logits([text])[0]
+        words, net = self.model.words, self.model.net
+        own = [bare(c) for c in new]
+        at = np.array([words.ids.get("=" + w, -1) for w in own])
+        e = np.where(at >= 0, words.evidence(words.counts[at]), 0.0)
+        e[np.abs(e) <= KNOWN] = 0
+        begin, end = self._parts(0, [w[:5] for w in own]), self._parts(1, [w[-4:] for w in own])
+        many = begin[:, 2] + end[:, 2]
+        x = np.zeros((len(new), 3 + 2 * EMBED))
+        x[:, 0] = e
+        x[:, 1] = np.where(many > 0, np.maximum(begin[:, 0], end[:, 0]), 0)
+        x[:, 2] = (begin[:, 1] + end[:, 1]) / np.maximum(1, many)
+        known = e != 0
+        x[known, 3 : 3 + EMBED] = net.w["word"][words.buckets[at[known]]]
+        x[:, 3 + EMBED :] = (begin[:, 3:] + end[:, 3:]) / np.maximum(1, many)[:, None]
+        first = len(self.known)
+        if first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows) // 2), 6 * HIDDEN), np.float32)])
+        self.rows[first : first + len(new)] = net.gates(x)
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
     def all_logits(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's window logits; windows of several texts are read together."""
         chunks = [(t or "").split() for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self._clear()
-        out: list[np.ndarray] = []
-        ids, marks, counts = [], [], []
-        span = np.arange(WINDOW)
+        known = self.known
+        if new := [c for c in set(chain.from_iterable(chunks)) if c not in known]:
+            self._learn(new)
+        ids, marks, counts, span = [], [], [], np.arange(WINDOW)
         for own in chunks:
-            known = self.known
-            if new := [c for c in dict.fromkeys(own) if c not in known]:
-                self._learn(new)
             row = np.fromiter(map(known.__getitem__, own), np.int32, len(own))
             at = np.array(starts(len(own)), np.int64)[:, None] + span
             counts.append(len(at))
@@ -248,11 +270,8 @@ class Scorer:
                 marks.append(there)
                 ids.append(np.where(there, row[np.minimum(at, len(own) - 1)], 0))
         logits = self._score(np.concatenate(ids), np.concatenate(marks)) if ids else np.empty(0, np.float32)
-        at = 0
-        for n in counts:
-            out.append(logits[at : at + n])
-            at += n
-        return out
+        ends = np.cumsum(counts)
+        return [logits[b - n : b] for n, b in zip(counts, ends, strict=True)]
 
     def _score(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """The forward pass without a trace, in blocks; gates are scaled so that each needs one tanh."""
@@ -387,8 +406,8 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
             one += 0.1 * (grad[k] - one)
             two += 0.01 * (grad[k] ** 2 - two)
             v -= rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8) + rate * 1e-3 * v
-    model = Model(words.kept(), net, np.zeros(4), n[1] / sum(n))
-    feats, scorer = np.zeros((len(docs), 3)), Scorer(model)
+    model = Model(words.kept(), net, np.zeros(6), n[1] / sum(n))
+    feats, scorer = np.zeros((len(docs), 5)), Scorer(model)
     for label in (0, 1):
         scorer.rows = net.gates(net.vectors(*tables[label])).astype(np.float32)
         for i in np.flatnonzero(y == label):
