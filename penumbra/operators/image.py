@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..sources.ingest import RedactError
 
@@ -182,7 +183,7 @@ def image_pdf(pages: list[np.ndarray], dpi: int = 150) -> bytes:
 
 def redact_images(df: DataFrame, content_col: str = "content", boxes_col: str = "boxes", dpi: int = 150, encode: Callable[[np.ndarray, bytes], bytes] | None = None, decode: Callable[[bytes], np.ndarray] = png_decode) -> DataFrame:
     """The rows with `redacted`: the image with its boxes black. PNG by itself; give a codec for other formats."""
-    out = df.schema.add("redacted", "binary")
+    out = T.StructType([*df.schema, T.StructField("redacted", T.BinaryType())])
     write = encode or (lambda image, source: png_encode(image))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

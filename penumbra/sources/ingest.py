@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: File name endings of document formats and images (case matters).
 FORMATS = {"doc": "doc", "docx": "docx", "odt": "odt", "ppt": "ppt", "pptx": "pptx", "rtf": "rtf", "epub": "epub", "xls": "excel", "xlsx": "excel", "ods": "ods", "odp": "odp", "csv": "csv"}
@@ -143,7 +144,7 @@ def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
     use = EXTRACTORS | (extractors or {})
     kept = files.columns
     plain = files.filter("kind = 'text'").withColumn("text", decoded(F.col("content"))).withColumn("markdown", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
-    schema = files.schema.add("text", "string").add("markdown", "string").add("error", "string")
+    schema = T.StructType([*files.schema, *(T.StructField(c, T.StringType()) for c in ("text", "markdown", "error"))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
