@@ -5,7 +5,8 @@ embeddings of its beginnings and endings). A window of 32 words is read in both
 scored; windows start every 16 words, so every word but a text's first and last few is read in two, and a text's last
 window ends with its last word's window. A document's probability follows from its highest window, the number of
 windows above zero and its length, by a logistic calibration. Everything is trained in numpy on the driver from a
-bounded sample of labelled documents; label statistics leave out the document itself while training.
+bounded sample of labelled documents; while training, a document's label statistics come
+from other parts of the sample.
 
 What a word adds to either direction's gates depends on the word alone and is kept, so a window costs only its
 recurrent products. Scoring is one pass over each whole text, without a shuffle.
@@ -28,13 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents fitted on, at most: those whose ids have the smallest hashes.
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 4000
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, BUCKETS, ATTEND = 8, 4, 1024, 8
 STEPS, BATCH, BAG, RATE = 260, 64, 6, 0.008
 SEED = 7
+#: Weight decay of the embeddings and of the other weights.
+DECAY_EMBED, DECAY = 0.5, 0.02
 #: Evidence over which a word is known by itself.
 KNOWN = 0.3
+#: Numbers kept for a word: both directions' gate inputs and its statistics.
+WIDTH = 6 * HIDDEN + 3
+#: Documents a gram must be in to be evidence; parts of the sample, each read with the others' evidence.
+LEAST, FOLDS = 3, 5
 #: Distinct chunks of text whose gate inputs a task keeps; windows scored at once.
 CACHE_CHUNKS, BLOCK = 300_000, 4096
 THRESHOLD = 0.5
@@ -62,52 +69,37 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Inputs of words from how many documents of either label hold a gram: the word itself (=) or an affix.
+    """How many documents of either label hold each gram: a word itself (=) or an affix.
 
     A word counts as known if its evidence is over KNOWN; all others differ only by their affixes.
     """
 
-    def __init__(self, counts: dict[str, tuple[int, int]], n: tuple[int, int]):
-        self.n, self.ids = n, {g: i for i, g in enumerate(counts)}
-        self.counts = np.array([*counts.values(), (0, 0)], float)
-        self.buckets = np.array([1 + zlib.crc32(g.encode()) % (BUCKETS - 1) for g in counts] + [0])
+    def __init__(self, ids: dict[str, int], counts: np.ndarray, n: tuple[int, int]):
+        self.ids, self.counts, self.n = ids, counts, n  # the last row of counts is for grams not seen
+        self.buckets = np.array([*map(self.bucket, ids), 0], np.int32)
 
     def evidence(self, c: np.ndarray) -> np.ndarray:
         """Log odds of label 1 from counts (.., 2), drawn towards 0 where counts are low."""
         total = c.sum(-1)
-        odds = np.log((c[..., 1].clip(0) + 0.5) / (self.n[1] + 1)) - np.log((c[..., 0].clip(0) + 0.5) / (self.n[0] + 1))
-        return np.where(total > 0, np.clip(odds * total / (total + 4), -4, 6), 0.0)
+        odds = np.log((c[..., 1] + 0.5) / (self.n[1] + 1)) - np.log((c[..., 0] + 0.5) / (self.n[0] + 1))
+        return np.where(total >= LEAST, np.clip(odds * total / (total + 4), -4, 6), 0.0)
 
     def bucket(self, gram: str) -> int:
         return 1 + zlib.crc32(gram.encode()) % (BUCKETS - 1)
 
-    def inputs(self, own: list[tuple[str, list[str]]], leave: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(statistics, bucket of the word, buckets of affixes) of words given as (word gram, affixes).
-
-        leave: the label of the document that is left out of the counts.
-        """
-        none = len(self.ids)
-        at = np.full((len(own), 6), none)
-        b = np.zeros((len(own), 6), int)
-        for i, (word, rest) in enumerate(own):
-            at[i, 0], b[i, 0] = self.ids.get(word, none), self.bucket(word)
-            for k, g in enumerate(rest, 1):
-                at[i, k], b[i, k] = self.ids.get(g, none), self.bucket(g)
-        c = self.counts[at]
-        if leave is not None:
-            c[..., leave] -= at != none
-        e = self.evidence(c)
-        there = b[:, 1:] > 0
-        many = np.maximum(1, there.sum(1))
-        e[:, 1:] *= there
+    def statistics(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(evidence of the word, most and mean of its affixes) of words given as grams (word first, -1 for none)."""
+        e = self.evidence(counts)[grams] * (grams >= 0)
+        there = grams[:, 1:] >= 0
         top = np.where(there.any(1), np.where(there, e[:, 1:], -9).max(1), 0.0)
-        e[np.abs(e[:, 0]) <= KNOWN, 0] = 0
-        return np.stack([e[:, 0], top, e[:, 1:].sum(1) / many], 1), np.where(e[:, 0] != 0, b[:, 0], 0), b[:, 1:]
+        word = np.where(np.abs(e[:, 0]) > KNOWN, e[:, 0], 0.0)
+        return np.stack([word, top, e[:, 1:].sum(1) / np.maximum(1, there.sum(1))], 1)
 
     def kept(self) -> "Words":
-        """Without grams whose evidence is no more than KNOWN; what inputs() gives for words hardly changes."""
+        """Without grams whose evidence is no more than KNOWN; what words get hardly changes."""
         e = np.abs(self.evidence(self.counts[:-1])) > KNOWN
-        return Words({g: tuple(self.counts[i]) for g, i in self.ids.items() if e[i]}, self.n)
+        left = [(g, i) for g, i in self.ids.items() if e[i]]
+        return Words({g: k for k, (g, _) in enumerate(left)}, self.counts[[*(i for _, i in left), -1]], self.n)
 
 
 class Network:
@@ -117,7 +109,7 @@ class Network:
         r = np.random.default_rng(seed)
         size = 3 + 2 * EMBED
         small = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
-        self.w = {"word": r.normal(0, 0.1, (BUCKETS, EMBED)), "char": r.normal(0, 0.1, (BUCKETS, EMBED)), "A": small(2 * HIDDEN, ATTEND), "v": small(ATTEND), "o": small(2 * HIDDEN), "c": np.zeros(1)}
+        self.w = {"word": r.normal(0, 0.1, (BUCKETS, EMBED)), "char": r.normal(0, 0.1, (BUCKETS, EMBED)), "A": small(2 * HIDDEN + 3, ATTEND), "v": small(ATTEND), "o": small(2 * HIDDEN + 3), "c": np.zeros(1)}
         for d in "01":
             self.w |= {"W" + d: small(size, 3 * HIDDEN), "U" + d: small(HIDDEN, 3 * HIDDEN), "b" + d: np.zeros(3 * HIDDEN)}
 
@@ -127,8 +119,8 @@ class Network:
         return np.concatenate([stats, self.w["word"][word] * (word > 0)[:, None], mean], 1)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
-        """What words add to both directions' gates."""
-        return np.concatenate([x @ self.w["W" + d] + self.w["b" + d] for d in "01"], 1)
+        """What words add to both directions' gates, then their statistics, which attention also sees."""
+        return np.concatenate([*(x @ self.w["W" + d] + self.w["b" + d] for d in "01"), x[:, :3]], 1)
 
     def forward(self, g: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, dict]:
         """Logits of windows from gate inputs (windows, words, gates) and marks of words that are there; and a trace."""
@@ -146,7 +138,7 @@ class Network:
                 m = mask[:, t : t + 1]
                 h = np.where(m, new + z * (h - new), h)
                 hs[d, :, t] = h
-        both = np.concatenate([hs[0], hs[1]], 2)
+        both = np.concatenate([hs[0], hs[1], g[:, :, 6 * HIDDEN :]], 2)
         e = np.tanh(both @ self.w["A"].astype(g.dtype))
         s = np.where(mask, e @ self.w["v"].astype(g.dtype), -1e9)
         p = np.exp(s - s.max(1, keepdims=True))
@@ -211,7 +203,7 @@ class Scorer:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}  # row of a chunk
-        self.rows = np.zeros((4096, 6 * HIDDEN), np.float32)
+        self.rows = np.zeros((4096, WIDTH), np.float32)
         self.ends: tuple[dict[str, int], dict[str, int]] = ({}, {})  # of first and of last characters
         # largest evidence, sum, number and summed embeddings of the affixes of each
         self.parts = [np.zeros((0, 3 + EMBED)), np.zeros((0, 3 + EMBED))]
@@ -248,7 +240,7 @@ class Scorer:
         x[:, 3 + EMBED :] = (begin[:, 3:] + end[:, 3:]) / np.maximum(1, many)[:, None]
         first = len(self.known)
         if first + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows) // 2), 6 * HIDDEN), np.float32)])
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows) // 2), WIDTH), np.float32)])
         self.rows[first : first + len(new)] = net.gates(x)
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
@@ -280,7 +272,9 @@ class Scorer:
         for lo in range(0, len(ids), BLOCK):
             i, m = ids[lo : lo + BLOCK], mask[lo : lo + BLOCK]
             n, whole = len(i), bool(m.all())
-            hs = np.empty((WINDOW, n, two), np.float32)
+            hs = np.empty((WINDOW, n, two + 3), np.float32)
+            for t in range(WINDOW):
+                hs[t, :, two:] = self.rows[i[:, t], 2 * three :]
             for d in (0, 1):
                 h, u = np.zeros((n, HIDDEN), np.float32), w["U%d" % d]
                 for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
@@ -299,7 +293,7 @@ class Scorer:
                     z += new
                     h = z.copy() if whole else np.where(m[:, t : t + 1], z, h)
                     hs[t, :, d * HIDDEN : (d + 1) * HIDDEN] = h
-            s = np.tanh(hs.reshape(-1, two) @ w["A"]) @ w["v"]
+            s = np.tanh(hs.reshape(-1, two + 3) @ w["A"]) @ w["v"]
             s = np.where(m.T, s.reshape(WINDOW, n), np.float32(-1e9))
             s = np.exp(s - s.max(0))
             s /= s.sum(0)
@@ -339,23 +333,30 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
     n = (int((y == 0).sum()), int((y == 1).sum()))
     if min(n) == 0:
         return Model(None, None, None, float(n[1] > 0))
-    split = [(t or "").split() for t, _ in rows]
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(c, len(vocabulary)) for c in own], int) for own in split]
-    own = [bare(c) for c in vocabulary]
-    own = [("=" + w, affixes(w[:5], w[-4:])) for w in own]
-    counts: dict[str, list[int]] = {}
-    for doc, label in zip(docs, y.tolist(), strict=True):
-        for g in {g for c in np.unique(doc) for g in (own[c][0], *own[c][1])}:
-            counts.setdefault(g, [0, 0])[label] += 1
-    words, net, r = Words(counts, n), Network(seed), np.random.default_rng(seed)
-    tables = [words.inputs(own, leave=label) for label in (0, 1)]
-    stats = [t[0] for t in tables]
+    docs = [np.array([vocabulary.setdefault(c, len(vocabulary)) for c in (t or "").split()], np.int32) for t, _ in rows]
+    ids: dict[str, int] = {}
+    grams = np.full((len(vocabulary), 6), -1, np.int32)
+    vocabulary = [bare(c) for c in vocabulary]
+    for i, w in enumerate(vocabulary):
+        if w:
+            own = ("=" + w, *affixes(w[:5], w[-4:]))
+            grams[i, : len(own)] = [ids.setdefault(g, len(ids)) for g in own]
+    del vocabulary
+    # evidence for a document comes from the documents of the other folds
+    fold = np.arange(len(docs)) % FOLDS
+    part = np.zeros((FOLDS, len(ids) + 1, 2), np.int32)
+    for doc, f, label in zip(docs, fold, y, strict=True):
+        part[f, np.setdiff1d(grams[np.unique(doc)], [-1]), label] += 1
+    words, net, r = Words(ids, part.sum(0), n), Network(seed), np.random.default_rng(seed)
+    stats = [words.statistics(grams, words.counts - part[f]).astype(np.float32) for f in range(FOLDS)]
+    buckets = words.buckets[grams]
+    buckets[grams < 0] = 0
     bags = []
-    for own, label in zip(docs, y.tolist(), strict=True):
+    for own, f in zip(docs, fold, strict=True):
         at = np.array(starts(len(own)), int)
         if len(at) > BAG:  # those with the most evidence, and one more of any kind
-            strong = np.array([stats[label][own[a : a + WINDOW]][:, :2].max(1).clip(0).sum() for a in at])
+            strong = np.array([stats[f][own[a : a + WINDOW]][:, :2].max(1).clip(0).sum() for a in at])
             top = np.argsort(-strong, kind="stable")[: BAG - 1]
             at = at[np.unique(np.r_[top, r.integers(len(at))])]
         bags.append(at)
@@ -369,16 +370,17 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
         for j, i in enumerate(chosen):
             for a in bags[i]:
                 piece = docs[i][a : a + WINDOW]
-                which.append((y[i], piece))
+                which.append((fold[i], piece))
                 spots.append(len(piece))
                 bag.append(j)
         uniq: dict[tuple[int, int], int] = {}
         ix = np.zeros((len(which), WINDOW), int)
-        for k, (label, piece) in enumerate(which):
-            ix[k, : len(piece)] = [uniq.setdefault((int(label), int(p)), len(uniq)) for p in piece]
+        for k, (f, piece) in enumerate(which):
+            ix[k, : len(piece)] = [uniq.setdefault((int(f), int(p)), len(uniq)) for p in piece]
         mask = np.arange(WINDOW) < np.array(spots)[:, None]
         pick = np.array(list(uniq))
-        s, word, char = (np.where(pick[:, :1] if t0.ndim > 1 else pick[:, 0], t1[pick[:, 1]], t0[pick[:, 1]]) for t0, t1 in zip(*tables, strict=True))
+        s, char = np.stack([stats[f][w] for f, w in uniq]), buckets[pick[:, 1], 1:]
+        word = np.where(s[:, 0] != 0, buckets[pick[:, 1], 0], 0)
         x = net.vectors(s, word, char)
         logit, trace = net.forward(net.gates(x)[ix], mask)
         bag = np.array(bag)
@@ -389,7 +391,7 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
         whole = top + np.log(total)
         err = (sigmoid(whole) - y[chosen]) / len(chosen)
         grad, dg = net.backward(err[bag] * part / total[bag], trace)
-        dgates = np.zeros((len(uniq), 6 * HIDDEN))
+        dgates = np.zeros((len(uniq), WIDTH))
         np.add.at(dgates, ix[mask], dg[mask])
         dx = np.zeros_like(x)
         for d in (0, 1):
@@ -405,16 +407,16 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
             one, two = moment[k]
             one += 0.1 * (grad[k] - one)
             two += 0.01 * (grad[k] ** 2 - two)
-            v -= rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8) + rate * 1e-3 * v
+            v -= rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8) + rate * (DECAY_EMBED if k in ("word", "char") else DECAY) * v
     model = Model(words.kept(), net, np.zeros(6), n[1] / sum(n))
     feats, scorer = np.zeros((len(docs), 5)), Scorer(model)
-    for label in (0, 1):
-        scorer.rows = net.gates(net.vectors(*tables[label])).astype(np.float32)
-        for i in np.flatnonzero(y == label):
+    for f in range(FOLDS):
+        scorer.rows = np.concatenate([net.gates(net.vectors(s, np.where(s[:, 0] != 0, b[:, 0], 0), b[:, 1:])).astype(np.float32) for s, b in zip(np.array_split(stats[f], 32), np.array_split(buckets, 32), strict=True)])
+        for i in np.flatnonzero(fold == f):
             at = np.array(starts(len(docs[i])), int)[:, None] + np.arange(WINDOW)
             there = at < len(docs[i])
             feats[i] = summary(scorer._score(np.where(there, docs[i][np.minimum(at, len(docs[i]) - 1)], 0), there) if len(at) else np.empty(0))
-    model.calibration = logistic(feats, y)
+    model.calibration = logistic(feats, y, 1.0)
     return model
 
 
