@@ -103,8 +103,8 @@ def vat_score(v: Column) -> Column:
         .when(country == "NL", F.when(body.rlike("^[0-9]{9}B[0-9]{2}$"), F.when(weighted % 11 == number(F.substring(body, 9, 1)), checked)))
         .when(country == "LU", F.when(body.rlike("^[0-9]{8}$"), F.when(number(F.substring(body, 1, 6)) % 89 == number(F.substring(body, 7, 2)), checked)))
     )
-    for c, shape in P.VAT_FORMS.items():
-        rule = rule.when(country == c, F.when(body.rlike(f"^{shape}$"), form))
+    for shape in dict.fromkeys(P.VAT_FORMS.values()):
+        rule = rule.when(country.isin([c for c, s in P.VAT_FORMS.items() if s == shape]), F.when(body.rlike(f"^{shape}$"), form))
     return F.when(~v.rlike("[^\\x00-\\x7f\\u00a0]"), rule)
 
 

@@ -44,7 +44,7 @@ def merged(spans: DataFrame, id_cols: list[str], start: str = "start", end: str
 
 def redact(df: DataFrame, text_col: str = "text", entities: list[str] | None = None, score_threshold: float | None = None, include_text: bool = False) -> DataFrame:
     """The rows with `redacted` and `entities` (the audit trail, without matched text unless asked for)."""
-    found = df.withColumn("entities", entities_of(F.col(text_col), entities, score_threshold))
+    found = df.withColumn("entities", entities_of(text_col, entities, score_threshold))
     out = found.withColumn("redacted", mask(F.col(text_col), F.col("entities")))
     return out if include_text else out.withColumn("entities", F.transform("entities", lambda e: e.dropFields("value")))
 

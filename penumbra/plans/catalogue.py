@@ -80,7 +80,7 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_rows(df: DataFrame, key: str, col: str) -> DataFrame:
-    found = df.select(key, F.col(col).alias("text"), entities_of(F.col(col)).alias("e"))
+    found = df.select(key, F.col(col).alias("text"), entities_of(col).alias("e"))
     return found.select(key, mask(F.col("text"), F.col("e")).alias("redacted"), F.size("e").alias("n_entities"))
 
 
@@ -96,14 +96,14 @@ def mask_identifiers(spark, sf_dir):
 @query("redact_documents", f"SELECT m.doc_id, m.redacted, m.n_entities, coalesce(t.types, '') AS types FROM ({O.masked('documents')}) m LEFT JOIN (SELECT doc_id, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types FROM ({O.everything('documents')}) GROUP BY doc_id) t ON t.doc_id = m.doc_id")
 def redact_documents(spark, sf_dir):
     """The flagship: every document masked, with what was found in it."""
-    found = table(spark, sf_dir, "documents").select("doc_id", "text", entities_of(F.col("text")).alias("e"))
+    found = table(spark, sf_dir, "documents").select("doc_id", "text", entities_of("text").alias("e"))
     types = F.array_join(F.array_sort(F.array_distinct(F.transform("e", lambda e: e["entity_type"]))), ",")
     return found.select("doc_id", mask(F.col("text"), F.col("e")).alias("redacted"), F.size("e").alias("n_entities"), types.alias("types"))
 
 
 @query("redact_conversations", "SELECT conv_id, turn, text AS redacted, CAST(0 AS INTEGER) AS n_entities FROM conversations")
 def redact_conversations(spark, sf_dir):
-    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", entities_of(F.col("text")).alias("e"))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", entities_of("text").alias("e"))
     return found.select("conv_id", "turn", mask(F.col("text"), F.col("e")).alias("redacted"), F.size("e").alias("n_entities"))
 
 
@@ -138,13 +138,13 @@ def entity_counts_by_lang(spark, sf_dir):
 
 @query("docs_with_pii", f"SELECT d.source, count(*) AS n_docs, count(s.doc_id) AS n_with FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({O.everything('documents')})) s ON s.doc_id = d.doc_id GROUP BY d.source")
 def docs_with_pii(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("source", F.size(entities_of(F.col("text"))).alias("n"))
+    found = table(spark, sf_dir, "documents").select("source", F.size(entities_of("text")).alias("n"))
     return found.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("n") > 0).alias("n_with"))
 
 
 @query("labels_vs_pii", f"SELECT l.quality, l.toxic, count(*) AS n_docs, count(s.doc_id) AS n_with FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM ({O.everything('documents')})) s ON s.doc_id = l.doc_id GROUP BY ALL")
 def labels_vs_pii(spark, sf_dir):
-    with_any = table(spark, sf_dir, "documents").filter(F.size(entities_of(F.col("text"))) > 0).select("doc_id", F.lit(1).alias("seen"))
+    with_any = table(spark, sf_dir, "documents").filter(F.size(entities_of("text")) > 0).select("doc_id", F.lit(1).alias("seen"))
     return table(spark, sf_dir, "labels").join(with_any, "doc_id", "left").groupBy("quality", "toxic").agg(F.count("*").alias("n_docs"), F.count("seen").alias("n_with"))
 
 
