@@ -226,7 +226,8 @@ class Forest:
         for i, u in enumerate(self.up.tolist()):
             if u >= 0:
                 depth[i] = depth[u] + 1
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        ends = np.cumsum(np.bincount(depth))
+        self.levels = [np.sort(x) for x in np.split(np.argsort(depth, kind="stable"), ends[:-1])[1:]]
         self.kids = np.flatnonzero(self.up >= 0)
 
 
