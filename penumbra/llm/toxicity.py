@@ -19,6 +19,7 @@ used; of a document's several labels the largest counts; an empty table gives an
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -42,8 +43,8 @@ KNOWN = 0.3
 WIDTH = 6 * HIDDEN + 3
 #: Documents a gram must be in to be evidence; parts of the sample, each read with the others' evidence.
 LEAST, FOLDS = 3, 5
-#: Distinct chunks of text whose gate inputs a task keeps; windows scored at once.
-CACHE_CHUNKS, BLOCK = 300_000, 4096
+#: Distinct chunks of text whose gate inputs a worker keeps (about 200 MB); windows scored at once.
+CACHE_CHUNKS, BLOCK = 500_000, 4096
 THRESHOLD = 0.5
 _LETTERS = re.compile(r"[\W_]+")
 
@@ -180,6 +181,7 @@ class Model:
 
     def __init__(self, words: Words | None, net: Network | None, calibration: np.ndarray | None, prior: float):
         self.words, self.net, self.calibration, self.prior = words, net, calibration, prior
+        self.name = uuid.uuid4().hex
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return sigmoid(features @ self.calibration[:-1] + self.calibration[-1])
@@ -199,6 +201,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        if model.words:
+            self.evidence = model.words.evidence(model.words.counts)
+            self.whole = {g[1:]: i for g, i in model.words.ids.items() if g[0] == "="}
         self._clear()
 
     def _clear(self) -> None:
@@ -210,24 +215,25 @@ class Scorer:
 
     def _parts(self, side: int, texts: list[str]) -> np.ndarray:
         """Rows of self.parts for the first (side 0) or last (side 1) characters of words."""
-        ids, words, net = self.ends[side], self.model.words, self.model.net
+        ids, words = self.ends[side], self.model.words
         if new := [t for t in set(texts) if t not in ids]:
-            made = np.zeros((len(new), 3 + EMBED))
+            ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
+            grams, buckets = np.full((len(new), 3), len(words.ids)), np.zeros((len(new), 3), int)
             for i, t in enumerate(new):
-                ids[t] = len(ids)
-                own = affixes(t, "") if side == 0 else affixes("", t)
-                e = words.evidence(words.counts[[words.ids.get(g, len(words.ids)) for g in own]]) if own else np.zeros(0)
-                made[i, :3] = (e.max() if own else -9, e.sum(), len(own))
-                if own:
-                    made[i, 3:] = net.w["char"][[words.bucket(g) for g in own]].sum(0)
+                for k, g in enumerate(affixes(t, "") if side == 0 else affixes("", t)):
+                    grams[i, k], buckets[i, k] = words.ids.get(g, -1), words.bucket(g)
+            there, e = buckets > 0, self.evidence[grams]
+            top = np.where(there.any(1), np.where(there, e, -9).max(1), -9)
+            made = np.concatenate([np.stack([top, (e * there).sum(1), there.sum(1)], 1), (self.model.net.w["char"][buckets] * there[..., None]).sum(1)], 1)
             self.parts[side] = np.concatenate([self.parts[side], made])
-        return self.parts[side][[ids[t] for t in texts]]
+        return self.parts[side][np.fromiter(map(ids.__getitem__, texts), np.int64, len(texts))]
 
     def _learn(self, new: list[str]) -> None:
         words, net = self.model.words, self.model.net
         own = [bare(c) for c in new]
-        at = np.array([words.ids.get("=" + w, -1) for w in own])
-        e = np.where(at >= 0, words.evidence(words.counts[at]), 0.0)
+        whole = self.whole
+        at = np.array([whole.get(w, -1) for w in own])
+        e = np.where(at >= 0, self.evidence[at], 0.0)
         e[np.abs(e) <= KNOWN] = 0
         begin, end = self._parts(0, [w[:5] for w in own]), self._parts(1, [w[-4:] for w in own])
         many = begin[:, 2] + end[:, 2]
@@ -312,6 +318,17 @@ class Scorer:
         return out
 
 
+_WARM: dict[str, Scorer] = {}
+
+
+def warm(model: Model) -> Scorer:
+    """The scorer of a model that earlier tasks of this worker process have used, with what it keeps."""
+    if model.name not in _WARM:
+        _WARM.clear()
+        _WARM[model.name] = Scorer(model)
+    return _WARM[model.name]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights, the constant last, by Newton steps."""
     x1 = np.c_[x, np.ones(len(x))]
@@ -437,7 +454,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): the probability that a whole text is toxic; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Scorer(model)
+        make = warm(model)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
@@ -451,7 +468,7 @@ def kept_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Scorer(model)
+        make = warm(model)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
