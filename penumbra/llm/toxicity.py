@@ -43,8 +43,8 @@ KNOWN = 0.3
 WIDTH = 6 * HIDDEN + 3
 #: Documents a gram must be in to be evidence; parts of the sample, each read with the others' evidence.
 LEAST, FOLDS = 3, 5
-#: Distinct chunks of text whose gate inputs a worker keeps (about 200 MB); windows scored at once.
-CACHE_CHUNKS, BLOCK = 500_000, 4096
+#: Distinct chunks of text whose gate inputs a worker keeps (about 100 MB); windows scored at once.
+CACHE_CHUNKS, BLOCK = 250_000, 4096
 THRESHOLD = 0.5
 _LETTERS = re.compile(r"[\W_]+")
 
