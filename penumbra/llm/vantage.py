@@ -1,13 +1,14 @@
 """Nearest neighbours by inner product with a vantage-point tree for each shard.
 
 Largest inner product becomes least distance once every vector gets one more coordinate that brings all to the same
-norm (queries get 0 there), and distances obey the triangle inequality. A shard's rows, dealt by a hash of the id, are
+norm (queries get 0 there), and distances obey the triangle inequality. A shard's rows, dealt by a hash of the row, are
 halved at the median distance to a vantage point until leaves are small. Blocks of queries descend together, the nearer
 half first; the farther half is skipped by queries whose distance to the boundary exceeds `factor` times their distance
 to their k-th best so far. Factor 1 skips nothing that could matter and so is exact; smaller ones skip more.
 
-Equal vectors of a shard are one point with its smallest ids, of which no result needs more than k + 1. Candidates
-within rounding of the k-th are scored anew, coordinate by coordinate, so equal vectors score equally in every shard.
+Equal rows are one before they are dealt. Equal vectors of a shard are one point with its smallest ids, each once, of
+which no result needs more than k + 1. Where ids have several vectors, a query looks for more points until it holds k
+ids besides its own, and what shards and a query's own vectors find is merged by id. Candidates within rounding of the k-th are scored anew, coordinate by coordinate, so equal vectors score equally in every shard.
 
 Cases: vectors that are null, zero, or hold null or non-finite parts neither ask nor answer; only vectors of the same
 number of parts compare; ids without a valid vector and queries without candidates give no rows; null ids take no
@@ -41,7 +42,7 @@ def valid(v: Column) -> Column:
 
 
 def packs(rows: DataFrame, deal: int, salt: int) -> DataFrame:
-    """(dim, part, ids, vecs): valid vectors in packed chunks, dealt to `deal` parts by a hash of their ids."""
+    """(dim, part, ids, vecs): valid vectors in packed chunks, dealt to `deal` parts by a hash of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -49,7 +50,8 @@ def packs(rows: DataFrame, deal: int, salt: int) -> DataFrame:
             vec = b.column("vec")
             flat, ends = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.r_[0, np.cumsum(np.diff(vec.offsets.to_numpy()))]
             dim = np.diff(ends)
-            to = (mix64(ids.view(U64) + U64(salt)) % U64(deal)).astype(np.int32)
+            row = b.column("row").to_numpy(zero_copy_only=False).astype(np.int64)
+            to = (mix64(row.view(U64) + U64(salt)) % U64(deal)).astype(np.int32)
             out = []
             for d in np.unique(dim):
                 for p in np.unique(to[dim == d]):
@@ -58,7 +60,7 @@ def packs(rows: DataFrame, deal: int, salt: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["dim", "part", "ids", "vecs"])
 
-    return rows.mapInArrow(run, "dim int, part int, ids binary, vecs binary")
+    return rows.select("id", "vec", F.xxhash64("id", "vec").alias("row")).mapInArrow(run, "dim int, part int, ids binary, vecs binary")
 
 
 class Tree:
@@ -131,25 +133,31 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def top_of_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> pd.DataFrame:
     """query_id, vec_id, score: at least each query's k best of the shard, without its own id."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
     _, first, group = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True)
-    group = group.ravel()
-    by = np.lexsort((ids, group))
-    ids, start = ids[by], np.r_[0, np.flatnonzero(np.diff(group[by])) + 1, len(by)]
     point, tree = x[first], Tree(x[first])
-    out = []
-    for lo in range(0, len(q), BLOCK):
-        own, own_ids = q[lo : lo + BLOCK], q_ids[lo : lo + BLOCK]
-        who, row = tree.search(own, k + 1, factor)
-        score = inner(own[who], point[row])
+    by = np.lexsort((ids, group.ravel()))
+    ids, group = ids[by], group.ravel()[by]
+    new = np.r_[True, (np.diff(group) != 0) | (np.diff(ids) != 0)]
+    ids, group = ids[new], group[new]
+    start = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
+    several = len(np.unique(ids)) < len(ids)  # some id has more than one point
+    out, todo = [], [(np.arange(lo, min(lo + BLOCK, len(q))), k + 1) for lo in range(0, len(q), BLOCK)]
+    while todo:
+        own, most = todo.pop()
+        who, row = tree.search(q[own], most, factor)
+        score = inner(q[own][who], point[row])
         count = np.minimum(np.diff(start)[row], k + 1)
         rep = np.repeat(np.arange(len(row)), count)
         got = ids[start[row][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)]
-        f = pd.DataFrame({"query_id": own_ids[who][rep], "vec_id": got, "score": score[rep]})
-        f = f[f["query_id"] != f["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        f = f.drop_duplicates(["query_id", "vec_id"])
-        out.append(f[f.groupby("query_id").cumcount() < k])
+        f = pd.DataFrame({"asked": who[rep], "query_id": q_ids[own][who][rep], "vec_id": got, "score": score[rep]})
+        f = f[f["query_id"] != f["vec_id"]].sort_values(["asked", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        f = f.drop_duplicates(["asked", "vec_id"])
+        if several and most < len(point):
+            short = np.bincount(f["asked"], minlength=len(own)) < k
+            f = f[~short[f["asked"]]]
+            again, at_once = own[short], max(1, BLOCK * (k + 1) // (4 * most))
+            todo += [(again[lo : lo + at_once], 4 * most) for lo in range(0, len(again), at_once)]
+        out.append(f[f.groupby("asked").cumcount() < k].drop(columns="asked"))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
 
@@ -159,8 +167,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, factor: floa
     Every shard meets every group of queries in a task of its own; both sides travel in packed chunks.
     """
     spark = candidates.sparkSession
-    some = candidates.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & valid(F.col("vec")))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & valid(F.col("vec")))
+    some = candidates.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & valid(F.col("vec"))).dropDuplicates()
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & valid(F.col("vec"))).dropDuplicates()
     n, m = candidates.select(id_col).count(), queries.select(id_col).count()
     shards = max(1, -(-n // shard_rows), min(parts(spark), n // LEAST_ROWS))
     groups = max(1, -(-m // GROUP_ROWS))
@@ -178,5 +186,6 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, factor: floa
 
     keys = ("dim", "shard", "group")
     tops = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    tops = tops.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return tops.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

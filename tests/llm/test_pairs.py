@@ -147,6 +147,30 @@ def test_neighbours(spark, factor):
     assert vantage.nearest(df.filter("false"), df).count() == 0 and vantage.nearest(df, df.filter("vec_id = 2001")).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    one, two = ([float(np.float32(v)) for v in rng.normal(size=4)] for _ in range(2))
+    rows = [(20, one)] * 25 + [(21, one)] + [(5, two)] * 25 + [(6, two)] + [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(30, 70)]
+    rows += [(7, [float(np.float32(v * (9 + j))) for v in one]) for j in range(60)]  # an id with many near vectors
+    rows += [(40, [float(np.float32(v * (5 + j))) for v in two]) for j in range(60)]  # and one that asks
+    want = {}
+    for a, v in rows:
+        if a % 20 == 0:
+            for b, w in rows:
+                if a != b:
+                    s = sum(x * y for x, y in zip(v, w, strict=True))
+                    want[a, b] = max(s, want.get((a, b), s))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.filter("vec_id % 20 = 0")
+    for shard_rows in (1000, 50):
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vantage.nearest(asked, df, k=20, shard_rows=shard_rows).collect()}
+        assert len(got) == 20 * len({a for a, _ in want})
+        for a in {a for a, _ in want}:
+            best = sorted((-s, b) for (c, b), s in want.items() if c == a)[:20]
+            assert [got[a, n + 1][0] for n in range(20)] == [b for _, b in best]
+            assert np.allclose([got[a, n + 1][1] for n in range(20)], [-s for s, _ in best], rtol=1e-12)
+
+
 def test_pruning_skips_parts_of_clustered_data():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.01, (600, 4)) for c in range(8)])
