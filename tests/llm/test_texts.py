@@ -288,6 +288,21 @@ def test_main_text_cases(field, spark):
     assert dom.extracted(df.filter("false"), field).count() == 0
 
 
+@pytest.mark.parametrize("raw", ['href="/hidden-valley"', "href=/hidden", 'data-hidden="false"', 'title="the hidden story"', "title='a hidden=true b'", 'data-style="display:none"', 'alt = "aria-hidden=true"'])
+def test_hidden_only_by_an_attribute_of_that_name(field, raw):
+    assert dom._attributes(" " + raw) == ("", False)
+    words = "The valley lies behind two ridges, and few people of the town have walked the whole of it in one day."
+    assert words in dom.extract([f"<article class=content><p>{words}</p><p><a {raw}>{words.upper()}</a></p><p {raw}>{words.lower()}</p></article>"], field)[0]
+    got = dom.Page(f"<p {raw}>{words}</p>").blocks
+    assert [b for _, b in got] == [words]
+
+
+def test_attributes_of_elements():
+    assert dom._attributes(' class="A b"id=c role=\'d\' data-id="x" hidden-x') == ("a b c d", False)
+    for raw in (" hidden", ' HIDDEN=""', ' title="x"hidden', " aria-hidden = true", " style='a:b; display : none'", " class=x hidden/"):
+        assert dom._attributes(raw)[1], raw
+
+
 def test_sum_product_is_exact(field):
     """Marginals by messages equal those by summing over all states of a small tree."""
     page = dom.Page("<div><p>a b c</p><ul><li>x<li>y</ul></div><footer>z</footer>")
