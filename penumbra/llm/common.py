@@ -52,6 +52,12 @@ def doc_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def one_text(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """(doc_id, text, label): the greatest text of each id that `few` (doc_id, label; each id once) labels."""
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").cast("int").alias("label"))
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit changes every output bit with a chance near one half."""
     h = h ^ (h >> U64(31))

@@ -7,7 +7,8 @@ any other; there is no shuffle.
 
 Cases: null and empty texts have zero statistics and are scored by the same rules; equal texts score equally; where
 the labels seen are all alike, every document gets that label's smoothed rate (0.5 without labels); null labels are
-not used; of a document's several labels the smallest counts; an empty table gives an empty one.
+not used; of a document's several labels the smallest counts, and of an id's several texts the greatest is fitted on;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import one_text
+
 #: Labelled documents fitted on, at most: those whose ids have the smallest hashes.
 TRAIN_DOCS = 8000
 TREES, DEPTH, BINS, LEAST, SHRINK, PART = 40, 3, 48, 8, 0.3, 0.7
@@ -196,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, most: int = TRAIN_DOCS):
     """A model from at most `most` labelled documents that `usable` (a Column of doc_id) admits."""
     kept = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     few = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = measured(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label")), "label").collect()
-    made = np.array(sorted(tuple(r) for r in rows), float).reshape(-1, 2 + len(STATS))[: 2 * most]
+    rows = measured(one_text(docs, few), "label").collect()
+    made = np.array(sorted(tuple(r) for r in rows), float).reshape(-1, 2 + len(STATS))
     return train(made[:, 2:], (made[:, 1] > 0).astype(float))
 
 

@@ -13,7 +13,8 @@ recurrent products. Scoring is one pass over each whole text, without a shuffle.
 
 Cases: null and empty texts have no window and get the score of a text without evidence; texts without labelled
 documents of both kinds get the prior of the labels seen (0 if none); equal texts score equally; null labels are not
-used; of a document's several labels the largest counts; an empty table gives an empty one.
+used; of a document's several labels the largest counts, and of an id's several texts the greatest is fitted on; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import one_text
+
 #: Labelled documents fitted on, at most: those whose ids have the smallest hashes.
 TRAIN_DOCS = 4000
 WINDOW, STRIDE = 32, 16
@@ -438,16 +441,16 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, usable, most: int) -> DataFrame:
-    """(doc_id, text, label): at most `most` labelled documents that `usable` (a Column of doc_id) admits."""
+    """(doc_id, text, label): at most `most` labelled documents, each id once, that `usable` (a Column of doc_id) admits."""
     kept = labels.select("doc_id", F.col(column).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     few = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    return one_text(docs, few)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, most: int = TRAIN_DOCS) -> Model:
     rows = labelled(docs, labels, "toxic", usable, most).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([(r["text"], r["label"]) for r in rows[: 2 * most]])
+    rows.sort(key=lambda r: r["doc_id"])
+    return train([(r["text"], r["label"]) for r in rows])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

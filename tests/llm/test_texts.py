@@ -182,6 +182,17 @@ def test_quality(spark, docs_of):
     assert quality.scored(edge, quality.fit(edge, empty, lambda i: F.lit(True))).first()["score"] == pytest.approx(0.5)
 
 
+def test_a_labelled_id_that_repeats_is_fitted_on_once(spark, docs_of, monkeypatch):
+    docs = docs_of([(0, "a b c")] * 60 + [(0, "z")] + [(i, f"word {i} of many") for i in range(1, 11)] + [(11, None)])
+    labels = spark.createDataFrame([(i, int(i < 5), int(i < 5)) for i in range(12)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "train", lambda x, y: (x, y))
+    monkeypatch.setattr(toxicity, "train", lambda rows: rows)
+    x, y = quality.fit(docs, labels, lambda i: F.lit(True), most=12)
+    assert len(x) == 12 and y.tolist() == [1.0] * 5 + [0.0] * 7
+    rows = toxicity.fit(docs, labels, lambda i: F.lit(True), most=12)
+    assert rows == [("z", 1), *((f"word {i} of many", int(i < 5)) for i in range(1, 11)), (None, 0)]
+
+
 def test_rules():
     rng = np.random.default_rng(1)
     x = rng.uniform(size=(800, len(quality.STATS)))
