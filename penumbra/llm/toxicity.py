@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over overlapping windows of words.
 
 Each word enters as a word (label statistics and a hashed embedding) and as characters (label statistics and
-embeddings of its beginnings and endings). A window of 32 words is read in both directions, pooled by attention and
+embeddings of its beginnings and endings; characters between the first five and the last four are not read, and what
+white space does not part is one word). A window of 32 words is read in both directions, pooled by attention and
 scored; windows start every 16 words, so every word but a text's first and last few is read in two, and a text's last
 window ends with its last word's window. A document's probability follows from its highest window, the number of
 windows above zero and its length, by a logistic calibration. Everything is trained in numpy on the driver from a
