@@ -4,16 +4,41 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
+#: Rows and bytes of text that a worker holds at once; one longer text is held by itself.
+SLICE_ROWS, SLICE_BYTES = 1000, 4_000_000
+#: Scans of more splits than this many for each core are never dealt anew.
+FEW_SPLITS = 4
+#: A key with more than this part of all rows is hot; there are fewer than 1 / HOT_PART of them.
+HOT_PART = 0.001
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan; dealt anew where its few splits would leave cores idle.
+
+    A file of one row group is one task however many splits it has. Only scans with few splits are looked at, by
+    counting rows a split, which reads file footers alone; scans of large tables stay as they are, without a shuffle.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() > FEW_SPLITS * cores:
+        return scan
+    rows = [n for _, n in scan.groupBy(F.spark_partition_id()).count().collect()]
+    return scan.repartition(2 * cores) if rows and sum(rows) > cores and 2 * len(rows) < cores else scan
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +68,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete what `cut` wrote for these rows, once nothing reads them any more."""
+    kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if kept.isDefined():
+        delete(df.sparkSession, kept.get())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def by_size(batch: pa.RecordBatch, column: str | int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts stay under `size` bytes together."""
+    lo = held = 0
+    for hi, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if hi > lo and (held + n > size or hi - lo >= rows):
+            yield batch.slice(lo, hi - lo)
+            lo, held = hi, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
+def met(rows: DataFrame, few: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with `few` (each key once; `size` rows of `rows` have it), where keys may be hot.
+
+    Hot keys, fewer than 1 / HOT_PART by their definition, are broadcast; the others meet in a shuffle. Both should be
+    cut, as each is read twice.
+    """
+    total = few.agg(F.sum(size)).first()[0] or 0
+    hot = few.filter(F.col(size) > total * HOT_PART)
+    own, rest = rows.join(F.broadcast(hot), key), rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return own.unionByName(rest.join(few, key))
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -52,10 +114,24 @@ def doc_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def one_text(docs: DataFrame, few: DataFrame) -> DataFrame:
-    """(doc_id, text, label): the greatest text of each id that `few` (doc_id, label; each id once) labels."""
-    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").cast("int").alias("label"))
+def sampled(docs: DataFrame, labels: DataFrame, column: str, usable, most: int, most_bytes: int, of_several=F.max) -> DataFrame:
+    """(doc_id, text, label): the labelled documents to fit on, each id once, by the hash of their ids.
+
+    At most `most` ids that `usable` (a Column of doc_id) admits, whose texts have at most `most_bytes` bytes together;
+    a text that would go over is left out. Of an id's labels the one that `of_several` picks counts and of its texts the
+    greatest; null labels and ids are not used. The driver learns ids and lengths, `most` at most, before any text.
+    """
+    kept = labels.select(F.col("doc_id").cast("long"), F.col(column).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).groupBy("doc_id").agg(of_several("label").cast("int").alias("label"))
+    few = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(few), "doc_id")
+    found = cut(own.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")))
+    chosen, held = [], 0
+    for i, n in found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held + n <= most_bytes:
+            chosen.append(i)
+            held += n
+    left = found.sparkSession.createDataFrame([(i,) for i in chosen], "chosen long")
+    return found.join(F.broadcast(left), found["doc_id"] == left["chosen"], "left_semi")
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

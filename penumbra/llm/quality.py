@@ -5,10 +5,11 @@ boosted, every path from a root becomes a rule (a conjunction of thresholds), an
 of them. The kept rules are compiled into one Spark column expression over the statistics, which Catalyst plans like
 any other; there is no shuffle.
 
-Cases: null and empty texts have zero statistics and are scored by the same rules; equal texts score equally; where
-the labels seen are all alike, every document gets that label's smoothed rate (0.5 without labels); null labels are
-not used; of a document's several labels the smallest counts, and of an id's several texts the greatest is fitted on;
-an empty table gives an empty one.
+Cases: null and empty texts have zero statistics and are scored by the same rules; equal texts score equally, and rows
+that repeat are scored each; a very long text is read whole, by itself; where the labels seen are all alike, every
+document gets that label's smoothed rate (0.5 without labels); null labels are not used; of a document's several labels
+the smallest counts, and of an id's several texts the greatest is fitted on; further columns stay as they are, whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one_text
+from .common import by_size, sampled
 
 #: Labelled documents fitted on, at most: those whose ids have the smallest hashes.
 TRAIN_DOCS = 8000
+#: Bytes of their texts together, at most; their statistics are what the driver gets.
+TRAIN_BYTES = 256_000_000
 TREES, DEPTH, BINS, LEAST, SHRINK, PART = 40, 3, 48, 8, 0.3, 0.7
 PENALTIES = (0.03, 0.01, 0.004, 0.0015)
 SEED = 11
@@ -58,19 +61,27 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns named in `more` and the statistics of each text; no shuffle."""
-    src = docs.select("doc_id", *more, "text")
-    schema = src.drop("text")
+def own_name(docs: DataFrame) -> str:
+    """A column name that docs do not have."""
+    name = "statistics"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def measured(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with the statistics of their texts as a struct column `name`; each text moves once, without a shuffle."""
+    at = docs.columns.index("text")
+    kind = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = np.array([statistics(t.as_py()) for t in b.column("text")], float).reshape(-1, len(STATS))
-            kept = [b.column(c) for c in ("doc_id", *more)]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[:, i]) for i in range(len(STATS)))], ["doc_id", *more, *(f"stat_{s}" for s in STATS)])
+        for batch in batches:
+            for b in by_size(batch, at):
+                made = np.array([statistics(t.as_py()) for t in b.column(at)], float).reshape(-1, len(STATS))
+                stats = pa.StructArray.from_arrays([pa.array(made[:, i]) for i in range(len(STATS))], STATS)
+                yield pa.RecordBatch.from_arrays([*b.columns, stats], [*b.schema.names, name])
 
-    out = T.StructType([*schema.schema, *(T.StructField(f"stat_{s}", T.DoubleType()) for s in STATS)])
-    return src.mapInArrow(run, out)
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, kind)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether it is over, threshold)
@@ -183,33 +194,31 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> tuple[list[tuple[Ru
     return [(k, float(v)) for k, v in zip(rules, w, strict=True) if abs(v) > 1e-4], b
 
 
-def compiled(model: tuple[list[tuple[Rule, float]], float]) -> Column:
-    """The model as a column expression over the statistics' columns."""
+def compiled(model: tuple[list[tuple[Rule, float]], float], stats: Column) -> Column:
+    """The model as a column expression over the struct of statistics."""
     rules, constant = model
     total = F.lit(constant)
     for rule, weight in rules:
         test = F.lit(True)
         for f, over, t in rule:
-            test = test & (F.col(f"stat_{STATS[f]}") > t if over else F.col(f"stat_{STATS[f]}") <= t)
+            test = test & (stats[STATS[f]] > t if over else stats[STATS[f]] <= t)
         total = total + F.when(test, weight).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, most: int = TRAIN_DOCS):
+def fit(docs: DataFrame, labels: DataFrame, usable, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES):
     """A model from at most `most` labelled documents that `usable` (a Column of doc_id) admits."""
-    kept = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    few = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = measured(one_text(docs, few), "label").collect()
+    rows = measured(sampled(docs, labels, "quality", usable, most, most_bytes, F.min), "statistics").select("doc_id", "label", "statistics.*").collect()
     made = np.array(sorted(tuple(r) for r in rows), float).reshape(-1, 2 + len(STATS))
     return train(made[:, 2:], (made[:, 1] > 0).astype(float))
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
     """(doc_id, score): the probability of label 1."""
-    return measured(docs).select("doc_id", compiled(model).alias("score"))
+    return measured(docs.select("doc_id", "text"), "statistics").select("doc_id", compiled(model, F.col("statistics")).alias("score"))
 
 
 def kept_good(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least the threshold, with all their columns; texts are not shuffled."""
-    whole = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
-    return measured(whole, "row").filter(compiled(model) >= threshold).select("row.*")
+    name = own_name(docs)
+    return measured(docs, name).filter(compiled(model, F.col(name)) >= threshold).drop(name)

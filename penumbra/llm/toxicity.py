@@ -6,16 +6,19 @@ white space does not part is one word). A window of 32 words is read in both dir
 scored; windows start every 16 words, so every word but a text's first and last few is read in two, and a text's last
 window ends with its last word's window. A document's probability follows from its highest window, the number of
 windows above zero and its length, by a logistic calibration. Everything is trained in numpy on the driver from a
-bounded sample of labelled documents; while training, a document's label statistics come
-from other parts of the sample.
+bounded sample of labelled documents (`TRAIN_DOCS`, `TRAIN_BYTES`), of each of which at most `BAG` windows train the
+network: those with the most evidence and one more; the calibration sees all windows. While training, a document's label
+statistics come from other parts of the sample. Grams without evidence are dropped before anything is trained, so
+training and scoring read the same features.
 
 What a word adds to either direction's gates depends on the word alone and is kept, so a window costs only its
 recurrent products. Scoring is one pass over each whole text, without a shuffle.
 
 Cases: null and empty texts have no window and get the score of a text without evidence; texts without labelled
 documents of both kinds get the prior of the labels seen (0 if none); equal texts score equally; null labels are not
-used; of a document's several labels the largest counts, and of an id's several texts the greatest is fitted on; an
-empty table gives an empty one.
+used; of a document's several labels the largest counts, and of an id's several texts the greatest is fitted on; rows
+that repeat are scored each; a very long text is read whole, by itself; further columns stay as they are; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_text
+from .common import by_size, sampled
 
 #: Labelled documents fitted on, at most: those whose ids have the smallest hashes.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 6000
+#: Bytes of their texts together, at most.
+TRAIN_BYTES = 48_000_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, BUCKETS, ATTEND = 8, 4, 1024, 8
-STEPS, BATCH, BAG, RATE = 260, 64, 6, 0.008
+STEPS, BATCH, RATE = 260, 64, 0.008
+#: Windows of a document that train the network, at most.
+BAG = 6
 SEED = 7
 #: Weight decay of the embeddings and of the other weights.
 DECAY_EMBED, DECAY = 0.5, 0.02
@@ -100,11 +107,9 @@ class Words:
         word = np.where(np.abs(e[:, 0]) > KNOWN, e[:, 0], 0.0)
         return np.stack([word, top, e[:, 1:].sum(1) / np.maximum(1, there.sum(1))], 1)
 
-    def kept(self) -> "Words":
-        """Without grams whose evidence is no more than KNOWN; what words get hardly changes."""
-        e = np.abs(self.evidence(self.counts[:-1])) > KNOWN
-        left = [(g, i) for g, i in self.ids.items() if e[i]]
-        return Words({g: k for k, (g, _) in enumerate(left)}, self.counts[[*(i for _, i in left), -1]], self.n)
+    def strong(self) -> np.ndarray:
+        """Marks of the grams whose evidence is over KNOWN; only they are kept."""
+        return np.abs(self.evidence(self.counts[:-1])) > KNOWN
 
 
 class Network:
@@ -369,10 +374,18 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
     part = np.zeros((FOLDS, len(ids) + 1, 2), np.int32)
     for doc, f, label in zip(docs, fold, y, strict=True):
         part[f, np.setdiff1d(grams[np.unique(doc)], [-1]), label] += 1
-    words, net, r = Words(ids, part.sum(0), n), Network(seed), np.random.default_rng(seed)
-    stats = [words.statistics(grams, words.counts - part[f]).astype(np.float32) for f in range(FOLDS)]
-    buckets = words.buckets[grams]
+    whole = Words(ids, part.sum(0), n)
+    buckets = whole.buckets[grams]
     buckets[grams < 0] = 0
+    # grams without evidence go before training; words that have them see them as not seen
+    strong = whole.strong()
+    to = np.where(strong, np.cumsum(strong) - 1, strong.sum())
+    grams = np.where(grams < 0, -1, to[grams]).astype(np.int32)
+    part = part[:, [*np.flatnonzero(strong), len(ids)]]
+    words = Words({g: int(to[i]) for g, i in ids.items() if strong[i]}, part.sum(0), n)
+    del whole, ids
+    net, r = Network(seed), np.random.default_rng(seed)
+    stats = [words.statistics(grams, words.counts - part[f]).astype(np.float32) for f in range(FOLDS)]
     bags = []
     for own, f in zip(docs, fold, strict=True):
         at = np.array(starts(len(own)), int)
@@ -429,10 +442,13 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
             one += 0.1 * (grad[k] - one)
             two += 0.01 * (grad[k] ** 2 - two)
             v -= rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8) + rate * (DECAY_EMBED if k in ("word", "char") else DECAY) * v
-    model = Model(words.kept(), net, np.zeros(6), n[1] / sum(n))
+    model = Model(words, net, np.zeros(6), n[1] / sum(n))
     feats, scorer = np.zeros((len(docs), 5)), Scorer(model)
+    scorer.rows = np.zeros((len(grams), WIDTH), np.float32)
     for f in range(FOLDS):
-        scorer.rows = np.concatenate([net.gates(net.vectors(s, np.where(s[:, 0] != 0, b[:, 0], 0), b[:, 1:])).astype(np.float32) for s, b in zip(np.array_split(stats[f], 32), np.array_split(buckets, 32), strict=True)])
+        for lo in range(0, len(grams), BLOCK):
+            s, b = stats[f][lo : lo + BLOCK], buckets[lo : lo + BLOCK]
+            scorer.rows[lo : lo + BLOCK] = net.gates(net.vectors(s, np.where(s[:, 0] != 0, b[:, 0], 0), b[:, 1:]))
         for i in np.flatnonzero(fold == f):
             at = np.array(starts(len(docs[i])), int)[:, None] + np.arange(WINDOW)
             there = at < len(docs[i])
@@ -441,15 +457,9 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Model:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, usable, most: int) -> DataFrame:
-    """(doc_id, text, label): at most `most` labelled documents, each id once, that `usable` (a Column of doc_id) admits."""
-    kept = labels.select("doc_id", F.col(column).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    few = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return one_text(docs, few)
-
-
-def fit(docs: DataFrame, labels: DataFrame, usable, most: int = TRAIN_DOCS) -> Model:
-    rows = labelled(docs, labels, "toxic", usable, most).collect()
+def fit(docs: DataFrame, labels: DataFrame, usable, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from at most `most` labelled documents that `usable` (a Column of doc_id) admits."""
+    rows = sampled(docs, labels, "toxic", usable, most, most_bytes).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([(r["text"], r["label"]) for r in rows])
 
@@ -460,11 +470,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = warm(model)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for part in by_size(b, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(make.scores(part.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def kept_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -474,8 +483,7 @@ def kept_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = warm(model)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for part in by_size(b, at):
                 yield part.filter(pa.array(make.scores(part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
