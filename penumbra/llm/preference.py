@@ -5,8 +5,10 @@ conversation is its completion, with a loss mask: only what an assistant writes
 role headers and other roles' turns in a completion are not. All of it is built-in array functions over one row a pair.
 
 Cases: a null text or role is an empty one; turns are in order of turn number (nulls first), then role, then text;
-equal conversations have empty completions and masks; one conversation that continues the other leaves the shorter an
-empty completion; a pair lacking a side has an empty conversation there; an empty table gives an empty one.
+equal turns that repeat are turns each; equal conversations have empty completions and masks; one conversation that continues the other leaves the shorter an
+empty completion; a pair lacking a side has an empty conversation there; ids may be any 64-bit number; further columns
+are ignored, whatever their names; turns of any length are rendered whole, so a pair must fit a row (2 GB), as its
+result does; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -72,10 +74,11 @@ def swapped_replies(conversations: DataFrame) -> DataFrame:
     Neighbours are ids 2n and 2n + 1, whose turns meet in one shuffle. Without a neighbour the last turn is missing.
     Rows without conv_id belong to no conversation and are left out.
     """
-    turn = F.struct("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    both = conversations.filter("conv_id is not null").groupBy(F.floor(F.col("conv_id") / 2).alias("two")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    of = lambda bit: F.transform(F.filter("turns", lambda t: F.pmod(t["conv_id"], F.lit(2)) == bit), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    sides = both.select((F.col("two") * 2).alias("even"), of(0).alias("a"), of(1).alias("b"))
+    conv = F.col("conv_id").cast("long")
+    turn = F.struct(conv.alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    both = conversations.filter("conv_id is not null").groupBy(F.shiftright(conv, 1).alias("two")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    of = lambda bit: F.transform(F.filter("turns", lambda t: t["conv_id"].bitwiseAND(F.lit(1)) == bit), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    sides = both.select(F.shiftleft("two", 1).alias("even"), of(0).alias("a"), of(1).alias("b"))
     side = lambda i, own, other: F.struct((F.col("even") + i).alias("pair_id"), F.col(own).alias("own"), F.col(other).alias("other"))
     each = sides.select(F.explode(F.array(side(0, "a", "b"), side(1, "b", "a"))).alias("p")).select("p.*").filter(F.size("own") > 0)
     rejected = F.concat(F.slice("own", F.lit(1), F.size("own") - 1), F.slice("other", F.greatest(F.size("other"), F.lit(1)), F.lit(1)))
