@@ -1,28 +1,33 @@
 """WARC archives of captured pages and their merged capture index.
 
-Writing: digests of all payloads are aggregated (partially before the shuffle) to the page that stands for each
-payload; the others of at least 100 bytes become revisit records without a payload. Records are written through
-Spark's own writer as compressed parts (places are those of the plain archive), so any store that Spark can write works and a lost task is written anew.
-
-Reading: archives are parsed by their length fields only, never by searching for marks that a payload may hold.
-
-Index: the entries of an archive, sorted by (URL key, capture time, page id), are a run. Splitters from a bounded
-sample cut each run into slices; a slice is one packed row. All slices of a key range meet in one task, which merges
-them with a loser tree; range and place within it are the global order. A URL that holds many captures is
-split by time and page id.
-
-Cases: a null html is an empty payload; a null url is an empty one; rows that repeat a page id are records each, of
-which equal payloads still refer to the smallest id; a payload whose pages all lack an id is always a response; an
-empty table gives an empty index. Tables without a capture time get one that counts seconds by page id.
+Writing: pairs of payload digest and page id are counted (partially before the shuffle) and the smallest id of a payload
+stands for it; the others of at least 100 bytes become revisit records without a payload. Every record is a gzip member
+of its own, so an index entry's position is where a reader can start. Archives go through Spark's own writer: any store
+that Spark can write works and a lost task's archives are written anew. An archive ends at a bound of bytes or records.
+
+Reading: members are inflated one by one and records parsed by their length fields only, never by searching for marks
+that a payload may hold; a worker holds one archive as stored and one record.
+
+Index: the entries of an archive, sorted by (URL key, capture time, page id), are a run. Splitters from a sample that is
+a small fixed part of the entries cut each run into slices; a slice is one packed row. All slices of a key range meet
+in one task, which merges them with a loser tree; range and place within it are the global order. A URL that holds many
+captures is split by time and page id.
+
+Cases: a null html is an empty payload; a null url is an empty one; a very long html is a record, and an archive, of its
+own; rows that repeat a page id are records each, of which equal payloads still refer to the smallest id (record names
+hold the digest, and a random part where page and payload repeat); a payload whose pages all lack an id is always a
+response; further columns are ignored; an empty table gives an empty index. Tables without a capture time get one that
+counts seconds by page id.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import math
 import pickle
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -32,17 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, shared_folder
+from .common import cut, delete, parts, shared_folder
 
 LEAST_BYTES = 100
-#: Records of one archive, at most.
-ARCHIVE_RECORDS = 1000
-#: Keys the driver samples for each key range.
-SAMPLE_A_RANGE = 40
-#: Key ranges at most; each is one merge task.
-MOST_RANGES = 20_000
+#: Records of one archive, and bytes of them before compression, at most; a longer record is an archive by itself.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 1000, 32_000_000
+#: Entries of a key range, about; each range is one merge task, which holds them.
+RANGE_ROWS = 100_000
+#: Keys that the driver samples for each key range.
+SAMPLE_A_RANGE = 16
 #: Entries of one packed slice of a run, at most.
 SLICE = 20_000
+#: Compressed bytes read ahead at once.
+AHEAD = 1 << 16
 END = "\r\n"
 
 ENTRY = ["urlkey", "captured", "page_id", "url", "archive", "position", "record_bytes", "record_type", "payload_bytes", "payload_digest", "refers_to"]
@@ -62,13 +69,27 @@ def url_key(url: str | None) -> str:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, refers_to): null refers_to for responses."""
+    """(page_id, url, payload, payload_bytes, payload_digest, refers_to, repeats): null refers_to for responses."""
     src = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload")).withColumns({"payload_digest": F.sha2(F.col("payload").cast("binary"), 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    small = src.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= LEAST_BYTES)
-    chosen = small.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("payload_digest", "first")
-    again = cut(small.join(chosen, "payload_digest").filter("page_id is null or page_id <> first").select(F.coalesce("page_id", F.lit(-1)).alias("page_"), F.col("payload_digest").alias("digest_"), "first").distinct())
-    on = (F.coalesce(src["page_id"], F.lit(-1)) == again["page_"]) & (src["payload_digest"] == again["digest_"])
-    return src.join(again, on, "left").select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_bytes", "payload_digest", F.col("first").alias("refers_to"))
+    pairs = src.groupBy("payload_digest", "page_id").agg(F.max("payload_bytes").alias("bytes_"), F.count("*").alias("rows_"))
+    chosen = pairs.filter(F.col("bytes_") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("payload_digest", "first")
+    first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    notes = cut(pairs.join(chosen, "payload_digest", "left").select(F.col("page_id").alias("page_"), F.col("payload_digest").alias("digest_"), first.alias("first"), (F.col("rows_") > 1).alias("again")).filter("first is not null or again"))
+    on = src["page_id"].eqNullSafe(notes["page_"]) & (src["payload_digest"] == notes["digest_"])
+    return src.join(notes, on, "left").select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_bytes", "payload_digest", F.col("first").alias("refers_to"), F.coalesce("again", F.lit(False)).alias("repeats"))
+
+
+def members(records: list[bytes]) -> bytes:
+    """Records as gzip members, one after the other."""
+    out = []
+    for r in records:
+        squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [squeeze.compress(r), squeeze.flush()]
+    return b"".join(out)
+
+
+#: A member of nothing. A member ends with its length's highest byte, which is zero below 16 MiB; this one's always is.
+NOTHING = members([b""])
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
@@ -79,11 +100,12 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     seconds = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(4_000_000_000)) + 946_684_800
     date = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     one_line = F.regexp_replace("url", "[\\r\\n]", "")
-    name = lambda p: F.concat(F.lit("<urn:page:"), p, F.lit(">"))
+    name = lambda p, *more: F.concat(F.lit("<urn:page:"), p, F.lit(":"), F.substring("payload_digest", 1, 16), *more, F.lit(">"))
+    again = F.when(F.col("repeats"), F.concat(F.lit(":"), F.uuid())).otherwise("")
     fields = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), name(page)),
+        F.concat(F.lit("WARC-Record-ID: "), name(page, again)),
         F.concat(F.lit("WARC-Date: "), date),
         F.concat(F.lit("WARC-Target-URI: "), one_line),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
@@ -92,42 +114,72 @@ def write_archives(pages: DataFrame, folder: str) -> None:
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length("payload")),
     ]
-    # concat_ws leaves nulls out; the writer adds the record's last line feed itself
-    text = F.concat(F.concat_ws(END, *fields), F.lit(END * 2), F.col("payload"), F.lit(END + "\r"))
-    r.select(text.alias("value")).write.option("maxRecordsPerFile", ARCHIVE_RECORDS).option("lineSep", "\n").option("compression", "gzip").text(folder)
+    # concat_ws leaves nulls out
+    text = F.concat(F.concat_ws(END, *fields), F.lit(END * 2), F.col("payload"), F.lit(END * 2))
 
-
-def parsed(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(position, header fields, block) of each record of an archive."""
-    at = 0
-    while at < len(content):
-        head = content.index(b"\r\n\r\n", at)
-        version, *lines = content[at:head].decode("utf-8", "replace").split(END)
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([members(held) + NOTHING], pa.binary())], ["value"])
+        for b in batches:
+            for r in b.column("value"):
+                r = r.as_py()
+                if held and (len(held) >= ARCHIVE_RECORDS or size + len(r) > ARCHIVE_BYTES):
+                    yield done()
+                    held, size = [], 0
+                held.append(r)
+                size += len(r)
+        if held:
+            yield done()
+
+    # a row is an archive; its last byte, a zero, is the separator that the writer adds
+    rows = r.select(text.cast("binary").alias("value")).mapInArrow(archive, "value binary")
+    whole = F.col("value").substr(F.lit(1), F.length("value") - 1).cast("string")
+    rows.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").option("compression", "none").text(folder)
+
+
+def parsed(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(position, stored bytes, header fields, block) of each record of an archive."""
+    at, whole = 0, memoryview(content)
+    while at < len(whole):
+        inflate, begin, data = zlib.decompressobj(31), at, []
+        while not inflate.eof:
+            if at >= len(whole):
+                raise ValueError(f"the record at {begin} has no end")
+            data.append(inflate.decompress(whole[at : at + AHEAD]))
+            at += len(whole[at : at + AHEAD])
+        at -= len(inflate.unused_data)
+        if not (record := b"".join(data)):
+            continue
+        head = record.index(b"\r\n\r\n")
+        version, *lines = record[:head].decode("utf-8", "replace").split(END)
         if not version.startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
+            raise ValueError(f"no record at {begin}")
         fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
         end = head + 4 + int(fields["Content-Length"])
-        if content[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} has no end")
-        yield at, fields, content[head + 4 : end]
-        at = end + 4
+        if record[end:] != b"\r\n\r\n":
+            raise ValueError(f"the record at {begin} has no end")
+        yield begin, at - begin, fields, record[head + 4 : end]
 
 
 def read_archives(spark: SparkSession, folder: str, with_block: bool = False) -> DataFrame:
     """The entries of all archives, an archive's sorted as one run; digests of responses are taken from their blocks."""
-    page = lambda name: None if name == "<urn:page:none>" else int(name[10:-1])
+
+
+    def page(name: str) -> int | None:
+        own = name.split(":")[2]
+        return None if own == "none" else int(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows, data = [], gzip.decompress(content.as_py())
-                for at, f, block in parsed(data):
+                rows = []
+                for at, stored, f, block in parsed(content.as_py()):
                     back = f.get("WARC-Refers-To")
                     digest = hashlib.sha256(block).hexdigest()
                     if not back and f"sha256:{digest}" != f["WARC-Payload-Digest"]:
                         raise ValueError(f"the block at {at} of {path} isn't what was written")
                     url = f["WARC-Target-URI"]
-                    rows.append((url_key(url), re.sub(r"\D", "", f["WARC-Date"]), page(f["WARC-Record-ID"]), url, path.rsplit("/", 1)[-1], at, len(block), f["WARC-Type"], int(f["X-Payload-Length"]) if back else len(block), f["WARC-Payload-Digest"][7:] if back else digest, page(back) if back else None) + ((block.decode("utf-8", "replace"),) if with_block else ()))
+                    rows.append((url_key(url), re.sub(r"\D", "", f["WARC-Date"]), page(f["WARC-Record-ID"]), url, path.rsplit("/", 1)[-1], at, stored, f["WARC-Type"], int(f["X-Payload-Length"]) if back else len(block), f["WARC-Payload-Digest"][7:] if back else digest, page(back) if back else None) + ((block.decode("utf-8", "replace"),) if with_block else ()))
                 rows.sort(key=_order)
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
@@ -135,7 +187,7 @@ def read_archives(spark: SparkSession, folder: str, with_block: bool = False) ->
     names = ENTRY + ["block"] * with_block
     texts = {"urlkey", "captured", "url", "archive", "record_type", "payload_digest", "block"}
     schema = pa.schema([(n, pa.string() if n in texts else pa.int64()) for n in names])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
     return files.mapInArrow(run, ENTRY_SCHEMA + ", block string" * with_block)
 
 
@@ -174,10 +226,10 @@ def merged_index(entries: DataFrame, rows: int) -> DataFrame:
     `entries` must come from read_archives without blocks: all rows of an archive together and sorted.
     """
     spark = entries.sparkSession
-    ranges = min(MOST_RANGES, max(parts(spark), rows // 50_000))
-    share = min(1.0, 2.0 * SAMPLE_A_RANGE * ranges / max(1, rows))
+    ranges = max(parts(spark), rows // RANGE_ROWS)
+    share = min(1.0, SAMPLE_A_RANGE * ranges / max(1, rows))
     keys = ["urlkey", "captured", "page_id", "archive", "position"]
-    sample = entries.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(4 * SAMPLE_A_RANGE * ranges)
+    sample = entries.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
     got = sorted(_order((r[0], r[1], r[2], None, r[3], r[4])) for r in sample.collect())
     splits = [got[len(got) * i // ranges] for i in range(1, ranges)] if got else []
 
@@ -207,8 +259,14 @@ def merged_index(entries: DataFrame, rows: int) -> DataFrame:
 
 
 def captures(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write all pages, read the archives back and merge their index."""
+    """Write all pages, read the archives back and merge their index.
+
+    Archives stay in `folder`; without one they are written to the shared folder and go once they have been read.
+    """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder)
-    return merged_index(cut(read_archives(spark, folder)), pages.count())
+    at = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, at)
+    entries = cut(read_archives(spark, at))
+    if folder is None:
+        delete(spark, at)
+    return merged_index(entries, entries.count())
