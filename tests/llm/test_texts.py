@@ -1,5 +1,6 @@
 """Mixing, packing, preference formatting, classifiers, main text, archives and the pipeline."""
 
+import gzip
 import hashlib
 import zlib
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from penumbra.llm import dom, layouts, mixing, packing, preference, quality, queries, toxicity, warc
+from penumbra.llm import common, dom, layouts, mixing, packing, preference, quality, queries, toxicity, warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -157,6 +158,24 @@ def test_preference_edges(spark):
     assert preference.swapped_replies(odd.filter("false")).count() == 0
 
 
+def test_pairs_of_large_ids_and_long_turns(spark):
+    """Neighbours differ in the last bit, whatever the size of their ids; other columns are ignored."""
+    long = "word é " * 50_000
+    rows = [(i, t, "user" if t == 0 else "assistant", f"{i}" if t else "hi", "x", "y") for i in (2**54 + 2, 2**54 + 3, 2**54 + 4, -1, -2, 2**63 - 2, 2**63 - 1) for t in (0, 1)]
+    rows += [(10, 0, "user", long, "x", "y"), (10, 1, "assistant", long, "x", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chosen string, pair_id string")
+    got = {r["pair_id"]: r for r in preference.formatted(preference.swapped_replies(df)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    reply = lambda i: f"<|im_start|>assistant\n{i}<|im_end|>\n"
+    for i, r in got.items():
+        if i != 10:
+            assert (r["n_common"], r["chosen"]) == (1, reply(i)) and r["rejected"] == (reply(i ^ 1) if i ^ 1 in got else "")
+    a, b = map(int, got[10]["chosen_mask"].split("-"))
+    assert got[10]["prompt"] == f"<|im_start|>user\n{long}<|im_end|>\n" and got[10]["chosen"][a:b] == long + "<|im_end|>\n" and got[10]["rejected"] == ""
+    ints = spark.createDataFrame([(2, 0, "user", "a"), (3, 0, "user", "b")], "conv_id int, turn int, role string, text string")
+    assert sorted(r["pair_id"] for r in preference.formatted(preference.swapped_replies(ints)).collect()) == [2, 3]
+
+
 # ---- classifiers
 
 
@@ -231,6 +250,55 @@ def test_toxicity(spark, docs_of):
     assert toxicity.Scorer(constant).scores(["x", None]).tolist() == [1.0, 1.0] and toxicity.train([]).prior == 0.0
 
 
+def slow_features(model, text):
+    """A document's features window by window, through the network's own forward pass."""
+    words, net, logits = model.words, model.net, []
+    chunks = (text or "").split()
+    for a in toxicity.starts(len(chunks)):
+        g = []
+        for c in chunks[a : a + toxicity.WINDOW]:
+            w = toxicity.bare(c)
+            grams = ["=" + w, *toxicity.affixes(w[:5], w[-4:])] if w else []
+            e = [float(words.evidence(words.counts[words.ids.get(x, -1)])) for x in grams]
+            known = bool(e) and abs(e[0]) > toxicity.KNOWN
+            stats = [e[0] if known else 0.0, max(e[1:], default=0.0), sum(e[1:]) / max(1, len(e) - 1)]
+            char = [words.bucket(x) for x in grams[1:]]
+            g.append(net.gates(net.vectors(np.array([stats]), np.array([words.bucket(grams[0]) if known else 0]), np.array([char + [0] * (5 - len(char))])))[0])
+        logits.append(net.forward(np.array(g)[None], np.ones((1, len(g)), bool))[0][0])
+    return toxicity.summary(np.array(logits))
+
+
+def test_scoring_equals_the_plain_forward_pass(spark):
+    """What scores documents reads the same windows and the same features as the network that was trained."""
+    rows = [(r["text"], r["toxic"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").orderBy("doc_id").collect()]
+    model = toxicity.train(rows)
+    assert all(np.abs(model.words.evidence(model.words.counts[:-1])) > toxicity.KNOWN)
+    texts = [t for t, _ in rows[:12]] + ["", None, "one", "a,b/c " * 40, "!!! " * 50]
+    got = toxicity.Scorer(model).scores(texts)
+    assert np.allclose(got, [model.probability(np.array([slow_features(model, t)]))[0] for t in texts], atol=1e-4)
+
+
+def test_ids_of_int_type_and_clashing_columns(spark, field):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1.0, "p"), (2, None, None, None, None)], "doc_id int, text string, source string, statistics double, score string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id int, quality int, toxic int")
+    model = quality.fit(docs, labels, lambda i: F.lit(True))
+    assert quality.scored(docs, model).count() == 2 and quality.kept_good(docs, model, 0.0).columns == docs.columns
+    net = toxicity.fit(docs, labels, lambda i: F.lit(True))
+    assert toxicity.scored(docs, net).count() == 2 and toxicity.kept_clean(docs, net, 2.0).schema == docs.schema
+    assert mixing.mixed(docs).count() == 2 and mixing.drawn(docs).columns == docs.columns
+    assert packing.pack_documents(docs, queries.tokenizer()).count() == 2
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t")], "page_id int, url string, html string, text string")
+    assert dom.extracted(pages, field).count() == 1 and warc.captures(pages).first()["page_id"] == 1
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(50)] + [(50, "y" * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(51)], "doc_id long, toxic int")
+    kept = common.sampled(docs, labels, "toxic", lambda i: F.lit(True), 100, 500).collect()
+    assert sum(len(r["text"]) for r in kept) <= 500 and all(r["doc_id"] < 50 for r in kept) and len(kept) > 8
+    assert len(common.sampled(docs, labels, "toxic", lambda i: F.lit(True), 7, 10**6).collect()) == 7
+
+
 def test_windows_cover_all_words():
     for n in range(0, 200):
         seen = np.zeros(n, int)
@@ -352,6 +420,33 @@ def test_archives(spark, tmp_path):
     assert warc.captures(pages.filter("false"), str(tmp_path / "e")).count() == 0
 
 
+def test_every_record_can_be_read_by_itself(spark, tmp_path):
+    """Archives are gzip files of one member a record, which the index points at; they end at a bound of bytes."""
+    big = bytes(range(33, 127)).decode() * 200_000  # over 16 MiB, so its member's last byte isn't zero
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", big), (3, "http://c/", "y")], "page_id long, url string, html string").coalesce(1)
+    got = warc.captures(pages, str(tmp_path / "a")).collect()
+    assert len({r["archive"] for r in got}) == 1
+    raw = (tmp_path / "a" / got[0]["archive"]).read_bytes()
+    assert gzip.decompress(raw).count(b"WARC/1.1\r\n") == 3
+    for r in got:
+        record = gzip.decompress(raw[r["position"] : r["position"] + r["record_bytes"]])
+        assert record.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r['page_id']}:".encode() in record
+    longs = spark.createDataFrame([(i, "u", chr(97 + i) * 20_000_000) for i in range(3)], "page_id long, url string, html string").coalesce(1)
+    assert len({r["archive"] for r in warc.captures(longs, str(tmp_path / "l")).select("archive").collect()}) == 3
+
+
+def test_no_payload_is_lost_where_ids_are_missing_or_repeat(spark, tmp_path):
+    h = "h" * 300
+    of = lambda rows: warc.captures(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / str(len(rows))))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in of([(-1, "u", h), (None, "u", h), (3, "u", h)]).collect()}
+    assert got == {-1: ("response", None), None: ("revisit", -1), 3: ("revisit", -1)}
+    again = of([(5, "u", h), (5, "u", h), (5, "u", "z" * 200), (7, "u", h)]).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in again) == [(5, "response")] * 3 + [(7, "revisit")]
+    names = [b.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for f in (tmp_path / "4").glob("*.txt") for b in gzip.decompress(f.read_bytes()).split(b"WARC/1.1\r\n")[1:]]
+    assert len(set(names)) == 4
+    assert all(r["record_type"] == "response" for r in of([(None, "u", h), (None, "v", h)]).collect())
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in (0, 1, 2, 3, 7, 16):
