@@ -5,7 +5,7 @@ fingerprint emits the variants within half the radius, the variants are shuffled
 Half of 3 is not whole, so parity decides: fingerprints with an even number of set bits emit themselves and their
 64 one-bit variants, odd ones also two-bit variants (a pair at distance 3 has one of each; pairs at 1 or 2 meet in
 one-bit variants). Of the two-bit variants only those are needed whose two bits lie in the same half: two of any three
-differing bits do. That is the smallest set that meets every pair.
+differing bits do. So odd fingerprints do not emit the whole ball of radius 2, and every pair meets all the same.
 
 A group that shares a variant is linked as a star. Its hub is a member within one bit of the variant; all others are
 within two bits of it, so within three of the hub, and connectivity loses nothing. Two-bit members that meet without
@@ -14,9 +14,12 @@ reduced to a forest inside each task before they are written.
 
 Variants travel packed: for each fingerprint and shuffle bucket one list of flip codes, which the receiver expands.
 
+A node has at most 43,744 links, the size of its ball, so links have no hot key. Components and fingerprints that many
+share are few by the bound in `common.met` and meet their members by broadcast.
+
 Cases: null or empty texts have fingerprint zero and link like others; equal texts share one fingerprint, which is
-searched once; null ids take part and never become a component's id unless no member has one; an empty table gives
-an empty one; further columns are ignored.
+searched once; a very long text is read whole, by itself; null ids take part and never become a component's id unless
+no member has one; rows that repeat an id are rows each; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix64, parts
+from .common import U64, by_size, cut, met, mix64, parts, release
 from .components import components
 
 SHINGLE = 3
@@ -80,11 +83,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): 64 bits as a signed long; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = np.array([fingerprint(t.as_py()) for t in b.column("text")], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made)], ["doc_id", "fp"])
+        for batch in batches:
+            for b in by_size(batch, "text"):
+                made = np.array([fingerprint(t.as_py()) for t in b.column("text")], U64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _codes(fp: np.ndarray) -> np.ndarray:
@@ -162,12 +166,14 @@ def links(distinct: DataFrame, group_variants: int = GROUP_VARIANTS) -> DataFram
 def near_duplicates(docs: DataFrame, group_variants: int = GROUP_VARIANTS) -> DataFrame:
     """(doc_id, fp, component_id) for each document: the smallest doc_id reachable over links of at most 3 bits."""
     prints = cut(fingerprints(docs))
-    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    reached = cut(components(links(reps.select("fp"), group_variants)))
-    joined = reps.join(reached, reps["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    reached = components(links(reps.select("fp"), group_variants))
+    joined = cut(reps.join(reached, reps["fp"] == reached["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    smallest = cut(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    classes = cut(met(joined, smallest, "root", "n").select("fp", "rows", "component_id"))
+    for done in (reps, joined, smallest):
+        release(done)
+    return met(prints, classes, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
