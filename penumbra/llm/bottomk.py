@@ -6,14 +6,18 @@ sketched apart and merged. From two sketches follow the resemblance and containm
 the number of distinct shingles; all are exact while no set exceeds k.
 
 Cases: a null text counts as empty; two empty sketches resemble each other fully, an empty one is contained in any;
-equal texts have equal sketches whatever their ids; repeated rows are rows like any others.
+equal texts have equal sketches whatever their ids; repeated rows are rows like any others; null ids count as the
+smallest; a very long text is read whole, by itself; further columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,14 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix64, parts, words
+from .common import U64, by_size, mix64, parts, words
 
 K = 256
 SHINGLE = 5
 #: Distinct words whose hashes a task keeps at once.
 CACHE_WORDS = 300_000
-#: Rows of a range of ids that one sorted group holds, about; a row more or less does no harm.
-RANGE_ROWS = 20_000
+#: Rows of a range of ids, about; a range is sorted and read as a stream by one task.
+RANGE_ROWS = 100_000
+#: Rows that the driver samples (an id, a hash and a length each): for each range, and in all at least.
+SAMPLE_A_RANGE, LEAST_SAMPLE = 16, 50_000
+#: A row that repeats is split over so many ranges that each gets this many of its copies in the sample: that the last
+#: one gets none of all copies has a chance below 1e-17.
+COPIES = 40
+#: What a row costs beside its bytes, when ranges are made even.
+ROW_BYTES = 200
 
 
 class Sketcher:
@@ -106,7 +117,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Sketcher(k, shingle)
-        for b in batches:
+        for b in chain.from_iterable(by_size(x, "text") for x in batches):
             made = [make.sketch(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([pack(m) for m in made], pa.binary()), pa.array([distinct_count(m, k) for m in made], pa.float64())], ["id", "sketch", "n_shingles"])
 
@@ -134,58 +145,107 @@ def merge(df: DataFrame, key: str, sketch_col: str = "sketch", k: int = K, fan:
     return first.groupBy("key", "salt").applyInPandas(group, out).groupBy("key").applyInPandas(group, out).withColumnRenamed("key", key)
 
 
+class Ranges:
+    """Ranges of rows in the order of (id, hash of text), even in bytes by a sample of (id, hash, bytes).
+
+    `cuts` are the first rows of all ranges but the first; rows equal to a cut that stands several times may be in any of
+    the ranges that it parts, since they are one row repeated. `head` is the first row of all.
+    """
+
+    def __init__(self, at: np.ndarray, h: np.ndarray, size: np.ndarray, ranges: int, head: tuple[int, int]):
+        order = np.lexsort((h, at))
+        at, h, cost = at[order], h[order], np.cumsum(size[order] + ROW_BYTES)
+        ends = np.searchsorted(cost, cost[-1] * np.arange(1, ranges) / ranges) if len(cost) else []
+        self.cuts, self.head = [], head
+        for row, m in Counter((int(at[i]), int(h[i])) for i in ends).items():
+            if row > head:
+                copies = int(((at == row[0]) & (h == row[1])).sum()) if m > 1 else 0
+                self.cuts += [row] * max(1, min(m, copies // COPIES))
+        self.n = len(self.cuts) + 1
+
+    def span(self, row: tuple[int, int]) -> tuple[int, int]:
+        """First and last range that a row may be in."""
+        low, high = bisect_left(self.cuts, row), bisect_right(self.cuts, row)
+        return (high, high) if high - low < 2 else (low + 1, high)
+
+    def repeated(self) -> list[tuple[int, int]]:
+        """Rows that begin a range and may be very many: the first of all, and those that stand several times."""
+        return sorted({self.head, *(a for a, b in zip(self.cuts, self.cuts[1:], strict=False) if a == b)})
+
+    def before(self, row: tuple[int, int]) -> list[int]:
+        """The ranges that a row follows: it is the next one of their last row."""
+        low, high = bisect_left(self.cuts, row), bisect_right(self.cuts, row)
+        return [low] * (high > low) + [self.n - 1] * (row == self.head)
+
+
 def edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Sketch every text and its edited text, whose last quarter comes from the next document's start.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles. Rows
-    are dealt to ranges of doc_id (null ids count as the smallest; equal ids are in order of text), each text is moved
-    once, and a sorted stream meets each row's successor. A range also gets the first row of the next one, the last
-    range the first row of all. The driver holds two numbers a range.
+    are in order of id, null ids first, and equal ids in order of a hash of the text, then text. They are dealt to ranges
+    of that order, each text is moved once, and a sorted stream meets each row's successor. A range also gets the first
+    row of the next one, the last range the first row of all. Ranges are even in bytes; a row that repeats over more
+    than a range is split, as its copies follow each other. The driver holds a sample of bounded size a range.
     """
     spark = docs.sparkSession
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("at"))
-    rows = src.select("at").count()
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63))))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+    rows, least = src.agg(F.count("*"), F.min("at")).first()
+    src = src.withColumn("h", F.xxhash64("text"))
+    # null ids come first, beside the smallest number
+    first = F.col("doc_id").isNull() | (F.col("doc_id") == least) if least == -(2**63) else F.col("doc_id") == least
+    head = src.filter(first).agg(F.min("h")).first()[0] if rows else 0
     n = max(parts(spark), -(-rows // range_rows))
-    cuts = sorted(set(src.select(F.col("at").cast("double")).approxQuantile("at", [i / n for i in range(1, n)], 1 / (8 * n)))) if rows and n > 1 else []
-    cuts = np.array(cuts, np.float64)
-
-    @F.pandas_udf("int")
-    def bucket(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(np.float64), side="right").astype(np.int32))
-
-    heads = sorted((r[0], r[1]) for r in src.select("at").withColumn("b", bucket("at")).groupBy("b").agg(F.min("at")).collect())
-    ids = np.array([at for _, at in heads], np.int64)
-    back = np.array([heads[i - 1][0] for i in range(len(heads))], np.int32)
+    share = max(SAMPLE_A_RANGE * n, LEAST_SAMPLE) / max(1, rows)
+    some = (src if share >= 1 else src.sample(share, 11)).select("at", "h", F.octet_length("text").alias("size")).toArrow()
+    ranges = Ranges(*(some.column(c).to_numpy() for c in ("at", "h", "size")), n, (least or 0, head))
+    many = set(ranges.repeated())
 
     @F.pandas_udf("array<int>")
-    def places(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(np.int64)
-        own = np.searchsorted(cuts, at.astype(np.float64), side="right").astype(np.int32)
-        i = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
-        return pd.Series([[o, back[j]] if head else [o] for o, j, head in zip(own, i, ids[i] == at, strict=True)])
-
-    dealt = src.select("doc_id", "at", "text", F.posexplode(places("at")).alias("ahead", "b")).repartition(n, "b").sortWithinPartitions("b", "ahead", "at", "text")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+    def places(at: pd.Series, h: pd.Series, spin: pd.Series) -> pd.Series:
+        out = []
+        for a, b, r in zip(at.tolist(), h.tolist(), spin.tolist(), strict=True):
+            low, high = ranges.span((a, b))
+            out.append([low + int(r * (high - low + 1)), *([] if (a, b) in many else ranges.before((a, b)))])
+        return pd.Series(out)
+
+    order = ["doc_id", "at", "h", "text", "ahead", "b"]
+    dealt = src.select("doc_id", "at", "h", "text", F.posexplode(places("at", "h", F.rand(5))).alias("ahead", "b")).select(order)
+    # of rows that may be very many one copy goes to the range before them
+    to = spark.createDataFrame([(a, b, r) for a, b in sorted(many) for r in ranges.before((a, b))], "at long, h long, b int")
+    near = src if len(many) > 1 else src.filter(first)
+    copies = near.join(F.broadcast(to), ["at", "h"]).withColumn("ahead", F.lit(1)).select(order).dropDuplicates(["at", "h", "text", "b"])
+    dealt = dealt.unionByName(copies).repartitionById(ranges.n, "b").sortWithinPartitions("b", "ahead", "at", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, before, out = Sketcher(k, shingle), None, []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b, ahead, doc, text = (batch.column(c)[i].as_py() for c in ("b", "ahead", "doc_id", "text"))
+
+        def add(after: str, sketch: np.ndarray) -> None:
+            _, doc, text, own = before
+            quarter = len(text) // 4
+            new = text[: len(text) - quarter] + after[:quarter]
+            edited = make.sketch(new)
+            out.append((doc, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), printed(own), printed(edited), resemblance(own, edited, k), resemblance(own, sketch, k), distinct_count(own, k)))
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for batch in chain.from_iterable(by_size(x, "text") for x in batches):
+            for b, ahead, doc, text in zip(*(batch.column(c).to_pylist() for c in ("b", "ahead", "doc_id", "text")), strict=True):
                 own = None
                 if before and before[0] == b:
-                    own = make.sketch(text)
-                    _, was, t, s = before
-                    quarter = len(t) // 4
-                    new = t[: len(t) - quarter] + text[:quarter]
-                    e = make.sketch(new)
-                    out.append((was, len(t), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), printed(s), printed(e), resemblance(s, e, k), resemblance(s, own, k), distinct_count(s, k)))
+                    own = before[3] if text == before[2] else make.sketch(text)
+                    add(text, own)
+                elif before:  # a range within one repeated row, whose next is the row again
+                    add(before[2], before[3])
                 before = None if ahead else (b, doc, text, make.sketch(text) if own is None else own)
                 if len(out) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
+                    yield made()
+                    out.clear()
+        if before:
+            add(before[2], before[3])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield made()
 
     return dealt.select("b", "ahead", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double")

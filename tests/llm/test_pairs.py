@@ -89,26 +89,67 @@ def test_components_of_a_long_chain(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def slow_sketch(text):
-    make = bottomk.Sketcher()
-    return make, set(make.hashes(text).tolist())
+def slow_shingles(text):
+    """The set of runs of five words, by a plain loop over the text's words."""
+    own = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
 
 
-def test_fingerprints_query(spark):
-    got = {r["doc_id"]: r for r in queries.op7_bottom_k_fingerprints(spark, SMALL).collect()}
-    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
-    assert len(got) == len(rows)
+def check_edits(rows, got):
+    """Fingerprint rows against shingle sets; `rows` are (doc_id, text) in order, the next of a row being the one after."""
+    want = []
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
-        r, (_, a), (_, b), (_, c) = got[i], slow_sketch(t), slow_sketch(edited), slow_sketch(after)
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        for near, other in ((r["near_edited"], b), (r["near_next"], c)):
-            true = len(a & other) / len(a | other) if a | other else 1.0
-            assert abs(near - true) < (1e-12 if len(a | other) <= bottomk.K else 0.15)
+        near = []
+        for other in (edited, after):
+            a, b = slow_shingles(t), slow_shingles(other)
+            near.append((len(a & b) / len(a | b) if a | b else 1.0, len(a | b) <= bottomk.K))
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), near))
+    have = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_next"], r["near_edited"]) for r in got)
+    assert [h[:3] for h in have] == sorted(w[:3] for w in want)
+    for h, w in zip(have, sorted(want, key=lambda w: (*w[:3], w[3][1][0])), strict=True):
+        for mine, (true, exact) in ((h[4], w[3][0]), (h[3], w[3][1])):
+            assert abs(mine - true) < (1e-12 if exact else 0.15)
+
+
+def test_fingerprints_query(spark):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    check_edits(rows, queries.op7_bottom_k_fingerprints(spark, SMALL).collect())
+
+
+def ordered(rows):
+    """Null ids first, equal ids in order of the hash that Spark gives their texts."""
+    sign = lambda h: h - (1 << 64) if h >> 63 else h
+    return sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (-(2**63) if r[0] is None else r[0], sign(xxhash.xxh64_intdigest(r[1].encode(), 42)), r[1]))
+
+
+def test_fingerprints_of_ids_that_repeat(spark, docs_of):
+    """A third of all rows without an id, a third with one id and equal texts: split over ranges, no row lost."""
+    rng = random.Random(2)
+    own = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 30)))
+    rows = [(None, own()) for _ in range(400)] + [(7, "same text of many rows and some more of it")] * 400 + [(i, own()) for i in range(400)] + [(None, None)] * 150
+    rng.shuffle(rows)
+    check_edits(ordered(rows), bottomk.edits(docs_of(rows), range_rows=60).collect())
+    for few in ([(3, "x y")] * 3 + [(4, "z")], [(None, None)] * 5, [(2, "only")]):
+        check_edits(ordered(few), bottomk.edits(docs_of(few), range_rows=1).collect())
+
+
+def test_ranges_are_even():
+    rng = np.random.default_rng(3)
+    at, h = np.r_[rng.integers(0, 10**6, 20_000), np.full(10_000, 17)], rng.integers(-(2**62), 2**62, 30_000)
+    h[25_000:] = 5
+    size = np.where(at < 1000, 50_000, 100)
+    ranges = bottomk.Ranges(at, h, size, 40, (-1, 0))
+    low = [ranges.span(r) for r in zip(at.tolist(), h.tolist(), strict=True)]
+    load = np.zeros(ranges.n)
+    for (a, b), n in zip(low, size.tolist(), strict=True):
+        load[a : b + 1] += (n + bottomk.ROW_BYTES) / (b - a + 1)
+    assert ranges.n > 30 and load.max() < 2 * load.mean() and (17, 5) in ranges.repeated()
 
 
 def test_fingerprint_edges_and_sketches(spark, docs_of):
     got = bottomk.edits(docs_of(EDGE), range_rows=3)
+    check_edits(ordered(EDGE), got.collect())
     by = {r["doc_id"]: r for r in got.collect()}
     assert len(by) == len(EDGE) and by[7]["fingerprint"] == by[8]["fingerprint"] == by[11]["fingerprint"]
     assert by[1]["fingerprint"] == by[2]["fingerprint"] == "" and by[1]["near_next"] == 1.0 and by[2]["near_next"] == 1.0 and by[3]["near_next"] == 0.0
