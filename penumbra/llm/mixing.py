@@ -5,20 +5,26 @@ limit. Whole copies are certain, the fraction is an inclusion probability. The f
 of three documents at a time along the null space of two balance constraints (their number and their words), until
 one of them is 0 or 1 and the next document takes its place; at most two documents of a chunk stay fractional, beside twelve of
 spread sizes that are kept for landing. The fractional rest of a source's chunks flies again in the same way, in
-chunks as long as one task would get too many, and its last fourteen documents land on the whole numbers that bring the source's words nearest to its target.
+chunks as long as one task would get too many, and its last fourteen documents land on the whole numbers that bring the
+source's words nearest to its target.
 
-A source of any size is flown in chunks of a bounded number of documents, dealt by a hash. The driver learns one
-number a round of the water-filling that sets targets.
+A source of any size is flown in chunks of a bounded number of documents, dealt by a hash. Rows that are equal are
+counted first and travel as counts until they are in their chunk, a bounded number together, so no value is hot. Every
+chunk draws its own directions from a seed. The driver learns one number a round of the water-filling that sets
+targets, and one a partition of sources.
 
 Cases: a null text has size 0; null sources are one source, last in order; sources without words have target 0; an
-empty table gives an empty one; rows that repeat are documents of their own; reruns agree.
+empty table gives an empty one; rows that repeat are documents of their own; a very long text is counted whole; further
+columns are ignored by `mixed` and kept by `drawn`, whatever their names; reruns agree.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -30,6 +36,9 @@ MOST_COPIES = 3
 SMALL_SOURCES = 10_000
 #: Documents of a source, beside the two that flight leaves, whose outcomes are compared in landing.
 LANDING = 12
+#: Equal rows that are dealt together at most.
+TOGETHER = 100
+SEED = 17
 EPS = 1e-9
 
 
@@ -38,18 +47,30 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def row_key(doc_id: Column, source: Column, text: Column) -> Column:
-    """A number that rows equal in id, source and text share."""
-    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), F.coalesce(source, F.lit("")), source.isNull(), text)
+def row_key(docs: DataFrame, columns: list[str]) -> Column:
+    """A number that rows equal in these columns share; nulls are unlike any value."""
+    own = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*own, F.concat(*(F.when(c.isNull(), "0").otherwise("1") for c in own)))
+
+
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with nth: their place in order of a column, nulls last; sorted in parts, of which the driver counts rows."""
+    now = cut(rows.orderBy(F.col(column).asc_nulls_last()))
+    count = dict(map(tuple, now.groupBy(F.spark_partition_id()).count().collect()))
+    before, at = [], 0
+    for p in range(max(count, default=-1) + 1):
+        before.append(at)
+        at += count.get(p, 0)
+    first = F.element_at(F.array(*map(F.lit, before or [0])).cast("array<long>"), F.spark_partition_id() + 1)
+    return now.withColumn("nth", first + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = MOST_COPIES) -> DataFrame:
-    """(source, n, source_size, target): weights repeat over sources in code point order, nulls last; what a source
+    """From (source, size, rows) to (source, n, source_size, target): weights repeat over sources in code point order, nulls last; what a source
     cannot take (over `most` times its size) is shared by weight among the others until none is above."""
-    each = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int"))
-    stats = cut(each.withColumn("weight", weight))
+    each = sizes.groupBy("source").agg(F.sum("rows").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("source_size"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int"))
+    stats = cut(numbered(each, "source").withColumn("weight", weight).drop("nth"))
     total, most_of, by_weight = stats.agg(F.sum("source_size"), F.sum(F.col("source_size") * 0.0), F.sum(F.when(F.col("source_size") > 0, F.col("weight")))).first()
     rate = 0.0
     while total and by_weight:
@@ -62,7 +83,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     return stats.select("source", "n", "source_size", F.least(F.col("weight") * rate, F.col("source_size") * float(most)).cast("double").alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+def flight(p: np.ndarray, size: np.ndarray, seed: int = SEED) -> np.ndarray:
     """Probabilities moved until at most two are fractional, keeping their sum and their sum of sizes."""
     p = p.astype(float).copy()
     live: list[int] = []
@@ -85,7 +106,7 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
             elif x < 0:
                 up, down = min(up, value[i] / -x), min(down, (1 - value[i]) / -x)
         # up with chance down / (up + down) keeps every expectation; the order of documents is already hashed
-        step = up if (_spin(a, b, c) * (up + down)) < down else -down
+        step = up if (_spin(a, b, c, seed) * (up + down)) < down else -down
         for i, x in zip(live, u, strict=True):
             value[i] = min(1.0, max(0.0, value[i] + step * x))
         live = [i for i in live if EPS < value[i] < 1 - EPS]
@@ -93,9 +114,9 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(out <= EPS, 0.0, np.where(out >= 1 - EPS, 1.0, out))
 
 
-def _spin(a: int, b: int, c: int) -> float:
-    """A number from 0 to 1 that is the same in every run."""
-    x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9 + 0x27D4EB2F165667C5) & 0xFFFFFFFFFFFFFFFF
+def _spin(a: int, b: int, c: int, seed: int) -> float:
+    """A number from 0 to 1 that is the same in every run of a seed."""
+    x = (seed * 0xFF51AFD7ED558CCD + a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9 + 0x27D4EB2F165667C5) & 0xFFFFFFFFFFFFFFFF
     x ^= x >> 32
     x = (x * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
     return ((x ^ (x >> 32)) >> 11) / (1 << 53)
@@ -110,19 +131,19 @@ def held(p: np.ndarray, size: np.ndarray, n: int = LANDING) -> np.ndarray:
     return mark
 
 
-def fly_all_but(p: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
+def fly_all_but(p: np.ndarray, size: np.ndarray, mark: np.ndarray, seed: int = SEED) -> np.ndarray:
     out = p.astype(float).copy()
-    out[~mark] = flight(p[~mark], size[~mark])
+    out[~mark] = flight(p[~mark], size[~mark], seed)
     return out
 
 
-def land(p: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
+def land(p: np.ndarray, size: np.ndarray, owed: float, seed: int = SEED) -> np.ndarray:
     """Whole numbers for all, so that the words taken come nearest to `owed`, and then their number to its expectation.
 
     All but a few documents fly; of those kept and the two that flight leaves all outcomes are compared.
     """
     many = p.sum()
-    p = fly_all_but(p, size, held(p, size))
+    p = fly_all_but(p, size, held(p, size), seed)
     rest = np.flatnonzero((p > 0) & (p < 1))
     owed -= float((p * size)[p == 1].sum())
     many -= float((p == 1).sum())
@@ -132,35 +153,50 @@ def land(p: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
     return p
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST_COPIES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source, row) for each document; row is its row_key."""
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("row")))
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST_COPIES, chunk_rows: int = CHUNK_ROWS, seed: int = SEED, columns: tuple[str, ...] = ("doc_id", "source", "text")) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, source, row) for each document; row is its row_key by `columns`."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), row_key(docs, list(columns)).alias("row"))
+    sizes = cut(own.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("rows")))
     share = cut(targets(sizes, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + EPS).cast("int")
     p = F.greatest(F.lit(0.0), rate - whole)
-    fields = ["doc_id", "source", "size", "row", "source_size", "target", "whole", "p", "owed"]
-    flying = sizes.join(F.broadcast(share) if share.count() <= SMALL_SOURCES else share, sizes["source"].eqNullSafe(share["source"])).select("doc_id", sizes["source"], "size", "row", "source_size", "target", whole.alias("whole"), p.alias("p"), (p * F.col("size")).alias("owed"), "n")
-    kinds = "doc_id long, source string, size long, row long, source_size long, target double, whole int, p double, owed double"
-
-    def fly(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["row", "doc_id"], kind="stable", ignore_index=True)
-        start, size = f["p"].to_numpy(), f["size"].to_numpy()
-        p = fly_all_but(start, size, held(start, size))
-        # those still fractional owe what the chunk owed less what is decided
-        left = (p > 0) & (p < 1)
-        owed = float(f["owed"].sum() - (p * size)[~left].sum())
-        return f.assign(p=p, owed=np.where(left, owed / max(1, left.sum()), 0.0))[fields]
-
-    def settle(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["row", "doc_id"], kind="stable", ignore_index=True)
-        return f.assign(p=land(f["p"].to_numpy(), f["size"].to_numpy(), float(f["owed"].sum())))
+    fields = ["doc_id", "source", "size", "row", "nth", "source_size", "target", "whole", "p", "owed"]
+    # equal rows are dealt a bounded number together: nth is the first one's number, rows how many there are
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(TOGETHER).cast("long")))
+    flying = sizes.join(F.broadcast(share) if share.count() <= SMALL_SOURCES else share, sizes["source"].eqNullSafe(share["source"])).select("doc_id", sizes["source"], "size", "row", "rows", first.alias("nth"), "source_size", "target", whole.alias("whole"), p.alias("p"), (p * F.col("size")).alias("owed"), "n")
+    flying = flying.withColumn("rows", F.least(F.col("rows") - F.col("nth"), F.lit(TOGETHER)))
+    kinds = "doc_id long, source string, size long, row long, nth long, source_size long, target double, whole int, p double, owed double"
+    order = ["row", "doc_id", "nth"]
+
+    def of(level: int, *key) -> int:
+        return zlib.crc32(repr((seed, level, *key)).encode())
+
+    def fly(level: int):
+        def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            if level == 0:  # a row for each of equal documents
+                many = f["rows"].to_numpy()
+                at = np.repeat(np.arange(len(f)), many)
+                f = f.iloc[at].assign(nth=f["nth"].to_numpy()[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many))
+            f = f.sort_values(order, kind="stable", ignore_index=True)
+            start, size = f["p"].to_numpy(), f["size"].to_numpy()
+            p = fly_all_but(start, size, held(start, size), of(level, *key))
+            # those still fractional owe what the chunk owed less what is decided
+            left = (p > 0) & (p < 1)
+            owed = float(f["owed"].sum() - (p * size)[~left].sum())
+            return f.assign(p=p, owed=np.where(left, owed / max(1, left.sum()), 0.0))[fields]
+
+        return run
+
+    def settle(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order, kind="stable", ignore_index=True)
+        return f.assign(p=land(f["p"].to_numpy(), f["size"].to_numpy(), float(f["owed"].sum()), of(-1, *key)))[fields]
 
     fractional = F.col("p").between(EPS, 1 - EPS)
     done, level = [], 0
     while True:
-        chunk = F.pmod(F.xxhash64("row", F.lit(level)), F.ceil(F.col("n") / chunk_rows))
-        flown = cut(flying.withColumn("chunk", chunk).select(*fields, "chunk").groupBy("source", "chunk").applyInPandas(fly, kinds))
+        chunk = F.pmod(F.xxhash64("row", "nth", F.lit(level), F.lit(seed)), F.ceil(F.col("n") / chunk_rows))
+        flown = cut(flying.withColumn("chunk", chunk).select(*fields, *["rows"] * (level == 0), "chunk").groupBy("source", "chunk").applyInPandas(fly(level), kinds))
         done.append(flown.filter(~fractional))
         rest = flown.filter(fractional)
         each = rest.groupBy("source").agg(F.count("*").alias("n"))
@@ -179,11 +215,20 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = M
 def drawn(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
     """The documents as often as the mix takes them: all their columns, rows repeated up to `most` times.
 
-    Rows equal in id, source and text share their copies evenly; the texts are shuffled once.
+    Texts are shuffled once. Rows that are equal in all columns are any of them: they are counted, and their copies are
+    made from one, a bounded number at a time.
     """
-    taken = mixed(docs, weights, most).groupBy(F.col("row").alias("row_"), F.coalesce("doc_id", F.lit(-1)).alias("id_")).agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_")).filter("copies_ > 0")
-    keyed = docs.withColumns({"row_": row_key(F.col("doc_id"), F.col("source"), F.col("text")), "id_": F.coalesce("doc_id", F.lit(-1))})
-    nth = F.row_number().over(Window.partitionBy("row_", "id_").orderBy("row_"))
-    own = F.floor(F.col("copies_") / F.col("rows_")) + (F.col("nth_") <= F.col("copies_") % F.col("rows_")).cast("long")
-    dealt = keyed.join(taken, ["row_", "id_"]).withColumn("nth_", nth).withColumn("own_", own).filter("own_ > 0")
-    return dealt.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("own_").cast("int")))).select(*docs.columns)
+    name = "row_"
+    while name in docs.columns:
+        name += "_"
+    copies, rows = f"{name}copies", f"{name}rows"
+    taken = cut(mixed(docs, weights, most, columns=tuple(docs.columns)).groupBy(F.col("row").alias(name)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).filter(F.col(copies) > 0))
+    keyed = docs.withColumn(name, row_key(docs, docs.columns))
+    one, many = taken.filter(F.col(rows) == 1), taken.filter(F.col(rows) > 1)
+    out = keyed.join(one, name).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    if not many.isEmpty():
+        alike = keyed.join(many, name).distinct()
+        blocks = alike.withColumn(rows, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(TOGETHER).cast("long"))))
+        spread = blocks.repartition(F.col(name), F.col(rows))
+        out = out.unionByName(spread.withColumn(copies, F.explode(F.sequence(F.col(rows), F.least(F.col(copies), F.col(rows) + TOGETHER) - 1))))
+    return out.drop(name, copies, rows)

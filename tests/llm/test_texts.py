@@ -72,7 +72,7 @@ def test_mixing(spark, docs_of):
     again = mixing.mixed(docs, chunk_rows=50).toPandas()
     assert got.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
     drawn = mixing.drawn(docs)
-    whole = mixing.mixed(docs).toPandas()
+    whole = mixing.mixed(docs, columns=tuple(docs.columns)).toPandas()
     assert drawn.columns == docs.columns and drawn.count() == whole["copies"].sum()
 
 
@@ -80,7 +80,43 @@ def test_mixing_edges(docs_of):
     got = mixing.mixed(docs_of(EDGE)).toPandas()
     assert len(got) == len(EDGE) and got[got["doc_id"] == 1]["target"].iloc[0] >= 0 and got["size"].max() == 40000
     assert mixing.mixed(docs_of([])).count() == 0 and mixing.drawn(docs_of([])).count() == 0
-    assert mixing.drawn(docs_of(EDGE)).count() == got["copies"].sum()
+    edge = docs_of(EDGE)
+    assert mixing.drawn(edge).count() == mixing.mixed(edge, columns=tuple(edge.columns)).toPandas()["copies"].sum()
+
+
+def test_equal_rows_are_no_hot_key(spark, docs_of):
+    """Equal rows are dealt, flown and copied a few at a time, and none is lost."""
+    rows = [(1, "a b c d e", "s")] * 3000 + [(i, "w " * (i % 40), "s" if i % 2 else "t") for i in range(2, 600)]
+    docs = docs_of(rows)
+    got = mixing.mixed(docs, chunk_rows=200).toPandas()
+    assert len(got) == len(rows)
+    for s, own in got.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 5, s
+    again = mixing.mixed(docs.repartition(7), chunk_rows=200).toPandas()
+    same = lambda f: sorted(zip(f["doc_id"], f["taken"], strict=True))
+    assert same(got) == same(again) and same(mixing.mixed(docs, chunk_rows=200, seed=1).toPandas()) != same(got)
+    drawn = mixing.drawn(docs).toPandas()
+    assert drawn.shape[0] == mixing.mixed(docs, columns=tuple(docs.columns)).toPandas()["copies"].sum()
+    assert (drawn["text"].str.split().str.len().groupby(drawn["source"]).sum() - got.groupby("source")["target"].first()).abs().max() <= 5
+
+
+def test_landing_is_the_best_of_all_outcomes():
+    """Of a few documents landing takes the whole numbers whose words come nearest, by trying all of them."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(rng.integers(1, 10))
+        p, size = rng.uniform(0.05, 0.95, n), rng.integers(0, 60, n)
+        owed = float((p * size).sum())
+        out = mixing.land(p, size, owed)
+        every = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+        assert set(out) <= {0.0, 1.0} and abs((out * size).sum() - owed) == pytest.approx(np.abs(every @ size - owed).min())
+
+
+def test_sources_are_numbered_in_order(spark):
+    names = [f"s{i:03d}" for i in range(300)] + [None, "é", "Z"]
+    got = mixing.numbered(spark.createDataFrame([(n,) for n in names[::-1]], "source string").repartition(5), "source").collect()
+    want = sorted((n for n in names if n is not None), key=str.encode) + [None]
+    assert [r["source"] for r in sorted(got, key=lambda r: r["nth"])] == want and sorted(r["nth"] for r in got) == list(range(len(names)))
 
 
 def test_flight_balances():
