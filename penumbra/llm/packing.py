@@ -3,11 +3,13 @@
 Documents are tokenized, closed by an end id and cut only where they exceed a sequence. Pieces are dealt to groups by
 a hash, so that no source, copy or id gathers in one, and each group is packed by itself: every sequence takes the
 longest piece left, then greedily the longest that fits; while a gap remains, the sequence's smallest piece is
-swapped for two unpacked pieces that together fill the widened gap more. Only lengths decide; a group holds lengths
-and places, never texts. A group ends with one part-filled sequence at most beyond what its lengths force.
+swapped for two unpacked pieces that together fill the widened gap more, also where it is the only one. Only lengths
+decide; a group holds lengths and places, never texts. A group ends with one part-filled sequence at most beyond what its
+lengths force.
 
-Cases: a null or empty text is one piece of one end id; equal rows are packed each; an empty table packs into none;
-lengths below 1 or above the capacity are an error.
+Cases: a null or empty text is one piece of one end id; equal rows are packed each; a very long text is tokenized by
+itself and cut into pieces; null ids stay null; further columns are ignored; an empty table packs into none; lengths below
+1 or above the capacity are an error.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_size
+
 CAPACITY = 2048
 END = 0
 #: Documents a group gets, about; their pieces' lengths are what it holds.
@@ -40,11 +44,26 @@ PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 
 
+#: Texts on which the way by chunks and words must give the library's ids before it is used.
+PROBES = (
+    "The quick brown-fox didn't jump (over) 1,234.56 dogs; they've said: 'we'll see', it's I'm.",
+    "ÉLAN naïve café Straße Ærø ÿ ß ×÷ µ\u00a0x\tTAB\r\nline  two   spaces\n\n\nend ",
+    " leading and trailing  \u3000 ideographic 日本語のテキスト mixed한국어 and ﬁ ligature İstanbul ŞİŞ",
+    "http://a.b/c?d=e&f=g#h user@example.com {json: [1, 2, null]} <|endoftext|> <b>x</b> a_b __init__ $100 50% C++",
+    "emoji 😀👍 zero\u200bwidth combining e\u0301 Ωμέγα Привет мир 're ''ve 'S don'T THEY'RE",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa 0123456789012345678901234567890 ............... \x01 \x7f",
+    "",
+    " ",
+    "\n",
+)
+
+
 class Tokenizing:
     """Ids of whole texts as little-endian bytes, from those of chunks between white space and of the words in them.
 
     No token of this kind of vocabulary spans white space or two of its words, so each distinct one is encoded once.
-    Chunks of plain characters are split here; any other goes to the library whole.
+    Chunks of plain characters are split here; any other goes to the library whole. Whether a vocabulary is of this kind
+    is tried on PROBES; texts of any other go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -54,6 +73,9 @@ class Tokenizing:
         self.encoder, self.known, self.words = Tokenizer.from_file(path), {}, {}
         mark = self.encoder.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.by_words = True
+        whole = [as_bytes([*e.ids, END]) for e in self.encoder.encode_batch(list(PROBES), add_special_tokens=False)]
+        self.by_words = [i.tobytes() for i in self.ids(list(PROBES))] == whole
 
     def _encode(self, new: list[str]) -> list[bytes]:
         """The ids of each string; many are encoded as one text, with marks between them."""
@@ -80,7 +102,11 @@ class Tokenizing:
             known.update(zip(other, (as_bytes(e.ids) for e in self.encoder.encode_batch(other, add_special_tokens=False)), strict=True))
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        # space, tab, line feed, carriage return: white space to any pattern
+        if not self.by_words:
+            for e in self.encoder.encode_batch([t or "" for t in texts], add_special_tokens=False):
+                yield np.array([*e.ids, END], "<u4")
+            return
+        # space, tab, line feed, carriage return: white space to such a vocabulary's patterns
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > CACHE_CHUNKS:
@@ -112,9 +138,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, nth = warm(path), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
+            for part in by_size(b, "text"):
                 rows = []
-                part = b.slice(lo, 1000)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), make.ids(part.column("text").to_pylist()), strict=True):
                     for i, at in enumerate(range(0, len(ids), capacity)):
                         own = ids[at : at + capacity]
@@ -123,7 +148,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<long>" * with_ids)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +199,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
                 own.append(take(n))
                 gap -= n
                 continue
-            if len(own) < 2:
-                break
-            least = min(range(1, len(own)), key=own.__getitem__)
+            least = min(range(len(own)), key=own.__getitem__)
             if (two := pair(gap + own[least], own[least])) is None:
                 break
             out = own.pop(least)

@@ -149,10 +149,52 @@ def test_best_two_fit(lengths):
 def test_the_swap_of_one_for_two():
     where, _ = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)
     assert len(set(where.tolist())) == 2 and sorted(np.bincount(where, [6, 3, 2, 2]).tolist()) == [3, 10]
+    # the only piece of a bin is its smallest too
+    where, _ = packing.best_two_fit(np.array([6, 5, 5]), 10)
+    assert sorted(np.bincount(where, [6, 5, 5]).tolist()) == [6, 10]
     with pytest.raises(ValueError):
         packing.best_two_fit(np.array([0]), 4)
 
 
+def fewest_bins(lengths, capacity):
+    """By trying all ways."""
+    best = [len(lengths)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for b in {k: b for b, k in enumerate(bins)}.values():
+            if bins[b] + lengths[i] <= capacity:
+                put(i + 1, [*bins[:b], bins[b] + lengths[i], *bins[b + 1 :]])
+        put(i + 1, [*bins, lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_best_of_all_ways():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        lengths = sorted(rng.integers(1, 11, rng.integers(1, 10)).tolist(), reverse=True)
+        where, _ = packing.best_two_fit(np.array(lengths), 10)
+        assert len(set(where.tolist())) <= fewest_bins(lengths, 10) + 1
+
+
+def test_a_vocabulary_of_another_kind_goes_to_the_library():
+    """Ids must be the library's whatever the vocabulary; ways that would differ are found by trying."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The quick  brown fox\n\n isn't 12345 far.", "", None, "日本 é"]
+    make, plain = packing.Tokenizing(path), Tokenizer.from_file(path)
+    assert not make.by_words and packing.Tokenizing(queries.tokenizer()).by_words
+    assert [i.tolist() for i in make.ids(texts)] == [plain.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_packed_documents(spark, docs_of):
     from tokenizers import Tokenizer
 
