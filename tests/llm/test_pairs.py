@@ -178,7 +178,7 @@ def test_neighbours(spark, factor):
     rows += [(900 + i, rows[i % 3][1]) for i in range(200)]
     bad = [(2000, None), (2001, [0.0] * 8), (2020, [float("nan")] * 8), (2040, [1.0, None] + [0.0] * 6), (2060, [float("inf")] + [0.0] * 7), (2080, [1.0, 2.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
-    found = vantage.nearest(df.filter("vec_id % 20 = 0"), df, k=20, factor=factor, shard_rows=300)
+    found = vantage.nearest(df.filter("vec_id % 20 = 0"), df, k=20, factor=factor, shard_bytes=300 * 64)
     got = sorted(tuple(r) for r in found.collect())
     want = sorted(brute(rows, {i for i, _ in rows if i % 20 == 0}, 20))
     if factor == 1.0:
@@ -203,8 +203,8 @@ def test_neighbours_of_repeated_ids(spark):
                     want[a, b] = max(s, want.get((a, b), s))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asked = df.filter("vec_id % 20 = 0")
-    for shard_rows in (1000, 50):
-        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vantage.nearest(asked, df, k=20, shard_rows=shard_rows).collect()}
+    for shard_bytes in (32_000, 1600):
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vantage.nearest(asked, df, k=20, shard_bytes=shard_bytes).collect()}
         assert len(got) == 20 * len({a for a, _ in want})
         for a in {a for a, _ in want}:
             best = sorted((-s, b) for (c, b), s in want.items() if c == a)[:20]
@@ -212,6 +212,30 @@ def test_neighbours_of_repeated_ids(spark):
             assert np.allclose([got[a, n + 1][1] for n in range(20)], [-s for s, _ in best], rtol=1e-12)
 
 
+def test_shards_out_of_reach_are_not_met(spark, monkeypatch):
+    """Clustered rows: exact results, from a few shards of many; extra columns with clashing names are ignored."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(12, 6)) * 10
+    x = np.concatenate([c + rng.normal(size=(150, 6)) * 0.05 for c in centre]).astype(np.float32)
+    x = np.concatenate([x, np.repeat(x[:1], 400, 0)])
+    rows = [(i, v.tolist(), "x", 1.0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, id string, vec double")
+    monkeypatch.setattr(vantage, "LEAST_ROWS", 50)
+    got = sorted(tuple(r) for r in vantage.nearest(df.filter("vec_id % 20 = 0"), df, k=20, shard_bytes=100 * 24).collect())
+    scores = x.astype(float) @ x.astype(float).T
+    for q in range(0, len(x), 20):
+        best = sorted((-scores[q, i], i) for i in range(len(x)) if i != q)[:20]
+        mine = [r for r in got if r[0] == q]
+        assert np.allclose([r[3] for r in mine], [-s for s, _ in best]) and [r[1] for r in mine] == list(range(1, 21))
+    most = float((x.astype(float) ** 2).sum(1).max())
+    cells = vantage.Cells(np.arange(len(x)), x.astype(float), most, 20, 12)
+    cell, far = cells.of(x.astype(float))
+    reach = np.array([far[cell == c].max(initial=-np.inf) for c in range(len(cells.at))])
+    q = x[::20].astype(float)
+    meets = cells.meets(q, cells.bounds(np.arange(0, len(x), 20), q), reach, 1.0)
+    assert meets.mean() < 0.5
+
+
 def test_pruning_skips_parts_of_clustered_data():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.01, (600, 4)) for c in range(8)])
