@@ -7,32 +7,45 @@ labelled pages by the gradient of their exact likelihood, from the same messages
 layouts with known content, since no table has labelled ones.
 
 A block of text belongs to the nearest element that breaks lines; it is content where that element's marginal is at
-least one half. The parser accepts unclosed and stray tags, unclosed comments and text that looks like a tag.
+least one half. Elements within a line stay in their block, whatever their class; what their classes speak for counts by
+the share of the block's characters that they hold.
+
+The parser accepts unclosed and stray tags, unclosed comments and quotes and text that looks like a tag. It takes one
+step forward a tag: it remembers from where no tag ends, and where elements of each kind are open, so its time is in
+proportion to the page whatever the page holds.
 
 Cases: a null or empty html has an empty text; pages without markup are one block; equal pages have equal texts;
-rows that repeat are pages of their own; nothing is cut or capped; an empty table gives an empty one.
+rows that repeat are pages of their own; a very long page is read whole, by itself; a null id stays null; further columns
+are ignored; nothing is cut or capped; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import by_size
 
+#: Pages whose fields are worked out together.
+PAGES = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose inside is never text of the page.
 HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button input datalist meter progress map".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed".split())
-#: An opening tag of the key closes an open element of these, up to the nearest of the stops.
 BLOCKS = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table td th tr tbody thead tfoot caption ul".split())
+#: An opening tag of the key closes an open element of these, up to the nearest of the stops.
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"}), "tbody": ("tbody thead tfoot tr td th", {"table"}), "thead": ("tbody thead tfoot tr td th", {"table"}), "tfoot": ("tbody thead tfoot tr td th", {"table"})}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
 #: One attribute after the other: a whole name and, if any, its value.
 _ATTR = re.compile(r"([^\s/>=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[^\S]+")
@@ -56,15 +69,14 @@ N_FEATURES = len(TAGS) + len(KINDS) + 7
 
 
 class Node:
-    __slots__ = ("tag", "words", "kids", "up", "hidden")
+    __slots__ = ("tag", "words", "kids", "hidden")
 
-    def __init__(self, tag: str, words: str, up: "Node | None", hidden: bool):
-        self.tag, self.words, self.up, self.hidden = tag, words, up, hidden
+    def __init__(self, tag: str, words: str, hidden: bool):
+        self.tag, self.words, self.hidden = tag, words, hidden
         self.kids: list = []  # nodes and strings
 
 
-@lru_cache(maxsize=4096)
-def _attributes(raw: str) -> tuple[str, bool]:
+def _read(raw: str) -> tuple[str, bool]:
     """(words of class, id and role; whether the element is hidden)."""
     words, hidden = [], False
     for name, value in _ATTR.findall(raw):
@@ -76,59 +88,137 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return " ".join(words), hidden
 
 
+_short = lru_cache(maxsize=4096)(_read)
+
+
+def _attributes(raw: str) -> tuple[str, bool]:
+    return _short(raw) if len(raw) < 200 else _read(raw)
+
+
+class Ends:
+    """Where tags end: at the first > outside quotes, or at the first of all if there is none outside."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+        self.doomed: set[int] = set()  # quotes from which, read as opening ones, no tag ends
+
+    def of(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at `at`; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        seen, now = [], at
+        while (m := _SPECIAL.search(self.source, now)) is not None:
+            here, c = m.start(), m[0]
+            if c == ">":
+                return here
+            if here in self.doomed:
+                break
+            if here == self.last[c]:  # never closed, so it's a sign like others
+                now = here + 1
+                continue
+            seen.append(here)
+            now = self.source.index(c, here + 1) + 1
+        self.doomed.update(seen)
+        return self.source.index(">", at)
+
+
+class Stack:
+    """The open elements, and the places in it of those of each tag, of blocks and of those no paragraph reaches over."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks, self.walls = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS and node.tag != "p":
+            self.blocks.append(len(self.nodes))
+        if node.tag not in INLINE and node.tag != "p":
+            self.walls.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Close all elements from `place` up."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            for kept in (self.blocks, self.walls):
+                if kept[-1] == len(self.nodes):
+                    kept.pop()
+
+    def last(self, tags) -> int:
+        """Place of the last open element of the tags, 0 if none is."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first(self, tags, above: int) -> int:
+        """Place of the first open element of the tags over a place, 0 if none is."""
+        found = []
+        for t in tags:
+            places = self.at.get(t, ())
+            i = bisect_right(places, above)
+            if i < len(places):
+                found.append(places[i])
+        return min(found, default=0)
+
+
 def parse(page: str | None) -> Node:
     """A tree of elements and decoded strings."""
-    root = here = Node("body", "", None, False)
-    source, at = page or "", 0
+    root, source, at = Node("body", "", False), page or "", 0
+    stack, ends, begun = Stack(root), Ends(source), 0
 
     def text(piece: str) -> None:
         if piece:
-            here.kids.append(entities.unescape(piece) if "&" in piece else piece)
-
-    while (m := _TAG.search(source, at)) is not None:
-        text(source[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+            stack.nodes[-1].kids.append(entities.unescape(piece) if "&" in piece else piece)
+
+    while (m := _OPEN.search(source, at)) is not None:
+        mark = m[0]
+        if mark in ("<!--", "<![CDATA[", "<!", "<?"):
+            text(source[begun : m.start()])
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(mark, ">")
+            end = source.find(close, m.end())
+            at = begun = len(source) if end < 0 else end + len(close)
             continue
-        if m[1]:
-            if tag == "p" or tag in INLINE or tag not in ("html", "body"):
-                node, seen = here, []
-                while node.up is not None and node.tag != tag and not (tag in INLINE and node.tag in BLOCKS and node.tag != "p"):
-                    seen.append(node)
-                    node = node.up
-                if node.tag == tag and node.up is not None:
-                    here = node.up
+        end = ends.of(m.end())
+        if end < 0:  # no tag ends any more
+            break
+        text(source[begun : m.start()])
+        raw, at = source[m.end() : end], end + 1
+        begun = at
+        if mark[1] == "/":
+            tag = mark[2:].lower()
+            place = stack.last((tag,))
+            if place and not (tag in INLINE and place < stack.blocks[-1]):
+                stack.close(place)
             continue
+        tag = mark[1:].lower()
+        words, hidden = _attributes(raw) if raw else ("", False)
         if tag in ("html", "body"):
-            root.words = (root.words + " " + _attributes(m[3])[0]).strip() if tag == "body" else root.words
+            root.words = (root.words + " " + words).strip() if tag == "body" else root.words
             continue
-        if tag in BLOCKS:  # a block ends an open paragraph, and with it what is open inside
-            node = here
-            while node.up is not None and (node.tag in INLINE or node.tag == "p"):
-                if node.tag == "p":
-                    here = node.up
-                node = node.up
+        if tag in BLOCKS and (place := stack.first(("p",), stack.walls[-1])):
+            stack.close(place)  # a block ends an open paragraph, and with it what is open inside
         if tag in CLOSES:
-            ends, stops = CLOSES[tag]
-            node = here
-            while node.up is not None and node.tag not in stops:
-                if node.tag in ends.split():
-                    here = node.up
-                node = node.up
-        words, hidden = _attributes(m[3]) if m[3] else ("", False)
-        node = Node(tag, words, here, hidden or tag in HIDDEN)
-        here.kids.append(node)
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
+            inside, stops = CLOSES[tag]
+            if place := stack.first(inside.split(), stack.last(stops)):
+                stack.close(place)
+        node = Node(tag, words, hidden or tag in HIDDEN)
+        stack.nodes[-1].kids.append(node)
+        if tag in VOID or raw.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            at = begun = end.end() if end else len(source)
             continue
-        here = node
-    text(source[at:])
+        stack.push(node)
+    text(source[begun:])
     return root
 
 
+def kinds_of(words: str) -> set[str]:
+    """What class, id and role words speak for."""
+    return {_WORD[w] for w in {*words.split(), *re.split(r"[\s_-]+", words)} if w in _WORD} if words else set()
+
+
 class Page:
     """A tree's visible elements that break lines, as arrays, and their blocks of text in page order."""
 
@@ -139,12 +229,13 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self.chars: list[int] = []
         self.links: list[int] = []
-        self._open: list[str] = []
-        stack: list = [(parse(page), -1, False, 0)]
+        #: Characters of each node within a line whose classes speak for a kind.
+        self.inline: list[dict[str, int]] = []
+        stack: list = [(parse(page), -1, False, ())]
         pending: tuple[int, list[str]] = (-1, [])
         while stack:
-            item, own, linked, step = stack.pop()
-            if step == 1:  # the end of an element that breaks lines
+            item, own, linked, kinds = stack.pop()
+            if item is None:  # the end of an element that breaks lines
                 pending = self._flush(pending)
                 continue
             if isinstance(item, str):
@@ -155,6 +246,8 @@ class Page:
                 size = len(item.strip())
                 self.chars[own] += size
                 self.links[own] += size * linked
+                for k in kinds:
+                    self.inline[own][k] = self.inline[own].get(k, 0) + size
                 continue
             if item.hidden:
                 if item.tag not in INLINE:
@@ -163,8 +256,10 @@ class Page:
             if item.tag == "br" or item.tag == "wbr":
                 pending[1].append(" " if item.tag == "br" else "")
                 continue
-            if item.tag in INLINE and own >= 0 and not any(k in _WORD for k in item.words.replace("-", " ").replace("_", " ").split()):
-                stack += [(k, own, linked or item.tag == "a", 0) for k in reversed(item.kids)]
+            if item.tag in INLINE and own >= 0:
+                more = kinds_of(item.words)
+                inner = kinds if more <= set(kinds) else (*kinds, *(more - set(kinds)))
+                stack += [(k, own, linked or item.tag == "a", inner) for k in reversed(item.kids)]
                 continue
             pending = self._flush(pending)
             self.up.append(own)
@@ -172,9 +267,10 @@ class Page:
             self.words.append(item.words)
             self.chars.append(0)
             self.links.append(0)
+            self.inline.append({})
             me = len(self.up) - 1
-            stack.append((None, own, False, 1))
-            stack += [(k, me, linked or item.tag == "a", 0) for k in reversed(item.kids)]
+            stack.append((None, own, False, ()))
+            stack += [(k, me, linked or item.tag == "a", ()) for k in reversed(item.kids)]
         self._flush(pending)
 
     def _flush(self, pending: tuple[int, list[str]]) -> tuple[int, list[str]]:
@@ -187,19 +283,18 @@ class Page:
         n = len(self.up)
         x = np.zeros((n, N_FEATURES))
         chars, links = np.array(self.chars, float), np.array(self.links, float)
-        below, linked, blocks = chars.copy(), links.copy(), np.zeros(n)
+        below, linked = chars.copy(), links.copy()
         for i in range(n - 1, 0, -1):
             below[self.up[i]] += below[i]
             linked[self.up[i]] += linked[i]
         x[np.arange(n), [_TAG_OF.get(t, len(TAGS) - 1) for t in self.tags]] = 1
         at = len(TAGS)
-        for i, words in enumerate(self.words):
-            if words:
-                for w in {*words.split(), *re.split(r"[\s_-]+", words)}:
-                    if (k := _WORD.get(w)) is not None:
-                        x[i, at + KINDS.index(k)] = 1
+        for i, (words, inline) in enumerate(zip(self.words, self.inline, strict=True)):
+            for k, size in inline.items():
+                x[i, at + KINDS.index(k)] = size / max(1, self.chars[i])
+            for k in kinds_of(words):
+                x[i, at + KINDS.index(k)] = 1
         at += len(KINDS)
-        blocks[:] = chars
         x[:, at] = 1
         x[:, at + 1] = linked / np.maximum(1, below)
         x[:, at + 2] = np.log1p(below) / 8
@@ -311,8 +406,8 @@ def extracted(pages: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for lo in range(0, b.num_rows, 200):
-                texts += extract(b.column("html").slice(lo, 200).to_pylist(), field)
+            for part in by_size(b, "html", PAGES):
+                texts += extract(part.column("html").to_pylist(), field)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
