@@ -48,24 +48,26 @@ _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z][^\s/>]*)")
 _SPECIAL = re.compile("[>\"']")
 #: One attribute after the other: a whole name and, if any, its value.
 _ATTR = re.compile(r"([^\s/>=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: A slash that closes an element, not one that ends a bare value.
+_CLOSED = re.compile("(?:^|[\\s\"'])/\\s*$")
 _SPACE = re.compile(r"[^\S]+")
 #: Words of class, id and role attributes, by what they speak for.
 WORDS = {
-    "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs",
-    "edge": "header masthead banner footer foot colophon copyright topbar bottombar branding logo",
-    "side": "sidebar aside side rail widget widgets related recommended more recirc trending popular tags tagcloud",
-    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion dfp adsense outbrain taboola affiliate",
-    "note": "cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup paywall toast disclaimer",
-    "talk": "comment comments commentlist disqus reply replies respond discussion reviews feedback",
-    "share": "share sharing social follow facebook twitter buttons toolbar print meta byline author-box skip login search form",
-    "main": "article content main post entry story body text page-content post-content entry-content article-body hentry prose",
+    "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs menue hauptmenue navegacion brotkrumen",
+    "edge": "header masthead banner footer foot colophon copyright topbar bottombar branding logo kopfzeile kopf fusszeile impressum entete pied cabecera pie",
+    "side": "sidebar aside side rail widget widgets related recommended more recirc trending popular tags tagcloud seitenleiste verwandt laterale lateral relacionados",
+    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion dfp adsense outbrain taboola affiliate werbung anzeige publicite publicidad anuncio",
+    "note": "cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup paywall toast disclaimer hinweis avis aviso bulletin boletin",
+    "talk": "comment comments commentlist disqus reply replies respond discussion reviews feedback kommentar kommentare leserbriefe commentaire commentaires comentario comentarios",
+    "share": "share sharing social follow facebook twitter buttons toolbar print meta byline author-box skip login search form vcard teilen partager compartir",
+    "main": "article content main post entry story body text page-content post-content entry-content article-body hentry prose inhalt hauptinhalt artikel beitrag contenu contenido articulo",
 }
 _WORD = {w: kind for kind, ws in WORDS.items() for w in ws.split()}
 KINDS = list(WORDS)
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "li", "ul", "table", "td", "blockquote", "pre", "nav", "header", "footer", "aside", "form", "a", "dl", "figure", "address", "body", "other"]
 _TAG_OF = {t: i for i, t in enumerate(TAGS)} | {"ol": 8, "menu": 8, "h3": 6, "h4": 6, "h5": 6, "h6": 6, "tr": 9, "tbody": 9, "th": 10, "dt": 19, "dd": 19, "figcaption": 20, "html": 22}
 #: Kinds of a parent-child pair: by the child's tag.
-N_FEATURES = len(TAGS) + len(KINDS) + 7
+N_FEATURES = len(TAGS) + len(KINDS) + 8
 
 
 class Node:
@@ -203,7 +205,7 @@ def parse(page: str | None) -> Node:
                 stack.close(place)
         node = Node(tag, words, hidden or tag in HIDDEN)
         stack.nodes[-1].kids.append(node)
-        if tag in VOID or raw.rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in VOID or _CLOSED.search(raw) and tag not in BLOCKS:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -302,6 +304,7 @@ class Page:
         x[:, at + 4] = (below < 25) & (below > 0)
         x[:, at + 5] = below / max(1.0, below[0])
         x[:, at + 6] = (chars > 80) & (links < 0.3 * chars)
+        x[:, at + 7] = (chars > 0) & (links >= 0.9 * chars)
         return x
 
 
