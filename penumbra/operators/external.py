@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
-import urllib.request
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import byte_offset
+from ..functions.checks import let
+from ..functions.spans import byte_offset, byte_places
+from .detect import entities_of
+from .recognizers import NONE
 
 Analyzer = Callable[[list[str], str], list[list[dict]]]
 #: Where an analyzer listens unless the setting names another place; seconds until a call counts as failed.
@@ -19,16 +23,22 @@ ENV, LOCAL_URL, TIMEOUT = "PRESIDIO_ANALYZER_URL", "http://localhost:5002", 5.0
 
 
 def http_analyzer(url: str | None = None, timeout: float = TIMEOUT) -> Analyzer:
-    """Posts each text to {url}/analyze; any failure of the network fails the task, never passes text on."""
-    base = (url or os.environ.get(ENV) or LOCAL_URL).rstrip("/")
+    """Posts each text to {url}/analyze over one connection a call; any failure fails the task, never passes text on."""
+    base = urlsplit((url or os.environ.get(ENV) or LOCAL_URL).rstrip("/"))
 
     def analyze(texts: list[str], language: str) -> list[list[dict]]:
-        out = []
-        for text in texts:
-            body = json.dumps({"text": text, "language": language}).encode()
-            call = urllib.request.Request(f"{base}/analyze", body, {"Content-Type": "application/json"})
-            with urllib.request.urlopen(call, timeout=timeout) as answer:  # noqa: S310
-                out.append(json.load(answer))
+        kind = http.client.HTTPSConnection if base.scheme == "https" else http.client.HTTPConnection
+        line, out = kind(base.netloc, timeout=timeout), []
+        try:
+            for text in texts:
+                line.request("POST", f"{base.path}/analyze", json.dumps({"text": text, "language": language}).encode(), {"Content-Type": "application/json"})
+                answer = line.getresponse()
+                body = answer.read()
+                if answer.status != 200:
+                    raise OSError(f"the analyzer answered {answer.status}")
+                out.append(json.loads(body))
+        finally:
+            line.close()
         return out
 
     return analyze
@@ -56,13 +66,63 @@ def in_bytes(spans: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_co
     return joined.withColumn("start", byte_offset(F.col("text_"), F.col("cstart"))).withColumn("end", byte_offset(F.col("text_"), F.col("cend"))).drop("text_")
 
 
-def merge_external(found: DataFrame, external: DataFrame, id_col: str = "doc_id", entities: list[str] | None = None, score_threshold: float | None = None) -> DataFrame:
-    """`found` followed by the external spans that are admitted and overlap none of them."""
-    more = external.withColumn("source", F.lit("TierB")).withColumn("rec_order", F.lit(100))
+def admitted(external: DataFrame, entities: list[str] | None = None, score_threshold: float | None = None) -> DataFrame:
+    """External spans of the types asked for that score enough; the threshold is a float like the scores."""
+    more = external
     if entities is not None:
         more = more.filter(F.col("entity_type").isin(*entities) if entities else F.lit(False))
     if score_threshold is not None:
         more = more.filter(F.col("score").cast("float") >= F.lit(score_threshold).cast("float"))
-    a, b = found.select(F.col(id_col).alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end")), more
-    free = b.join(a, (b[id_col] == a["a_id"]) & (a["a_start"] < b["end"]) & (b["start"] < a["a_end"]), "left_anti")
-    return found.unionByName(free, allowMissingColumns=True)
+    return more
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def merge_external(found: DataFrame, external: DataFrame, id_col: str = "doc_id", entities: list[str] | None = None, score_threshold: float | None = None) -> DataFrame:
+    """`found` followed by the external spans that are admitted and overlap none of them.
+
+    Both are grouped by id and meet once, so `found` is worked out once; columns that only one side has are null in the
+    other's rows.
+    """
+    more = admitted(external, entities, score_threshold).withColumn("source", F.lit("TierB")).withColumn("rec_order", F.lit(100))
+    both = found.limit(0).unionByName(more.limit(0), allowMissingColumns=True).schema
+    names = [f for f in both if f.name != id_col]
+    row = lambda df: F.struct(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in names))
+    a = found.groupBy(F.col(id_col).alias("a_id")).agg(F.collect_list(row(found)).alias("a"))
+    b = more.groupBy(F.col(id_col).alias("b_id")).agg(F.collect_list(row(more)).alias("b"))
+    none = F.array().cast(a.schema["a"].dataType)
+    met = a.join(b, F.col("a_id").eqNullSafe(F.col("b_id")), "full").select(F.coalesce("a_id", "b_id").alias(id_col), F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    free = F.filter("b", lambda x: ~F.exists("a", lambda y: overlaps(x, y)))
+    return met.select(id_col, F.explode(F.concat("a", free)).alias("e")).select(*(F.col(id_col) if c == id_col else F.col(f"e.{c}").alias(c) for c in both.names))
+
+
+def with_external(docs: DataFrame, external: DataFrame, id_col: str = "doc_id", text_col: str = "text", entities: list[str] | None = None, score_threshold: float | None = None) -> DataFrame:
+    """The documents with `entities`: what is found here, then the admitted external spans (in characters) that overlap
+    none of it; with start and end in bytes and characters, score and source.
+
+    Spans are grouped by document and meet the texts once; texts are scanned once, and no text is copied for a span.
+    """
+    span = F.struct(F.col("cstart").cast("int").alias("cstart"), F.col("cend").cast("int").alias("cend"), "entity_type", F.col("score").cast("float").alias("score"))
+    own = admitted(external, entities, score_threshold).groupBy(F.col(id_col).alias("spans_id_")).agg(F.collect_list(span).alias("spans_"))
+    met = docs.join(own, F.col(id_col) == F.col("spans_id_"), "left").drop("spans_id_")
+    text, given = F.col(text_col), F.coalesce("spans_", F.array().cast(own.schema["spans_"].dataType))
+
+    def placed(s: Column) -> Column:
+        n = F.length(text)
+        ends = let(n, lambda n: F.transform(F.concat(F.transform(s, lambda x: x["cstart"]), F.transform(s, lambda x: x["cend"])), lambda c: F.least(F.greatest(c, F.lit(0)), n)))
+
+        def entity(x: Column, i: Column, chars: Column, places: Column) -> Column:
+            j = i + F.size(s)
+            return F.struct(
+                x["entity_type"].alias("entity_type"), F.lit(100).alias("rec_order"), F.get(places, i).alias("start"), F.get(places, j).alias("end"), F.get(chars, i).alias("cstart"), F.get(chars, j).alias("cend"), x["score"].alias("score"),
+                F.lit("TierB").alias("source"), F.lit(None).cast("string").alias("value"),
+            )
+
+        return let(ends, lambda chars: let(byte_places(text, chars), lambda places: F.transform(s, lambda x, i: entity(x, i, chars, places))))
+
+    # bound, not columns of their own, which a plan would write out wherever they are used
+    free = lambda found, more: F.filter(more, lambda x: ~F.exists(found, lambda y: overlaps(x, y)))
+    merged = let(entities_of(text_col, entities, score_threshold), lambda found: let(let(given, placed), lambda more: F.concat(found, free(found, more).cast(NONE))))
+    return met.withColumn("entities", merged).drop("spans_")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions import patterns as P
-from ..functions.spans import find_all
+from ..functions.spans import scan
 
 ENTITY = "struct<entity_type:string,rec_order:int,start:int,end:int,cstart:int,cend:int,score:float,source:string,value:string>"
 NONE = "array<" + ENTITY + ">"
@@ -36,7 +36,7 @@ class Recognizer:
                 s["cstart"].alias("cstart"), s["cend"].alias("cend"), score(s["value"]).cast("float").alias("score"), F.lit("TierA").alias("source"), s["value"].alias("value"),
             )
 
-        found = find_all(text, self.pattern, self.valid)
+        found = scan(text, self.entity_type, self.pattern, self.valid)
         if self.around:
             found = F.filter(found, lambda s: self.around(text, s["cstart"], s["value"]))
         made = F.transform(found, entity)

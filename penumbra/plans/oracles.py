@@ -79,7 +79,7 @@ VALID = {"FR_NIR": nir(), "EMAIL_ADDRESS": "true", "US_SSN": ssn(), "IBAN_CODE":
 
 def found(entity: str, source: str, id_col: str = "doc_id", text_col: str = "text", valid: str | None = None) -> str:
     """SELECT of (id, entity_type, rec_order, start, end, cstart, cend, score, v) over a table or subquery."""
-    pattern = P.PATTERN[entity].replace("{0,200}", "*").replace("\\u00a0", "\\x{00a0}").replace("'", "''")
+    pattern = P.PATTERN[entity].replace("\\u00a0", "\\x{00a0}").replace("'", "''")
     shadow = text_col if entity == "EMAIL_ADDRESS" else f"regexp_replace({text_col}, '{LETTERS}', '_', 'g')"
     score = vat() if entity == "EU_VAT" else str(P.SCORE[entity])
     return f"""SELECT {id_col}, '{entity}' AS entity_type, {P.ORDER.index(entity)} AS rec_order, CAST(strlen(substr(text, 1, cstart)) AS INTEGER) AS start,

@@ -43,7 +43,7 @@ def test_mask(spark, text, spans, want):
 
 def test_bytes_are_snapped_to_characters(spark):
     df = spark.createDataFrame([(n,) for n in range(-1, 12)], "n int").withColumn("t", F.lit("é█😀"))
-    got = [(r[0], r[1]) for r in df.orderBy("n").select(snapped(F.col("t"), F.col("n")), char_offset(F.col("t"), F.col("n"))).collect()]
+    got = [(r[0], r[1]) for r in df.orderBy("n").select(snapped(F.col("t").cast("binary"), F.col("n")), char_offset(F.col("t"), F.col("n"))).collect()]
     assert got == [(0, 0), (0, 0), (0, 0), (2, 1), (2, 1), (2, 1), (5, 2), (5, 2), (5, 2), (5, 2), (9, 3), (9, 3), (9, 3)]
     one = spark.createDataFrame([("Numéro", [{"start": 0, "end": 4}])], "t string, s array<struct<start:int,end:int>>")
     assert one.select(mask_bytes(F.col("t"), F.col("s"))).first()[0] == "███éro"
