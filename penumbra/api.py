@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .operators import external, image, layout
 from .operators.detect import detect
+from .operators.engine import Readers, redact_files
 from .operators.mask import mask_bytes
-from .sources.ingest import Unsupported, check_request
+from .sources.ingest import EXTRACTORS, EngineError, Unsupported, check_request
 
 
 def _spans(spark: SparkSession, df: DataFrame, entities, score_threshold, analyzer, language) -> DataFrame:
@@ -48,10 +49,33 @@ def redact_image(spark: SparkSession, content: bytes, words: list[dict], entitie
     return encode(image.blacked(picture if upright is None else upright, boxes, dpi))
 
 
+def redact_file(spark: SparkSession, content: bytes, kind: str, format: str | None = None, output: str = "native", readers: Readers | None = None, **options) -> dict:
+    """The result of one file: text, markdown, bytes, page_count, entities. What can't be done raises Unsupported."""
+    check_request(kind, output)
+    df = spark.createDataFrame([(bytearray(content), kind, format)], "content binary, kind string, format string")
+    row = redact_files(df, output, readers=readers, **options).first()
+    if row["error"]:
+        raise (Unsupported if row["error"].startswith("Unsupported") else EngineError)(row["error"])
+    return {"text": row["redacted_text"], "markdown": row["redacted_markdown"], "bytes": None if row["redacted_bytes"] is None else bytes(row["redacted_bytes"]), "page_count": row["page_count"], "entities": [e.asDict(True) for e in row["entities"]]}
+
+
+def redact_pdf(spark: SparkSession, content: bytes, readers: Readers, dpi: int = layout.IMAGE_DPI, **options) -> bytes:
+    """A PDF of page images with found entities black; `readers` must read pages and render them."""
+    return redact_file(spark, content, "pdf", readers=readers, dpi=dpi, **options)["bytes"]
+
+
+def redact_pdf_text(spark: SparkSession, content: bytes, readers: Readers, **options) -> str:
+    """A PDF's text, masked: its text layer's, or where it has none what the pages are read as."""
+    return redact_file(spark, content, "pdf", output="markdown", readers=readers, **options)["markdown"]
+
+
+def redact_image_text(spark: SparkSession, content: bytes, readers: Readers, **options) -> str:
+    """What an OCR reads in an image, masked."""
+    return redact_file(spark, content, "image", output="markdown", readers=readers, **options)["markdown"]
+
+
 def redact_document(spark: SparkSession, content: bytes, format: str, output: str = "markdown", extractors: dict | None = None, **options) -> tuple[str, list[dict]]:
     """(masked Markdown, entities) of an office document."""
-    from .sources.ingest import EXTRACTORS
-
     check_request("document", output)
     use = EXTRACTORS | (extractors or {})
     if format not in use:

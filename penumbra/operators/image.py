@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..sources.ingest import RedactError
+from ..sources.ingest import RedactError, Unsupported
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Orders in which turned images are tried until something is found: right angles first, then slight slants.
@@ -50,27 +49,35 @@ def png_decode(data: bytes) -> np.ndarray:
     w, h, c = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
     raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * c)
     out = np.zeros((h, w * c), np.uint8)
-    above = np.zeros(w * c, np.int32)
+    above = out[0]
     for y in range(h):
-        kind, line = raw[y, 0], raw[y, 1:].astype(np.int32)
-        if kind == 2:
-            line = (line + above) & 255
-        elif kind in (1, 3, 4):
-            for x in range(w * c):
-                left = int(line[x - c]) if x >= c else 0
-                up, corner = int(above[x]), int(above[x - c]) if x >= c else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    guess = min((left, up, corner), key=lambda v, p=left + up - corner: abs(p - v))
-                line[x] = (line[x] + guess) & 255
-        out[y], above = line, line
+        kind, line = raw[y, 0], raw[y, 1:]
+        if kind == 1:  # from the left: a running sum of each channel
+            line = np.add.accumulate(line.reshape(w, c), axis=0, dtype=np.uint8).reshape(-1)
+        elif kind == 2:
+            line = line + above
+        elif kind in (3, 4):
+            line = _unfiltered(line.tolist(), above.tolist(), c, kind == 4)
+        out[y] = line
+        above = out[y]
     image = out.reshape(h, w, c)
     return palette[image[:, :, 0]] if head[3] == 3 and palette is not None else image
 
 
+def _unfiltered(line: list[int], above: list[int], c: int, paeth: bool) -> list[int]:
+    """A line whose pixels were stored as differences from what their left, upper and corner neighbours suggest."""
+    for x in range(len(line)):
+        left, up = line[x - c] if x >= c else 0, above[x]
+        if paeth:
+            corner = above[x - c] if x >= c else 0
+            a, b, d = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            guess = left if a <= b and a <= d else up if b <= d else corner
+        else:
+            guess = (left + up) >> 1
+        line[x] = (line[x] + guess) & 255
+    return line
+
+
 def exif_orientation(data: bytes) -> int | None:
     """The orientation tag (1 to 8) of a JPEG's or PNG's EXIF block, or None."""
     try:
@@ -117,17 +124,36 @@ def turned(image: np.ndarray, degrees: int) -> np.ndarray | None:
 
 
 def slanted(image: np.ndarray, degrees: float) -> np.ndarray:
-    """Clockwise by any angle on a canvas that grows, white where nothing was; nearest pixels."""
-    h, w = image.shape[:2]
-    a = math.radians(degrees)
-    cos, sin = math.cos(a), math.sin(a)
-    W, H = math.ceil(abs(w * cos) + abs(h * sin)), math.ceil(abs(w * sin) + abs(h * cos))
-    y, x = np.mgrid[0:H, 0:W]
-    dx, dy = x - (W - 1) / 2, y - (H - 1) / 2
-    sx, sy = np.rint(dx * cos + dy * sin + (w - 1) / 2).astype(int), np.rint(-dx * sin + dy * cos + (h - 1) / 2).astype(int)
-    inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-    out = np.full((H, W, *image.shape[2:]), 255, image.dtype)
-    out[inside] = image[sy[inside], sx[inside]]
+    """Clockwise by any angle on a canvas that grows, white where nothing was.
+
+    Each pixel takes the one that its place, turned back about the middle (half the size), falls into; in floats.
+    """
+    one = np.float32
+    h, w = one(image.shape[0]), one(image.shape[1])
+    a = np.radians(one(degrees))
+    sin, cos = np.sin(a), np.cos(a)
+    wide, high = max(one(1), np.ceil(w * abs(cos) + h * abs(sin))), max(one(1), np.ceil(w * abs(sin) + h * abs(cos)))
+    y, x = np.mgrid[0 : int(high), 0 : int(wide)].astype(one)
+    rx, ry = x - wide / one(2), y - high / one(2)
+    sx, sy = rx * cos + ry * sin + w / one(2), -rx * sin + ry * cos + h / one(2)
+    inside = (sx >= 0) & (sy >= 0) & (sx < w) & (sy < h)
+    out = np.full((int(high), int(wide), *image.shape[2:]), 255, image.dtype)
+    out[inside] = image[sy[inside].astype(int), sx[inside].astype(int)]
+    return out
+
+
+def cuts(width: int, height: int, grid: int, overlap: float) -> list[tuple[int, int, int, int]]:
+    """(x, y, width, height) of a grid of tiles that reach over their neighbours, row by row; empty ones are left out."""
+    grid = max(1, grid)
+    wide, high = width // grid, height // grid
+    pad_x, pad_y = int(np.float32(wide) * np.float32(overlap)), int(np.float32(high) * np.float32(overlap))
+    out = []
+    for row in range(grid):
+        for col in range(grid):
+            x0, y0 = max(col * wide - pad_x, 0), max(row * high - pad_y, 0)
+            x1, y1 = min((col + 1) * wide + pad_x, width), min((row + 1) * high + pad_y, height)
+            if x1 > x0 and y1 > y0:
+                out.append((x0, y0, x1 - x0, y1 - y0))
     return out
 
 
@@ -143,12 +169,12 @@ def first_found(image: np.ndarray, look: Callable[[np.ndarray], list]) -> tuple[
     return image, []
 
 
-def blacked(image: np.ndarray, boxes: list[dict], dpi: int, page: int = 1) -> np.ndarray:
-    """A copy with the boxes of the page black (alpha kept opaque); boxes are in 72 units an inch."""
+def blacked(image: np.ndarray, boxes: list[dict], dpi: int, page: int | None = 1) -> np.ndarray:
+    """A copy with the boxes of the page (None: of any) black, alpha kept opaque; boxes are in 72 units an inch."""
     out, (h, w) = image.copy(), image.shape[:2]
     s = np.float32(dpi) / np.float32(72)
     for b in boxes:
-        if b["page"] != page:
+        if page is not None and b["page"] != page:
             continue
         x, y, bw, bh = (np.float32(b[k]) for k in ("x", "y", "width", "height"))
         x0, y0 = int(max(x * s, 0)), int(max(y * s, 0))
@@ -181,20 +207,36 @@ def image_pdf(pages: list[np.ndarray], dpi: int = 150) -> bytes:
     return out + parts[0] + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
 
 
-def redact_images(df: DataFrame, content_col: str = "content", boxes_col: str = "boxes", dpi: int = 150, encode: Callable[[np.ndarray, bytes], bytes] | None = None, decode: Callable[[bytes], np.ndarray] = png_decode) -> DataFrame:
-    """The rows with `redacted`: the image with its boxes black. PNG by itself; give a codec for other formats."""
-    out = T.StructType([*df.schema, T.StructField("redacted", T.BinaryType())])
-    write = encode or (lambda image, source: png_encode(image))
+def redact_images(df: DataFrame, content_col: str = "content", boxes_col: str = "boxes", dpi: int = 150, encode: Callable[[np.ndarray, bytes], bytes] | None = None, decode: Callable[[bytes], np.ndarray] = png_decode, render: Callable[[bytes, int], list[np.ndarray]] | None = None) -> DataFrame:
+    """The rows with `redacted`, the image with its boxes black, and `error`; a row that fails has no bytes.
+
+    PNG by itself; give a codec for other formats. An image is one page, so all boxes are drawn. With `render`, rows that
+    are PDFs become PDFs of page images, each with the boxes of its page.
+    """
+    out = T.StructType([*df.schema, T.StructField("redacted", T.BinaryType()), T.StructField("error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = []
-            for content, boxes in zip(f[content_col], f[boxes_col], strict=True):
-                source = bytes(content)
-                image = decode(source)
-                turned_ = upright(image, exif_orientation(source))
-                image = image if turned_ is None else turned_
-                made.append(write(blacked(image, [b if isinstance(b, dict) else b.asDict() for b in (boxes if boxes is not None else [])], dpi), source))
-            yield f.assign(redacted=made)
+            made = [drawn(bytes(content), plain_boxes(boxes), dpi, encode, decode, render) for content, boxes in zip(f[content_col], f[boxes_col], strict=True)]
+            yield f.assign(redacted=[m[0] for m in made], error=[m[1] for m in made])
 
     return df.mapInPandas(run, out)
+
+
+def plain_boxes(boxes) -> list[dict]:
+    return [b if isinstance(b, dict) else b.asDict() for b in (boxes if boxes is not None else [])]
+
+
+def drawn(source: bytes, boxes: list[dict], dpi: int, encode=None, decode=png_decode, render=None) -> tuple[bytes | None, str | None]:
+    """(bytes, None) with the boxes black, or (None, reason)."""
+    try:
+        if source.startswith(b"%PDF"):
+            if render is None:
+                raise Unsupported("PDFs need a renderer")
+            return image_pdf([blacked(p, boxes, dpi, i) for i, p in enumerate(render(source, dpi), 1)], dpi), None
+        image = decode(source)
+        turned_ = upright(image, exif_orientation(source))
+        image = image if turned_ is None else turned_
+        return (encode or (lambda picture, _: png_encode(picture)))(blacked(image, boxes, dpi, None), source), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import let
+
 BOX = "struct<page:int,x:float,y:float,width:float,height:float>"
 #: Text units of an inch, and the resolution at which images are read.
 UNITS, IMAGE_DPI = 72, 150
@@ -48,6 +50,24 @@ def union_boxes(spans: DataFrame, words: DataFrame, id_cols: list[str], span_key
     return joined.withColumn("bbox", own.cast(BOX)).drop("box_")
 
 
+def boxes_of(spans: Column, words: Column) -> Column:
+    """An array of spans with bbox: union_boxes() within a row, from its words (structs with start, end, page, x, y,
+    width, height in reading order). A bbox that is already there is kept."""
+
+    def box(hit: Column) -> Column:
+        own = F.filter(hit, lambda w: w["page"] == F.get(hit, F.lit(0))["page"])
+        low = lambda c: F.array_min(F.transform(own, lambda w: w[c]))
+        high = lambda c, size: F.array_max(F.transform(own, lambda w: (w[c] + w[size]).cast("float")))
+        made = F.struct(F.get(hit, F.lit(0))["page"].cast("int").alias("page"), low("x").alias("x"), low("y").alias("y"), (high("x", "width") - low("x")).cast("float").alias("width"), (high("y", "height") - low("y")).cast("float").alias("height"))
+        return F.when(F.size(hit) > 0, made).cast(BOX)
+
+    def placed(s: Column) -> Column:
+        hit = F.filter(words, lambda w: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+        return s.withField("bbox", F.coalesce(s["bbox"], let(hit, box)))
+
+    return F.transform(spans, placed)
+
+
 def unplaceable(spans: DataFrame, id_cols: list[str]) -> DataFrame:
     """(ids, types): the distinct sorted types of entities without a box."""
     return spans.filter(F.col("bbox").isNull()).groupBy(*id_cols).agg(F.array_sort(F.collect_set("entity_type")).alias("types"))
@@ -78,23 +98,27 @@ def merge_by_box(found: Column, tiled: Column) -> Column:
 
 
 def tiles(width: Column, height: Column, grid: int = TILE_GRID, overlap: float = TILE_OVERLAP) -> Column:
-    """Array of (row, col, x, y, width, height): a grid of tiles that reach over their neighbours; grid 1 is the whole."""
-    cells = F.sequence(F.lit(0), F.lit(grid * grid - 1))
+    """Array of (row, col, x, y, width, height): a grid of tiles that reach over their neighbours; grid 1 is the whole.
+
+    Sides and overlaps are whole pixels, cut toward zero, so the last pixels of a size that the grid doesn't divide are
+    in no tile but by overlap.
+    """
+    grid = max(1, grid)
 
     def tile(i: Column) -> Column:
         row, col = F.floor(i / grid), i % grid
 
         def side(n: Column, size: Column) -> tuple[Column, Column]:
-            step, extra = size / grid, size / grid * overlap
-            low = F.floor(F.greatest(n * step - extra, F.lit(0))).cast("int")
-            high = F.least(F.ceil((n + 1) * step + extra).cast("int"), size)
-            return low, high - low
+            step = F.floor(size / grid).cast("int")
+            extra = (step.cast("float") * F.lit(overlap).cast("float")).cast("int")
+            low = F.greatest(n * step - extra, F.lit(0)).cast("int")
+            return low, (F.least((n + 1) * step + extra, size) - low).cast("int")
 
         x, w = side(col, width)
         y, h = side(row, height)
-        return F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), x.alias("x"), y.alias("y"), w.cast("int").alias("width"), h.cast("int").alias("height"))
+        return F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"))
 
-    return F.transform(cells, tile)
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), tile), lambda t: (t["width"] > 0) & (t["height"] > 0))
 
 
 def shifted(box: Column, left: Column, top: Column, dpi: int = IMAGE_DPI) -> Column:

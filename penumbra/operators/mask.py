@@ -81,7 +81,8 @@ def output(df: DataFrame, format: str = "native") -> Column:
     return F.coalesce(*(df[c] for c in order if c in df.columns))
 
 
-def audit_json(spans: DataFrame) -> DataFrame:
-    """A JSON line for each entity: type, span, score, box if placed and source; never matched text."""
+def audit_json(spans: DataFrame, *keep: str) -> DataFrame:
+    """A JSON object for each entity: type, span, score, box if placed and source; never matched text. Columns in `keep`
+    stay beside it."""
     fields = [F.col("entity_type"), F.struct("start", "end").alias("span"), F.col("score")] + [F.col("bbox")] * ("bbox" in spans.columns) + [F.col("source")]
-    return spans.select(F.to_json(F.struct(*fields)).alias("value"))
+    return spans.select(*keep, F.to_json(F.struct(*fields)).alias("value"))

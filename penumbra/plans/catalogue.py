@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks
+from ..functions import checks, sqlfuncs
 from ..functions import patterns as P
-from ..functions.spans import byte_offset, find_all
-from ..operators import external, layout
+from ..functions.spans import byte_offset, find_all, scan, snapped
+from ..operators import external, image, layout
 from ..operators.detect import detect, entities_of
-from ..operators.mask import mask, mask_bytes, mask_places, merged
+from ..operators.engine import Readers, redact_files
+from ..operators.mask import audit_json as audit
+from ..operators.mask import mask, mask_bytes, mask_places, merged, output
 from ..sources import ingest
 from ..sources.tables import table
 from . import oracles as O
@@ -49,10 +51,26 @@ def spans_oracle(source: str, id_col: str, text_col: str, entities) -> str:
 
 
 SOURCES = {"": ("documents", "doc_id", "text"), "_html": ("pages", "page_id", "html")}
-for short, entity in (("email", "EMAIL_ADDRESS"), ("card", "CREDIT_CARD"), ("phone", "PHONE_NUMBER"), ("vat", "EU_VAT")):
+for short, entity in (("email", "EMAIL_ADDRESS"), ("card", "CREDIT_CARD"), ("phone", "PHONE_NUMBER")):
     for end, (source, key, col) in SOURCES.items():
         query(f"{short}_spans{end}", spans_oracle(source, key, col, [entity]))(lambda spark, d, source=source, key=key, col=col, entity=entity: spans_of(table(spark, d, source), key, col, [entity]))
 
+for end, (source, key, col) in SOURCES.items():  # with a number behind each text, since there are none
+
+    def _vat(spark, d, source=source, key=key, col=col):
+        rows = spark.sql(synthetic.behind("vat_fr", "{rows}", key, col), rows=table(spark, d, source))
+        return spans_of(rows, key, col, ["EU_VAT"])
+
+    query(f"vat_spans{end}", spans_oracle(f"({synthetic.behind('vat_fr', source, key, col)})", key, col, ["EU_VAT"]))(_vat)
+
+
+@query("iban_long_run", spans_oracle(f"({synthetic.LONG_RUN})", "doc_id", "text", ["IBAN_CODE"]))
+def iban_long_run(spark, sf_dir):
+    """A candidate of any length takes all that it covers."""
+    rows = spark.sql(synthetic.LONG_RUN.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation"))
+    return spans_of(rows, "doc_id", "text", ["IBAN_CODE"])
+
+
 MADE = {"nir_validate": ("nir", "FR_NIR"), "ssn_validate": ("ssn", "US_SSN"), "iban_validate": ("iban", "IBAN_CODE"), "vat_fr": ("vat_fr", "EU_VAT"), "vat_be": ("vat_be", "EU_VAT"), "vat_nl": ("vat_nl", "EU_VAT"), "vat_lu": ("vat_lu", "EU_VAT"), "vat_format_only": ("vat_form", "EU_VAT"), "siret_validate": ("siret", "FR_SIRET"), "siren_validate": ("siren", "FR_SIREN")}
 for name, (kind, entity) in MADE.items():
     query(name, spans_oracle(f"({synthetic.rows(kind)})", "doc_id", "text", [entity]))(lambda spark, d, kind=kind, entity=entity: spans_of(made(spark, d, kind), "doc_id", "text", [entity]))
@@ -164,10 +182,47 @@ def card_luhn_vs_valid(spark, sf_dir):
     return candidates(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(checks.luhn(F.col("d"))).alias("n_luhn"), F.count_if(checks.card(F.col("d"))).alias("n_valid"))
 
 
-@query("audit_json", f"""SELECT doc_id, '{{"entity_type":"' || entity_type || '","span":{{"start":' || start || ',"end":' || "end" || '}},"source":"TierA"}}' AS value FROM ({O.everything('documents')})""")
+PLACE = "start % 200"
+
+
+@query("audit_json", f"""SELECT doc_id, '{{"entity_type":"' || entity_type || '","span":{{"start":' || start || ',"end":' || "end" || '}},"score":' || CAST(score AS VARCHAR) ||
+CASE WHEN start % 2 = 0 THEN ',"bbox":{{"page":1,"x":' || {PLACE} || '.0,"y":' || {PLACE} || '.5,"width":10.0,"height":5.0}}' ELSE '' END || ',"source":"TierA"}}' AS value FROM ({O.everything('documents')})""")
 def audit_json(spark, sf_dir):
-    found = detect(table(spark, sf_dir, "documents"), ["doc_id"])
-    return found.select("doc_id", F.to_json(F.struct("entity_type", F.struct("start", "end").alias("span"), "source")).alias("value"))
+    """Every entity with its score, half of them with a place."""
+    at = F.col("start") % 200
+    box = F.struct(F.lit(1).alias("page"), at.cast("float").alias("x"), (at + 0.5).cast("float").alias("y"), F.lit(10.0).cast("float").alias("width"), F.lit(5.0).cast("float").alias("height"))
+    found = detect(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("bbox", F.when(F.col("start") % 2 == 0, box))
+    return audit(found, "doc_id")
+
+
+# ---- SQL functions
+
+SQL_CHECKS = {"FR_NIR": ("pii_nir(v)", O.nir()), "US_SSN": ("pii_ssn(v)", O.ssn()), "IBAN_CODE": ("pii_iban(v)", O.iban()), "CREDIT_CARD": ("pii_card(v)", O.card()), "PHONE_NUMBER": ("pii_phone(v)", O.phone()), "EU_VAT": ("pii_vat_score(v) IS NOT NULL", f"{O.vat()} IS NOT NULL"), "FR_SIREN": ("pii_siren(v)", O.luhn(O.DIGITS))}
+
+
+@query("sql_checks", " UNION ALL ".join(f"SELECT doc_id, entity_type, v, coalesce({sql}, false) AS ok FROM ({O.found(entity, ALL_MADE, valid='true')})" for entity, (_, sql) in SQL_CHECKS.items()))
+def sql_checks(spark, sf_dir):
+    """Every candidate of made identifiers, right or wrong, through the functions that SQL users have."""
+    sqlfuncs.register(spark)
+    made_ = all_made(spark, sf_dir)
+    found = None
+    for entity in SQL_CHECKS:
+        one = made_.select("doc_id", F.lit(entity).alias("entity_type"), F.explode(scan(F.col("text"), entity, P.PATTERN[entity])).alias("s")).select("doc_id", "entity_type", F.col("s.value").alias("v"))
+        found = one if found is None else found.unionByName(one)
+    arms = " ".join(f"WHEN '{entity}' THEN {call}" for entity, (call, _) in SQL_CHECKS.items())
+    return spark.sql(f"SELECT doc_id, entity_type, v, coalesce(CASE entity_type {arms} END, false) AS ok FROM {{found}}", found=found)
+
+
+@query("sql_detect", f'SELECT doc_id, rec_order, entity_type, start, "end", cstart, cend, score FROM ({O.everything(ALL_MADE)})')
+def sql_detect(spark, sf_dir):
+    sqlfuncs.register(spark)
+    return spark.sql("SELECT t.doc_id, e.rec_order, e.entity_type, e.start, e.end, e.cstart, e.cend, round(CAST(e.score AS DOUBLE), 2) AS score FROM {made} t, LATERAL pii_detect(t.text) e", made=all_made(spark, sf_dir))
+
+
+@query("sql_mask", O.masked("documents"))
+def sql_mask(spark, sf_dir):
+    sqlfuncs.register(spark)
+    return spark.sql("SELECT doc_id, pii_mask(text) AS redacted, size(pii_entities(text)) AS n_entities FROM {documents}", documents=table(spark, sf_dir, "documents"))
 
 
 # ---- spans given from outside
@@ -224,6 +279,28 @@ def external_spans(spark, sf_dir) -> DataFrame:
     return given_spans(spark, sf_dir).select("doc_id", F.lit("PERSON").alias("entity_type"), "cstart", "cend", score.alias("score"))
 
 
+RAW = "substr(hex(encode(d.text)), CAST(2 * ({n}) + 1 AS BIGINT), 1) IN ('8', '9', 'A', 'B')"
+
+
+@query("snapped_bytes", f"""SELECT doc_id, k, CAST(CASE WHEN n = 0 OR n = size OR NOT in0 THEN n WHEN NOT in1 THEN n - 1 WHEN NOT in2 THEN n - 2 ELSE n - 3 END AS INTEGER) AS n FROM
+(SELECT d.doc_id, s.k, least(s.cend, strlen(d.text)) AS n, strlen(d.text) AS size, {RAW.format(n='least(s.cend, strlen(d.text))')} AS in0, {RAW.format(n='least(s.cend, strlen(d.text)) - 1')} AS in1, {RAW.format(n='least(s.cend, strlen(d.text)) - 2')} AS in2
+ FROM {SPANS_ORACLE} s JOIN documents d ON d.doc_id = s.doc_id)""")
+def snapped_bytes(spark, sf_dir):
+    """Byte places anywhere, also within characters and beyond the end, go back to a character's start."""
+    rows = given_spans(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw")), "doc_id")
+    return rows.select("doc_id", "k", snapped(F.col("raw"), F.col("cend")).alias("n"))
+
+
+@query("output_choice", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE lang END AS native, CASE WHEN doc_id % 3 = 1 THEN text ELSE lang END AS markdown FROM documents")
+def output_choice(spark, sf_dir):
+    """What is asked for where it's there, else the other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    shown = docs.select("doc_id", F.when(F.col("doc_id") % 3 != 1, F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.col("lang"))).alias("text"), F.when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("markdown"))
+    both = shown.select("doc_id", output(shown, "native").alias("native"), output(shown, "markdown").alias("shown"))
+    swapped = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.col("text")).alias("markdown"), F.col("lang").alias("text"))
+    return both.select("doc_id", "native").join(swapped.select("doc_id", output(swapped, "markdown").alias("markdown")), "doc_id")
+
+
 FOUND_HERE = f"({O.everything('documents')})"
 
 
@@ -299,10 +376,9 @@ def unplaceable_types(spark, sf_dir):
 
 
 @query("tile_grid", """WITH s AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(200 + p_partkey % 977 AS INTEGER) AS w, CAST(100 + p_partkey % 613 AS INTEGER) AS h FROM part),
-t AS (SELECT k, w, h, i // 2 AS r, i % 2 AS c FROM s, (SELECT unnest(range(4)) AS i)),
-e AS (SELECT k, r, c, CAST(floor(greatest(c * (w / 2) - w / 2 * 0.15, 0)) AS INTEGER) AS x, CAST(least(ceil((c + 1) * (w / 2) + w / 2 * 0.15), w) AS INTEGER) AS x2,
-  CAST(floor(greatest(r * (h / 2) - h / 2 * 0.15, 0)) AS INTEGER) AS y, CAST(least(ceil((r + 1) * (h / 2) + h / 2 * 0.15), h) AS INTEGER) AS y2 FROM t)
-SELECT k, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, x, y, x2 - x AS width, y2 - y AS height FROM e""")
+t AS (SELECT k, w, h, i // 2 AS r, i % 2 AS c, w // 2 AS tw, h // 2 AS th, CAST(trunc(CAST(w // 2 AS FLOAT) * CAST(0.15 AS FLOAT)) AS INTEGER) AS px, CAST(trunc(CAST(h // 2 AS FLOAT) * CAST(0.15 AS FLOAT)) AS INTEGER) AS py FROM s, (SELECT unnest(range(4)) AS i)),
+e AS (SELECT k, r, c, greatest(c * tw - px, 0) AS x, least((c + 1) * tw + px, w) AS x2, greatest(r * th - py, 0) AS y, least((r + 1) * th + py, h) AS y2 FROM t)
+SELECT k, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(x2 - x AS INTEGER) AS width, CAST(y2 - y AS INTEGER) AS height FROM e""")
 def tile_grid(spark, sf_dir):
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("k"), (F.col("p_partkey") % 977 + 200).cast("int").alias("w"), (F.col("p_partkey") % 613 + 100).cast("int").alias("h"))
     return sizes.select("k", F.explode(layout.tiles(F.col("w"), F.col("h"))).alias("t")).select("k", "t.*")
@@ -342,7 +418,103 @@ def kind_sniff(spark, sf_dir):
     return named.select(F.col("p_partkey").cast("bigint").alias("k"), ingest.kind_of(F.col("n"), F.col("content")).alias("kind"), ingest.format_of(F.col("n")).alias("format"))
 
 
+@query("box_shift", "SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey % 7 + p_partkey % 40 * 12 AS DOUBLE) AS x, CAST(p_partkey % 11 + p_partkey % 31 * 24 AS DOUBLE) AS y FROM part")
+def box_shift(spark, sf_dir):
+    """Boxes read in a tile, in units of the whole image: 25 pixels are 12 units."""
+    k = F.col("p_partkey")
+    box = F.struct(F.lit(1).alias("page"), (k % 7).cast("float").alias("x"), (k % 11).cast("float").alias("y"), F.lit(1.0).cast("float").alias("width"), F.lit(1.0).cast("float").alias("height"))
+    rows = table(spark, sf_dir, "part").select(k.cast("bigint").alias("k"), layout.shifted(box, k % 40 * 25, k % 31 * 50).alias("b"))
+    return rows.select("k", F.col("b.x").cast("double").alias("x"), F.col("b.y").cast("double").alias("y"))
+
+
 @query("csv_to_markdown", "SELECT CAST(n_nationkey AS BIGINT) AS k, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) AS text FROM nation")
 def csv_to_markdown(spark, sf_dir):
     files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.concat(F.lit("key,name\n"), F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit('"\n')).cast("binary").alias("content"), F.lit("document").alias("kind"), F.lit("csv").alias("format"))
     return ingest.extracted(files).select("k", "text")
+
+
+@query("lossy_text", "SELECT CAST(n_nationkey AS BIGINT) AS k, 'caf' || chr(65533) || ' ' || n_name || ' ' || chr(65533) AS text FROM nation")
+def lossy_text(spark, sf_dir):
+    """Bytes that are no UTF-8 are shown as such."""
+    raw = F.concat(F.unhex(F.lit("636166E920")), F.col("n_name").cast("binary"), F.unhex(F.lit("20C3")))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), ingest.decoded(raw).alias("text"))
+
+
+def office_file(format: str, key: int, name: str) -> bytes:
+    """A small document of a format that says: Nation, then key and name."""
+    import io
+    import zipfile
+
+    parts = {
+        "docx": {"word/document.xml": f'<w:document xmlns:w="u"><w:body><w:p><w:r><w:t>Nation</w:t></w:r></w:p><w:p><w:r><w:t>{key} </w:t></w:r><w:r><w:t>{name}</w:t></w:r></w:p></w:body></w:document>'},
+        "pptx": {"ppt/slides/slide1.xml": '<p:sld xmlns:p="u" xmlns:a="v"><a:p><a:r><a:t>Nation</a:t></a:r></a:p></p:sld>', "ppt/slides/slide2.xml": f'<p:sld xmlns:p="u" xmlns:a="v"><a:p><a:r><a:t>{key} {name}</a:t></a:r></a:p></p:sld>'},
+        "odt": {"content.xml": f'<o:d xmlns:o="u" xmlns:text="t"><text:h>Nation</text:h><text:p>{key} <text:span>{name}</text:span></text:p></o:d>'},
+        "odp": {"content.xml": f'<o:d xmlns:o="u" xmlns:text="t"><text:p>Nation</text:p><text:p>{key} {name}</text:p></o:d>'},
+        "ods": {"content.xml": f'<o:d xmlns:o="u" xmlns:table="b" xmlns:text="t"><table:table-row><table:table-cell><text:p>Nation</text:p></table:table-cell></table:table-row><table:table-row><table:table-cell><text:p>{key}</text:p></table:table-cell><table:table-cell><text:p>{name}</text:p></table:table-cell></table:table-row></o:d>'},
+        "epub": {"a.xhtml": f"<html><body><h1>Nation</h1><p>{key} {name}</p></body></html>"},
+        "excel": {"xl/sharedStrings.xml": f'<sst xmlns="u"><si><t>Nation</t></si><si><t>{name}</t></si></sst>', "xl/worksheets/sheet1.xml": f'<worksheet xmlns="u"><sheetData><row><c t="s"><v>0</v></c></row><row><c><v>{key}</v></c><c t="s"><v>1</v></c></row></sheetData></worksheet>'},
+    }
+    if format == "rtf":
+        return f"{{\\rtf1\\ansi Nation\\par {key} {name}}}".encode()
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        for at, text in parts[format].items():
+            z.writestr(at, text)
+    return made.getvalue()
+
+
+OFFICE = {"docx": " ", "pptx": " ", "odt": " ", "odp": " ", "ods": " | ", "epub": " ", "excel": " | ", "rtf": " "}
+
+
+@query("office_text", " UNION ALL ".join(f"SELECT CAST(n_nationkey AS BIGINT) AS k, '{f}' AS format, 'Nation' || chr(10) || '{'' if f == 'rtf' else chr(10)}' || n_nationkey || '{gap}' || n_name AS text FROM nation" for f, gap in OFFICE.items()))
+def office_text(spark, sf_dir):
+    """The text of documents of every format that is read here."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name", F.explode(F.array(*map(F.lit, OFFICE))).alias("format"))
+
+    def make(frames):
+        for f in frames:
+            yield f.assign(content=[office_file(*r) for r in zip(f["format"], f["k"], f["n_name"], strict=True)], kind="document")[["k", "content", "kind", "format"]]
+
+    return ingest.extracted(rows.mapInPandas(make, "k long, content binary, kind string, format string")).select("k", "format", "text")
+
+
+def _scan_of(picture):
+    return [{"word": "scan", "x": 1, "y": 1, "width": 20, "height": 8}, {"word": "a@b.io", "x": 25, "y": 1, "width": 20, "height": 8}]
+
+
+def _two_pages(content):
+    return [{"word": "one", "page": 1, "x": 1, "y": 1, "width": 9, "height": 5}, {"word": content.decode()[5:], "page": 2, "x": 2, "y": 3, "width": 40, "height": 5}], 2
+
+
+KIND_OF = "CASE n_nationkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'document' WHEN 2 THEN 'image' WHEN 3 THEN 'pdf' ELSE 'none' END"
+
+
+def kinds(spark, sf_dir, output_: str) -> DataFrame:
+    """A table of texts, spreadsheets, pictures, PDFs and files that nobody can read, redacted."""
+    import numpy as np
+
+    blank = image.png_encode(np.full((40, 120, 3), 255, np.uint8))
+    content = "CASE kind WHEN 'text' THEN CAST('mail ' || n_name || '@b.io' AS BINARY) WHEN 'document' THEN CAST('name,' || n_name || '@b.io' AS BINARY) WHEN 'pdf' THEN CAST('%PDF ' || n_name || '@b.io' AS BINARY) END"
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.regexp_replace("n_name", " ", "").alias("n_name"), F.expr(KIND_OF).alias("kind")).withColumn("content", F.coalesce(F.expr(content), F.when(F.col("kind") == "image", F.lit(blank)), F.lit(b"?")))
+    files = rows.select(F.col("n_nationkey").cast("bigint").alias("k"), F.when(F.col("kind") == "none", "image").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "document", "csv").alias("format"), "content")
+    readers = Readers(ocr=_scan_of, pages=_two_pages, render=lambda c, dpi: [np.full((dpi, dpi, 3), 255, np.uint8)] * 2)
+    return redact_files(files, output_, readers=readers)
+
+
+ADDRESS = "replace(n_name, ' ', '') || '@b.io'"
+HIDDEN = f"repeat('{P.BLOCK}', length({ADDRESS}))"
+
+
+@query("redact_kinds_markdown", f"""SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_nationkey % 5 WHEN 0 THEN 'mail ' || {HIDDEN} WHEN 1 THEN '| name | ' || {HIDDEN} || ' |' || chr(10) || '| --- | --- |' || chr(10) WHEN 2 THEN 'scan ██████' WHEN 3 THEN 'one ' || {HIDDEN} END AS markdown,
+CAST(CASE n_nationkey % 5 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS INTEGER) AS page_count, CASE WHEN n_nationkey % 5 < 4 THEN 'EMAIL_ADDRESS' END AS types, n_nationkey % 5 = 4 AS failed FROM nation""")
+def redact_kinds_markdown(spark, sf_dir):
+    rows = kinds(spark, sf_dir, "markdown")
+    return rows.select("k", F.col("redacted_markdown").alias("markdown"), "page_count", F.array_join(F.transform("entities", lambda e: e["entity_type"]), ",").alias("types"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("redact_kinds_native", f"""SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_nationkey % 5 WHEN 0 THEN 'mail ' || {HIDDEN} END AS text, CASE n_nationkey % 5 WHEN 2 THEN '89504E47' WHEN 3 THEN '25504446' END AS magic,
+CAST(CASE n_nationkey % 5 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS INTEGER) AS page, CAST(CASE n_nationkey % 5 WHEN 2 THEN 25 WHEN 3 THEN 2 END AS DOUBLE) AS x, CASE n_nationkey % 5 WHEN 1 THEN 'Unsupported' WHEN 4 THEN 'RedactError' END AS error FROM nation""")
+def redact_kinds_native(spark, sf_dir):
+    rows = kinds(spark, sf_dir, "native")
+    box = F.element_at("entities", 1)["bbox"]
+    return rows.select("k", F.col("redacted_text").alias("text"), F.hex(F.substring("redacted_bytes", 1, 4)).alias("magic"), box["page"].alias("page"), box["x"].cast("double").alias("x"), F.substring_index("error", ":", 1).alias("error"))

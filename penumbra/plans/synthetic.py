@@ -35,3 +35,12 @@ TEXT = {
 def rows(name: str) -> str:
     """SQL for (doc_id, text) of one kind."""
     return f"SELECT {D} AS doc_id, {TEXT[name]} AS text FROM customer"
+
+
+def behind(name: str, source: str, id_col: str, text_col: str) -> str:
+    """SQL for the rows of a table with an identifier of one kind behind each text."""
+    return f"SELECT {id_col}, {text_col} || ' ' || {TEXT[name].replace('c_custkey', id_col)} AS {text_col} FROM {source}"
+
+
+#: Runs of more groups than any bank account number has, with one behind them: swallowed by the run, or apart from it.
+LONG_RUN = "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'AA00 ' || repeat('AAAA ', CAST(190 + n_nationkey AS INT)) || CASE WHEN n_nationkey % 3 = 0 THEN 'é ' WHEN n_nationkey % 3 = 1 THEN 'to ' ELSE '' END || 'GB82 WEST 1234 5698 7654 32' AS text FROM nation"

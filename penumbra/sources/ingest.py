@@ -174,6 +174,12 @@ def check_request(kind: str, output: str) -> None:
         raise Unsupported("documents can be redacted to markdown only")
 
 
-def write_redacted(df: DataFrame, path: str, text_col: str = "redacted") -> None:
-    """A text file a partition, a line a document (line ends within documents become spaces)."""
-    df.select(F.regexp_replace(text_col, "[\\r\\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+def write_redacted(df: DataFrame, path: str, text_col: str = "redacted", id_cols: tuple[str, ...] = ()) -> None:
+    """A JSON object a line for each document: its ids and its text, with its line ends as they are."""
+    df.select(F.to_json(F.struct(*id_cols, F.col(text_col).alias("text"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_bytes(df: DataFrame, path: str, name_col: str = "path", bytes_col: str = "redacted_bytes") -> None:
+    """Parquet rows of (name, content) for each result that has bytes; named like the command's files."""
+    name = F.concat(F.regexp_replace(F.col(name_col), r"\.[^./\\]+$", ""), F.lit(".redacted.out"))
+    df.filter(F.col(bytes_col).isNotNull()).select(name.alias("name"), F.col(bytes_col).alias("content")).write.mode("overwrite").parquet(path)

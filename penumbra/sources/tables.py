@@ -1,7 +1,9 @@
-"""Tables of a folder, dealt so that all cores have work."""
+"""Tables of a folder, dealt so that all cores have work, and rows kept in the folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,43 @@ def spread(scan: DataFrame) -> DataFrame:
         return scan
     rows = [n for _, n in scan.groupBy(F.spark_partition_id()).count().collect()]
     return scan.repartition(2 * cores) if rows and sum(rows) > cores and 2 * len(rows) < cores else scan
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share.
+
+    Only where the setting is absent and Spark runs in one process (tests) does a local folder stand in for it.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        own = sc._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            return own.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="penumbra-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder; survives the loss of any executor."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete what `cut` wrote for these rows, once nothing reads them any more."""
+    kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if kept.isDefined():
+        delete(df.sparkSession, kept.get())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

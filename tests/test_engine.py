@@ -1,7 +1,10 @@
 """Filters, masking, external spans, layout, sources, images, SQL functions and streams."""
 
+import http.server
 import io
+import json
 import struct
+import threading
 import zipfile
 
 import numpy as np
@@ -11,8 +14,8 @@ from pyspark.sql import functions as F
 from penumbra.functions import sqlfuncs
 from penumbra.functions.spans import char_offset, snapped
 from penumbra.operators import external, image, layout
-from penumbra.operators.detect import counts, detect
-from penumbra.operators.mask import audit_json, mask, mask_bytes, merged, redact
+from penumbra.operators.detect import counts, detect, in_order
+from penumbra.operators.mask import audit_json, mask, mask_bytes, merged, output, redact
 from penumbra.sources import ingest
 from penumbra.streaming import stream
 
@@ -97,7 +100,7 @@ def test_assembly_and_tiles(spark):
     assert texts.first()["text"] == "née  x"
     assert [(r["start"], r["end"], r["cstart"]) for r in spans.orderBy("i").collect()] == [(0, 0, 0), (0, 4, 0), (5, 5, 4), (6, 7, 5)]
     tiles = spark.range(1).select(layout.tiles(F.lit(100), F.lit(60))).first()[0]
-    assert (tiles[0]["width"], tiles[0]["height"], tiles[3]["x"], tiles[3]["y"]) == (58, 35, 42, 25)
+    assert (tiles[0]["width"], tiles[0]["height"], tiles[3]["x"], tiles[3]["y"]) == (57, 34, 43, 26)
     assert len(spark.range(1).select(layout.tiles(F.lit(100), F.lit(60), 1)).first()[0]) == 1
 
 
@@ -177,3 +180,96 @@ def test_redact_plans_without_shuffle_or_python(spark):
     df = spark.createDataFrame([(1, TEXT)], "id int, text string")
     plan = redact(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_spans_in_order(spark):
+    df = spark.createDataFrame([(2, TEXT), (1, TEXT + " b@c.io")], "id int, text string")
+    assert [(r["id"], r["entity_type"], r["start"]) for r in in_order(detect(df, ["id"]), ["id"]).collect()] == [(1, "FR_NIR", 30), (1, "EMAIL_ADDRESS", 7), (1, "EMAIL_ADDRESS", 46), (2, "FR_NIR", 30), (2, "EMAIL_ADDRESS", 7)]
+
+
+def test_what_a_result_shows(spark):
+    df = spark.createDataFrame([("t", None), (None, "m"), ("t", "m")], "text string, markdown string")
+    assert [r[0] for r in df.select(output(df)).collect()] == ["t", "m", "t"] and [r[0] for r in df.select(output(df, "markdown")).collect()] == ["t", "m", "m"]
+    with pytest.raises(ValueError):
+        output(df, "html")
+
+
+def test_boxes_within_a_row_are_those_of_tables(spark):
+    words = [(0, 3, 2, 7.0, 1.0, 10.0, 5.0), (3, 6, 1, 99.0, 0.0, 10.0, 5.0), (8, 9, 2, 1.0, 9.0, 2.0, 2.0)]
+    kind = "array<struct<entity_type:string,start:int,end:int,bbox:struct<page:int,x:float,y:float,width:float,height:float>>>"
+    own = {"page": 5, "x": 1.0, "y": 2.0, "width": 3.0, "height": 4.0}
+    spans = [("A", 0, 9, None), ("B", 6, 8, None), ("C", 4, 5, None), ("D", 0, 9, own)]
+    df = spark.createDataFrame([(spans, words)], f"s {kind}, w array<struct<start:int,end:int,page:int,x:float,y:float,width:float,height:float>>")
+    got = {e["entity_type"]: e["bbox"] for e in df.select(layout.boxes_of(F.col("s"), F.col("w"))).first()[0]}
+    table = layout.union_boxes(spark.createDataFrame([(1, *s) for s in spans], "id int, entity_type string, start int, end int, bbox struct<page:int,x:float,y:float,width:float,height:float>"), spark.createDataFrame([(1, i, *w) for i, w in enumerate(words)], WORDS), ["id"], ["entity_type"])
+    assert got == {r["entity_type"]: r["bbox"] for r in table.collect()} and got["B"] is None and got["D"]["page"] == 5 and got["A"]["x"] == 1.0
+
+
+def test_analyzer_over_http(monkeypatch):
+    """One connection a call; what isn't an answer fails."""
+    seen = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.client_address[1], asked["language"]))
+            body = json.dumps([{"entity_type": "PERSON", "start": 0, "end": len(asked["text"]), "score": 0.8}]).encode()
+            self.send_response(500 if asked["text"] == "bad" else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv(external.ENV, f"http://127.0.0.1:{server.server_port}/base/")
+    analyze = external.http_analyzer()
+    assert [e[0]["end"] for e in analyze(["é", "two"], "fr")] == [1, 3]
+    assert {s[0] for s in seen} == {"/base/analyze"} and len({s[1] for s in seen}) == 1 and seen[0][2] == "fr"
+    with pytest.raises(OSError):
+        analyze(["bad"], "en")
+    server.shutdown()
+    with pytest.raises(OSError):
+        external.http_analyzer("http://127.0.0.1:1", timeout=1)(["x"], "en")
+
+
+def test_spans_in_one_pass_are_those_of_two_tables(spark):
+    docs = spark.createDataFrame([(1, "Numéro : Dupont, x@y.com"), (2, None), (3, "none"), (4, "z@w.fr é")], "doc_id int, text string")
+    spans = spark.createDataFrame([(1, "PERSON", 9, 15, 0.8), (1, "URL", 19, 24, 0.9), (1, "LOW", 0, 3, 0.1), (4, "X", 7, 99, 0.7), (4, "Y", -5, 0, 0.7), (3, "PERSON", 0, 4, 0.6)], "doc_id int, entity_type string, cstart int, cend int, score float")
+    key = lambda r: (r["doc_id"], r["entity_type"], r["start"], r["end"], r["source"], round(r["score"], 3))
+    one = external.with_external(docs, spans, score_threshold=0.5).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+    two = external.merge_external(detect(docs, ["doc_id"]), external.in_bytes(spans, docs), score_threshold=0.5)
+    assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+    assert external.with_external(docs, spans, entities=[]).select(F.sum(F.size("entities"))).first()[0] == 0
+
+
+def test_sinks_keep_documents_as_they_are(spark, tmp_path):
+    text = "one\r\ntwo\n\n three"
+    df = spark.createDataFrame([(1, text, bytearray(b"x"), "a/b.c.png"), (2, None, None, "n")], "id int, redacted string, redacted_bytes binary, path string")
+    ingest.write_redacted(df, str(tmp_path / "t"), id_cols=("id",))
+    assert {r["id"]: r["text"] for r in spark.read.json(str(tmp_path / "t")).collect()} == {1: text, 2: None}
+    ingest.write_bytes(df, str(tmp_path / "b"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "b")).collect()] == [("a/b.c.redacted.out", bytearray(b"x"))]
+    (tmp_path / "x.txt").write_text("a\nb")
+    assert ingest.read_text(spark, str(tmp_path / "x.txt")).first()["text"] == "a\nb"
+
+
+def test_counts_by_window(spark, tmp_path):
+    df = spark.sql(f"SELECT 1 AS id, timestamp'2024-01-01 00:01:00' AS at, '{TEXT}' AS text UNION ALL SELECT 2, timestamp'2024-01-01 00:07:00', 'x@y.com'")
+    df.write.parquet(str(tmp_path / "in"))
+    found = stream.counts_by_window(stream.read(spark, str(tmp_path / "in"), df.schema), ["id"], "at")
+    q = found.writeStream.format("memory").queryName("windows_").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["window"]["start"].minute, r["entity_type"], r["n"]) for r in spark.table("windows_").collect()) == [(0, "EMAIL_ADDRESS", 1), (0, "FR_NIR", 1), (5, "EMAIL_ADDRESS", 1)]
+
+
+def test_one_bad_picture_fails_alone(spark):
+    good = image.png_encode(np.full((9, 9, 3), 255, np.uint8))
+    df = spark.createDataFrame([(1, bytearray(good), []), (2, bytearray(b"x"), [])], "id int, content binary, boxes array<struct<page:int,x:float,y:float,width:float,height:float>>")
+    got = {r["id"]: r for r in image.redact_images(df).collect()}
+    assert got[1]["error"] is None and got[2]["redacted"] is None and "RedactError" in got[2]["error"]

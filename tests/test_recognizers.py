@@ -1,7 +1,14 @@
 """Vectors: what each recognizer finds and where (bytes), and what it leaves alone."""
 
+import random
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from penumbra.functions import patterns as P
+from penumbra.functions.spans import before, byte_places, find_all, scan
 from penumbra.operators.mask import redact
 
 VECTORS = [
@@ -81,3 +88,63 @@ def test_masks_keep_length_and_order(found):
 def test_the_mark_in_a_text(found):
     assert [(e["entity_type"], e["start"]) for e in found[-3]["entities"]] == [("EMAIL_ADDRESS", 4), ("CREDIT_CARD", 14)]
     assert found[-3]["redacted"].startswith("a\u0001b ")
+
+
+# ---- long texts
+
+
+def random_texts(seed, parts, n, most):
+    r = random.Random(seed)
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    ("entity", "texts"),
+    [
+        ("EMAIL_ADDRESS", random_texts(1, "ab.-_%+@éZ 9Ö\n", 4000, 60) + random_texts(2, ["a@b.io", "x", "-", ".", "_", "é", "@", "c.d@e.fr", "1", "%"], 4000, 12)),
+        ("IBAN_CODE", random_texts(3, ["AA11", "AAAA", " ", "AB1", "é", "b", "7", "BE68539007547034 ", "x"], 4000, 14)),
+    ],
+)
+def test_scans_without_going_back_find_the_same(spark, entity, texts):
+    """The forms for long texts against the plain patterns, here and in another engine."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    places = lambda c: F.transform(c, lambda s: F.struct(s["cstart"], s["cend"]))
+    rows = df.select("i", places(scan(F.col("t"), entity, P.PATTERN[entity])).alias("fast"), places(find_all(F.col("t"), P.PATTERN[entity])).alias("plain")).collect()
+    plain = re.compile(P.PATTERN[entity])
+    for r in rows:
+        assert r["fast"] == r["plain"] and [tuple(s) for s in r["fast"]] == [m.span() for m in plain.finditer(texts[r["i"]])]
+
+
+HOSTILE = {
+    "dots": ("a." * 20_000 + "@", 0), "signs": ("a@" * 20_000, 0), "dots before a domain": ("a." * 20_000 + "b@c.io", 1), "groups": ("AA00 " + "AAAA " * 20_000, 0), "one group": ("AA00" + "AAAA" * 20_000 + "b", 0),
+    "digits": ("1234567890 " * 10_000, 0), "emails": ("mail é a@b.io now " * 20_000, 20_000), "cards": ("4111 1111 1111 1111, " * 4_000, 4_000),
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_time_is_in_proportion_to_a_text(spark, name):
+    """What took seconds to minutes by going back or by growing strings."""
+    text, n = HOSTILE[name]
+    df = spark.createDataFrame([(text,)], "text string")
+    redact(df.limit(0)).collect()
+    t = time.perf_counter()
+    row = redact(df).select("redacted", F.size("entities").alias("n")).first()
+    assert time.perf_counter() - t < 12 and row["n"] == n and len(row["redacted"]) == len(text)
+    if name == "emails":
+        assert row["redacted"] == "mail é ██████ now " * 20_000
+
+
+def test_running_folds(spark):
+    """Folds of all items before an index, for arrays of any length."""
+    rows = [(list(range(n, 0, -1)),) for n in (0, 1, 2, 3, 8, 9, 10, 50)]
+    df = spark.createDataFrame(rows, "a array<int>")
+    at = lambda zero, add: before(F.col("a"), F.lit(zero), add, lambda upto: F.transform(F.sequence(F.lit(0), F.size("a")), lambda i: upto(i)))
+    for a, total, most in df.select("a", at(0, lambda x, y: x + y), at(0, lambda x, y: F.greatest(x, y))).collect():
+        assert total == [sum(a[:i]) for i in range(len(a) + 1)] and most == [max([0, *a[:i]]) for i in range(len(a) + 1)]
+
+
+def test_places_in_bytes(spark):
+    text = "é1😀a" * 3000
+    df = spark.createDataFrame([(text, [-3, 0, 1, 5, 2048, 4096, 8191, 12_000, 99_999]), ("plain", [0, 3, 9]), ("", [0, 1]), ("é", [])], "t string, c array<int>")
+    for t, c, got in df.select("t", "c", byte_places(F.col("t"), F.col("c"))).collect():
+        assert got == [len(t[: max(0, x)].encode()) for x in c]
