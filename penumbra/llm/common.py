@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,73 +10,28 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, delete, release, shared_folder, table
+
+__all__ = ["U64", "by_size", "cut", "delete", "doc_crc", "kept", "met", "mix64", "parts", "release", "sampled", "shared_folder", "table", "words"]
 U64 = np.uint64
 
 
 #: Rows and bytes of text that a worker holds at once; one longer text is held by itself.
 SLICE_ROWS, SLICE_BYTES = 1000, 4_000_000
-#: Scans of more splits than this many for each core are never dealt anew.
-FEW_SPLITS = 4
 #: A key with more than this part of all rows is hot; there are fewer than 1 / HOT_PART of them.
 HOT_PART = 0.001
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
+_KEPT: dict = {}
 
-def spread(scan: DataFrame) -> DataFrame:
-    """The rows of a plain scan; dealt anew where its few splits would leave cores idle.
-
-    A file of one row group is one task however many splits it has. Only scans with few splits are looked at, by
-    counting rows a split, which reads file footers alone; scans of large tables stay as they are, without a shuffle.
-    """
-    spark = scan.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() > FEW_SPLITS * cores:
-        return scan
-    rows = [n for _, n in scan.groupBy(F.spark_partition_id()).count().collect()]
-    return scan.repartition(2 * cores) if rows and sum(rows) > cores and 2 * len(rows) < cores else scan
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share.
-
-    Only where the setting is absent and Spark runs in one process (tests) does a local folder stand in for it.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        own = sc._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="penumbra-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder; survives the loss of any executor."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def release(df: DataFrame) -> None:
-    """Delete what `cut` wrote for these rows, once nothing reads them any more."""
-    kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    if kept.isDefined():
-        delete(df.sparkSession, kept.get())
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder wherever Spark can write one."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def kept(key: tuple, make: Callable[[], object]):
+    """What a worker process keeps from task to task: one thing at a time, so that stages that follow each other have the
+    memory in turn."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def by_size(batch: pa.RecordBatch, column: str | int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

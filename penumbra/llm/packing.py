@@ -18,7 +18,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size
+from .common import by_size, kept
 
 CAPACITY = 2048
 END = 0
@@ -120,10 +119,9 @@ class Tokenizing:
             yield np.frombuffer(b"".join(map(known.__getitem__, chunks)) + end, "<u4")
 
 
-@lru_cache(maxsize=1)
 def warm(path: str) -> Tokenizing:
     """What a worker process has encoded so far, over all its tasks."""
-    return Tokenizing(path)
+    return kept(("packing", path), lambda: Tokenizing(path))
 
 
 def as_bytes(ids: list[int]) -> bytes:

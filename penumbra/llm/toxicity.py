@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, sampled
+from .common import by_size, kept, sampled
 
 #: Labelled documents fitted on, at most: those whose ids have the smallest hashes.
 TRAIN_DOCS = 6000
@@ -327,15 +327,9 @@ class Scorer:
         return out
 
 
-_WARM: dict[str, Scorer] = {}
-
-
 def warm(model: Model) -> Scorer:
     """The scorer of a model that earlier tasks of this worker process have used, with what it keeps."""
-    if model.name not in _WARM:
-        _WARM.clear()
-        _WARM[model.name] = Scorer(model)
-    return _WARM[model.name]
+    return kept(("toxicity", model.name), lambda: Scorer(model))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50) -> np.ndarray:
