@@ -9,7 +9,7 @@ from ..functions import checks, sqlfuncs
 from ..functions import patterns as P
 from ..functions.spans import byte_offset, find_all, scan, snapped
 from ..operators import external, image, layout
-from ..operators.detect import detect, entities_of
+from ..operators.detect import counts, detect, entities_of
 from ..operators.engine import Readers, redact_files
 from ..operators.mask import audit_json as audit
 from ..operators.mask import mask, mask_bytes, mask_places, merged, output
@@ -143,7 +143,7 @@ for name, threshold in {"score_threshold_095": 0.95, "score_threshold_exact": 0.
 
 @query("entity_counts", f"SELECT entity_type, count(*) AS n FROM ({O.everything('documents')}) GROUP BY entity_type")
 def entity_counts(spark, sf_dir):
-    return detect(table(spark, sf_dir, "documents"), ["doc_id"]).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return counts(detect(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
 @query("entity_counts_by_lang", f"SELECT d.lang, s.entity_type, count(*) AS n, count(DISTINCT s.doc_id) AS n_docs FROM ({O.everything('documents')}) s JOIN documents d ON d.doc_id = s.doc_id GROUP BY ALL")
@@ -450,7 +450,7 @@ def office_file(format: str, key: int, name: str) -> bytes:
         "pptx": {"ppt/slides/slide1.xml": '<p:sld xmlns:p="u" xmlns:a="v"><a:p><a:r><a:t>Nation</a:t></a:r></a:p></p:sld>', "ppt/slides/slide2.xml": f'<p:sld xmlns:p="u" xmlns:a="v"><a:p><a:r><a:t>{key} {name}</a:t></a:r></a:p></p:sld>'},
         "odt": {"content.xml": f'<o:d xmlns:o="u" xmlns:text="t"><text:h>Nation</text:h><text:p>{key} <text:span>{name}</text:span></text:p></o:d>'},
         "odp": {"content.xml": f'<o:d xmlns:o="u" xmlns:text="t"><text:p>Nation</text:p><text:p>{key} {name}</text:p></o:d>'},
-        "ods": {"content.xml": f'<o:d xmlns:o="u" xmlns:table="b" xmlns:text="t"><table:table-row><table:table-cell><text:p>Nation</text:p></table:table-cell></table:table-row><table:table-row><table:table-cell><text:p>{key}</text:p></table:table-cell><table:table-cell><text:p>{name}</text:p></table:table-cell></table:table-row></o:d>'},
+        "ods": {"content.xml": f'<o:d xmlns:o="u" xmlns:table="b" xmlns:text="t"><table:table><table:table-row><table:table-cell><text:p>Nation</text:p></table:table-cell></table:table-row><table:table-row><table:table-cell><text:p>{key}</text:p></table:table-cell><table:table-cell><text:p>{name}</text:p></table:table-cell></table:table-row></table:table></o:d>'},
         "epub": {"a.xhtml": f"<html><body><h1>Nation</h1><p>{key} {name}</p></body></html>"},
         "excel": {"xl/sharedStrings.xml": f'<sst xmlns="u"><si><t>Nation</t></si><si><t>{name}</t></si></sst>', "xl/worksheets/sheet1.xml": f'<worksheet xmlns="u"><sheetData><row><c t="s"><v>0</v></c></row><row><c><v>{key}</v></c><c t="s"><v>1</v></c></row></sheetData></worksheet>'},
     }
@@ -463,10 +463,13 @@ def office_file(format: str, key: int, name: str) -> bytes:
     return made.getvalue()
 
 
-OFFICE = {"docx": " ", "pptx": " ", "odt": " ", "odp": " ", "ods": " | ", "epub": " ", "excel": " | ", "rtf": " "}
+NL = "chr(10)"
+PLAIN_OFFICE = f"'Nation' || {NL} || {NL} || n_nationkey || ' ' || n_name"
+TABLE_OFFICE = f"'| Nation |  |' || {NL} || '| --- | --- |' || {NL} || '| ' || n_nationkey || ' | ' || n_name || ' |' || {NL}"
+OFFICE = {"docx": PLAIN_OFFICE, "pptx": PLAIN_OFFICE, "odp": PLAIN_OFFICE, "odt": f"'# ' || {PLAIN_OFFICE}", "epub": f"'# ' || {PLAIN_OFFICE}", "ods": TABLE_OFFICE, "excel": TABLE_OFFICE, "rtf": f"'Nation' || {NL} || n_nationkey || ' ' || n_name"}
 
 
-@query("office_text", " UNION ALL ".join(f"SELECT CAST(n_nationkey AS BIGINT) AS k, '{f}' AS format, 'Nation' || chr(10) || '{'' if f == 'rtf' else chr(10)}' || n_nationkey || '{gap}' || n_name AS text FROM nation" for f, gap in OFFICE.items()))
+@query("office_text", " UNION ALL ".join(f"SELECT CAST(n_nationkey AS BIGINT) AS k, '{f}' AS format, {text} AS text FROM nation" for f, text in OFFICE.items()))
 def office_text(spark, sf_dir):
     """The text of documents of every format that is read here."""
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name", F.explode(F.array(*map(F.lit, OFFICE))).alias("format"))

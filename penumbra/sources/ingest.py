@@ -66,9 +66,9 @@ def kind_of(path: Column, content: Column) -> Column:
     return F.when(F.startswith(content, F.lit(b"%PDF")) | (end == "pdf"), "pdf").when(end.isin(*IMAGES), "image").when(end.isin(*FORMATS), "document").otherwise("text")
 
 
-def from_csv(content: bytes) -> str:
-    """A Markdown table."""
-    rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8", "replace"))) if r]
+def markdown_table(rows: list[list[str]]) -> str:
+    """Rows as a Markdown table whose head is the first; short rows are filled up."""
+    rows = [r for r in rows if r]
     if not rows:
         return ""
     width = max(map(len, rows))
@@ -76,48 +76,102 @@ def from_csv(content: bytes) -> str:
     return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])]) + "\n"
 
 
-def _texts(node: ElementTree.Element, block: str, leaf: str) -> Iterator[str]:
-    """The text of each element `block`, from the elements `leaf` in it."""
-    for b in node.iter():
-        if b.tag.rpartition("}")[2] == block:
-            yield "".join(t.text or "" for t in b.iter() if t.tag.rpartition("}")[2] == leaf)
+def from_csv(content: bytes) -> str:
+    """A Markdown table."""
+    return markdown_table(list(csv.reader(io.StringIO(content.decode("utf-8", "replace")))))
+
+
+def _name(node: ElementTree.Element) -> str:
+    return node.tag.rpartition("}")[2]
+
+
+def _value(node: ElementTree.Element, name: str) -> str | None:
+    """An attribute by its local name."""
+    return next((v for k, v in node.attrib.items() if k.rpartition("}")[2] == name), None)
+
+
+def _whole(node: ElementTree.Element) -> str:
+    return re.sub(r"\s+", " ", "".join(node.itertext())).strip()
+
+
+def _runs(node: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in node.iter() if _name(t) == "t")
+
+
+def _word_blocks(node: ElementTree.Element) -> Iterator[str]:
+    """Paragraphs, headings by their style, and tables, in order."""
+    for b in node:
+        kind = _name(b)
+        if kind == "p":
+            style = next((_value(x, "val") or "" for x in b.iter() if _name(x) == "pStyle"), "")
+            level = re.fullmatch(r"(?i)heading ?([1-6])|title", style)
+            yield ("#" * int(level[1] or 1) + " " if level else "") + _runs(b)
+        elif kind == "tbl":
+            yield markdown_table([[" ".join(filter(None, (_runs(p) for p in cell.iter() if _name(p) == "p"))) for cell in row if _name(cell) == "tc"] for row in b if _name(row) == "tr"])
+        else:
+            yield from _word_blocks(b)
+
+
+def _open_blocks(node: ElementTree.Element) -> Iterator[str]:
+    """The same for the open formats, spreadsheets as tables."""
+    for b in node:
+        kind = _name(b)
+        if kind == "h":
+            yield "#" * min(6, int(_value(b, "outline-level") or 1)) + " " + _whole(b)
+        elif kind == "p":
+            yield _whole(b)
+        elif kind == "table":
+            cells = [[" ".join(_whole(p) for p in c.iter() if _name(p) == "p") for c in r if _name(c) in ("table-cell", "covered-table-cell")] for r in b.iter() if _name(r) == "table-row"]
+            yield markdown_table([r for r in cells if any(r)])
+        else:
+            yield from _open_blocks(b)
 
 
-def _whole(node: ElementTree.Element, blocks: tuple[str, ...]) -> Iterator[str]:
+def _page_blocks(node: ElementTree.Element) -> Iterator[str]:
+    """Headings, paragraphs and list items of a book's page."""
     for b in node.iter():
-        if b.tag.rpartition("}")[2] in blocks:
-            yield re.sub(r"\s+", " ", "".join(b.itertext())).strip()
+        kind = _name(b)
+        if re.fullmatch("h[1-6]", kind):
+            yield "#" * int(kind[1]) + " " + _whole(b)
+        elif kind in ("p", "li") and not any(_name(x) in ("p", "li") for x in b.iter() if x is not b):
+            yield ("- " if kind == "li" else "") + _whole(b)
+
+
+def _sheet(node: ElementTree.Element, shared: list[str]) -> str:
+    rows = []
+    for row in (r for r in node.iter() if _name(r) == "row"):
+        cells: list[str] = []
+        for c in (c for c in row if _name(c) == "c"):
+            if at := re.match("[A-Z]+", c.get("r") or ""):  # empty cells may be left out
+                column = 0
+                for x in at[0]:
+                    column = column * 26 + ord(x) - 64
+                cells += [""] * (min(column, 16_384) - 1 - len(cells))
+            v = next((x.text or "" for x in c.iter() if _name(x) in ("v", "t")), "")
+            cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
+        rows.append(cells)
+    return markdown_table(rows)
 
 
 def from_office(content: bytes, format: str) -> str:
-    """Text of the zipped formats (docx, pptx, odt, ods, odp, epub, xlsx), a paragraph or row a line."""
+    """Markdown of the zipped formats (docx, pptx, odt, ods, odp, epub, xlsx): headings, paragraphs and tables."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = sorted(z.namelist(), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
         read = lambda n: ElementTree.fromstring(z.read(n))  # noqa: E731, S314
         if format == "docx":
-            lines = list(_texts(read("word/document.xml"), "p", "t"))
+            blocks = list(_word_blocks(read("word/document.xml")))
         elif format == "pptx":
-            lines = [t for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n) for t in _texts(read(n), "p", "t")]
-        elif format in ("odt", "odp"):
-            lines = list(_whole(read("content.xml"), ("h", "p")))
-        elif format == "ods":
-            lines = [" | ".join(_whole(r, ("p",))) for r in read("content.xml").iter() if r.tag.endswith("}table-row")]
+            blocks = [_runs(p) for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n) for p in read(n).iter() if _name(p) == "p"]
+        elif format in ("odt", "odp", "ods"):
+            blocks = list(_open_blocks(read("content.xml")))
         elif format == "epub":
-            lines = [t for n in names if n.endswith((".xhtml", ".html", ".htm")) for t in _whole(read(n), ("h1", "h2", "h3", "h4", "p", "li"))]
+            blocks = [t for n in names if n.endswith((".xhtml", ".html", ".htm")) for t in _page_blocks(read(n))]
         elif format == "excel":
-            shared = list(_texts(read("xl/sharedStrings.xml"), "si", "t")) if "xl/sharedStrings.xml" in names else []
-            lines = []
-            for n in names:
-                if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n):
-                    for row in (r for r in read(n).iter() if r.tag.endswith("}row")):
-                        cells = []
-                        for c in (c for c in row if c.tag.endswith("}c")):
-                            v = next((x.text or "" for x in c.iter() if x.tag.rpartition("}")[2] in ("v", "t")), "")
-                            cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-                        lines.append(" | ".join(cells))
+            shared = [_runs(x) for x in read("xl/sharedStrings.xml").iter() if _name(x) == "si"] if "xl/sharedStrings.xml" in names else []
+            blocks = [_sheet(read(n), shared) for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
         else:
             raise Unsupported(f"no extractor for {format}")
-    return "\n\n".join(x for x in lines if x.strip())
+    return "\n\n".join(x for x in blocks if x.strip())
 
 
 def from_rtf(content: bytes) -> str:

@@ -273,3 +273,25 @@ def test_one_bad_picture_fails_alone(spark):
     df = spark.createDataFrame([(1, bytearray(good), []), (2, bytearray(b"x"), [])], "id int, content binary, boxes array<struct<page:int,x:float,y:float,width:float,height:float>>")
     got = {r["id"]: r for r in image.redact_images(df).collect()}
     assert got[1]["error"] is None and got[2]["redacted"] is None and "RedactError" in got[2]["error"]
+
+
+def test_structure_of_documents():
+    """Headings by style and level, tables, and cells that a sheet leaves out."""
+
+    def zipped(**parts):
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name.replace("__", "/") + ".xml", text)
+        return made.getvalue()
+
+    p = lambda t, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={style!r}/></w:pPr>' if style else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    doc = zipped(word__document=f'<w:document xmlns:w="u"><w:body>{p("Top", "Heading1")}{p("text")}{p("", "Heading2")}<w:tbl><w:tr><w:tc>{p("a")}{p("b")}</w:tc><w:tc>{p("c|d")}</w:tc></w:tr><w:tr><w:tc>{p("e")}</w:tc></w:tr></w:tbl>{p("end")}</w:body></w:document>')
+    assert ingest.from_office(doc, "docx") == "# Top\n\ntext\n\n## \n\n| a b | c\\|d |\n| --- | --- |\n| e |  |\n\n\nend"
+    odt = zipped(content='<o:d xmlns:o="u" xmlns:text="t"><o:body><text:h text:outline-level="2">Sub</text:h><text:list><text:list-item><text:p>one</text:p></text:list-item></text:list></o:body></o:d>')
+    assert ingest.from_office(odt, "odt") == "## Sub\n\none"
+    sheet = zipped(xl__worksheets__sheet1='<worksheet xmlns="u"><sheetData><row><c r="A1" t="inlineStr"><is><t>x</t></is></c><c r="C1"><v>3</v></c></row><row/></sheetData></worksheet>')
+    assert ingest.from_office(sheet, "excel") == "| x |  | 3 |\n| --- | --- | --- |\n"
+    assert ingest.markdown_table([]) == ""
+    with pytest.raises(ingest.Unsupported):
+        ingest.from_office(sheet, "doc")
