@@ -25,7 +25,7 @@ from ..sources.ingest import EXTRACTORS, Unsupported, decoded
 from ..sources.tables import cut
 from . import external, image, layout
 from .detect import entities_of
-from .mask import mask_bytes
+from .mask import mask_bytes, mask_places
 
 WORD = "struct<start:int,end:int,page:int,x:float,y:float,width:float,height:float>"
 ENTITY = "struct<entity_type:string,start:int,end:int,score:float,source:string,bbox:" + layout.BOX + ">"
@@ -212,6 +212,23 @@ def with_analyzer(found: DataFrame, analyzer: external.Analyzer, language: str,
     return met.withColumn("found", F.concat("found", boxed.cast(f"array<{ENTITY}>"))).drop("given_")
 
 
+RESULTS = ["redacted_text", "redacted_markdown", "redacted_bytes", "page_count", "entities", "error", "output"]
+
+
+def redact_texts(files: DataFrame, output: str, entities: list[str] | None, score_threshold: float | None) -> DataFrame:
+    """Plain texts with their RESULTS: one projection, without Python, a shuffle or a kept step."""
+    text = F.coalesce(F.col("text"), decoded(F.col("content"))) if "text" in files.columns else decoded(F.col("content"))
+    none = lambda kind: F.lit(None).cast(kind)
+    entity = lambda e: F.struct(e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score"), e["source"].alias("source"), none(layout.BOX).alias("bbox"))
+    made = let(text, lambda t: let(entities_of(t, entities, score_threshold), lambda e: F.struct(mask_places(t, e).alias("text"), F.transform(e, entity).cast(f"array<{ENTITY}>").alias("entities"))))
+    done = files.withColumn("made_", made)
+    markdown = F.col("made_.text") if output == "markdown" else none("string")
+    return done.select(
+        *files.columns, F.col("made_.text").alias("redacted_text"), markdown.alias("redacted_markdown"), none("binary").alias("redacted_bytes"), none("int").alias("page_count"), F.col("made_.entities").alias("entities"),
+        none("string").alias("error"), F.lit(output).alias("output"),
+    )
+
+
 def redact_files(
     files: DataFrame, output: str = "native", entities: list[str] | None = None, score_threshold: float | None = None, readers: Readers | None = None, strategy: str = "default",
     analyzer: external.Analyzer | None = None, language: str = "en", dpi: int = 150, grid: int = layout.TILE_GRID, overlap: float = layout.TILE_OVERLAP, on_error: str = "column",
@@ -228,6 +245,13 @@ def redact_files(
     if strategy not in STRATEGIES or on_error not in ("column", "raise"):
         raise ValueError(f"strategy is one of {STRATEGIES}, on_error column or raise")
     readers = readers or Readers()
+    if analyzer is None:  # texts need no steps that are kept
+        others = _redact_files(files.filter("kind <> 'text'"), output, entities, score_threshold, readers, strategy, analyzer, language, dpi, grid, overlap, on_error)
+        return redact_texts(files.filter("kind = 'text'"), output, entities, score_threshold).unionByName(others)
+    return _redact_files(files, output, entities, score_threshold, readers, strategy, analyzer, language, dpi, grid, overlap, on_error)
+
+
+def _redact_files(files, output, entities, score_threshold, readers, strategy, analyzer, language, dpi, grid, overlap, on_error) -> DataFrame:
     pixels = output == "native"
     numbered = cut(files.withColumn("row_", F.monotonically_increasing_id()))
     refused = F.when((F.col("kind") == "document") & F.lit(pixels), F.lit("Unsupported: documents can be redacted to markdown only"))
@@ -267,4 +291,4 @@ def redact_files(
     if on_error == "raise":
         error = F.when(error.isNotNull(), F.raise_error(error).cast("string"))
     whole = fit.join(results, "row_", "left")
-    return whole.withColumn("error", error).withColumn("output", F.lit(output)).drop("row_", "refused_", "own_error_")
+    return whole.withColumn("error", error).withColumn("output", F.lit(output)).select(*files.columns, *RESULTS)

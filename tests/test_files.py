@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from penumbra.operators import image, layout
-from penumbra.operators.engine import Readers, joined, redact_files
+from penumbra.operators.engine import Readers, joined, redact_files, redact_texts
 from penumbra.operators.image import png_decode, png_encode
 from penumbra.sources import ingest
 
@@ -74,6 +74,14 @@ def test_every_kind_in_one_table(spark):
     assert redact_files(df.filter("false"), readers=readers).count() == 0
 
 
+def test_texts_need_no_python_and_no_shuffle(spark):
+    df = spark.createDataFrame([("text", "mail a@b.io", None)], "kind string, text string, content binary")
+    plan = redact_texts(df, "native", None, None)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    row = redact_texts(df, "markdown", None, 0.8).first()
+    assert row["redacted_markdown"] == row["redacted_text"] == "mail ██████" and row["entities"][0]["bbox"] is None
+
+
 @pytest.mark.parametrize("degrees", [0, 90, 180, 270])
 def test_pages_are_turned_until_something_is_found(spark, degrees):
     p = picture() if not degrees else image.turned(picture(), degrees)
