@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import re
 import time
 import zlib
 
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -590,9 +592,135 @@ def test_loser_tree():
         assert list(warc.loser_tree(runs)) == sorted((e for r in runs for e in r), key=warc._order)
 
 
+# ---- the registered queries, each against a plain computation over whole tables
+
+
+def documents(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+def held(i, part, rest):
+    return zlib.crc32(str(i).encode()) % part == rest
+
+
+def test_query_of_mixing(spark):
+    rows = documents(spark)
+    got = queries.op3_cube_mixing(spark, SMALL).toPandas()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in rows.items()}
+    whole = {}
+    for i, r in rows.items():
+        whole[r["source"]] = whole.get(r["source"], 0) + size[i]
+    want, taken = slow_targets(whole), dict.fromkeys(whole, 0)
+    assert sorted(got["doc_id"]) == sorted(rows)
+    for r in got.itertuples():
+        source = rows[r.doc_id]["source"]
+        assert r.size == size[r.doc_id] and r.source_size == whole[source] and r.target == pytest.approx(want[source]) and r.taken in {r.size * k for k in range(4)}
+        taken[source] += r.taken
+    for source, words in taken.items():
+        longest = max(size[i] for i, r in rows.items() if r["source"] == source)
+        assert abs(words - want[source]) <= max(5, longest if len([1 for r in rows.values() if r["source"] == source]) < 20 else 5)
+
+
+def test_query_of_quality(spark):
+    rows, labels = documents(spark), {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    fitted = sorted((i, int(labels[i])) for i in labels if i in rows and not held(i, 4, 2))
+    model = quality.train(np.array([quality.statistics(rows[i]["text"]) for i, _ in fitted]), np.array([y for _, y in fitted], float))
+    got = queries.op4_rule_ensemble(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    for r in got:
+        x = np.array([quality.statistics(rows[r["doc_id"]]["text"])])
+        p = 1 / (1 + np.exp(-(model[1] + sum(w for rule, w in model[0] if quality.applies(rule, x)[0]))))
+        assert r["score"] == pytest.approx(p) and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == held(r["doc_id"], 4, 2)
+
+
+def test_query_of_packing(spark):
+    from tokenizers import Tokenizer
+
+    encoder, want = Tokenizer.from_file(queries.tokenizer()), []
+    for i, r in documents(spark).items():
+        ids = encoder.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want += [(i, k, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4"))) for k, at in enumerate(range(0, len(ids), 2048))]
+    got = queries.op5_best_two_fit(spark, SMALL).toPandas()
+    assert sorted(zip(*(got[c].tolist() for c in ("doc_id", "piece", "start", "length", "ids_crc32")), strict=True)) == sorted(want)
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 2048
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) + 1
+
+
+def test_query_of_main_text(spark):
+    """Blocks and marginals page by page, by a field fitted apart; and no markup, script or menu in any text."""
+    field = dom.fit(layouts.pages(queries.LAYOUT_PAGES))
+    rows = {r["page_id"]: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in queries.op6_dom_field(spark, SMALL).collect()}
+    assert set(got) == set(rows)
+    for i, r in rows.items():
+        page = dom.Page(r["html"])
+        p = field.marginals([page])[0]
+        assert got[i]["text"] == "\n\n".join(t for own, t in page.blocks if p[own] >= 0.5) and got[i]["n_chars"] == len(got[i]["text"]) and got[i]["url"] == r["url"]
+        assert not re.search(r"</?(?:p|div|a|b|br|article)\b|track\(|margin:0", got[i]["text"])
+
+
+def test_query_of_toxicity(spark):
+    rows, labels = documents(spark), {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    model = toxicity.train([(rows[i]["text"], labels[i]) for i in sorted(labels) if i in rows and not held(i, 5, 0)])
+    got = queries.op10_recurrent_toxicity(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    for r in got:
+        if len(rows[r["doc_id"]]["text"] or "") < 3000:
+            want = model.probability(np.array([slow_features(model, rows[r["doc_id"]]["text"])]))[0] if model.calibration is not None else model.prior
+            assert r["score"] == pytest.approx(want, abs=1e-4)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == held(r["doc_id"], 5, 0)
+
+
 # ---- the pipeline
 
 
+def test_pipeline_against_plain_stages(spark):
+    """What quality, toxicity and near-duplicates leave, by a loop over documents; the mix and the pieces by their contracts."""
+    rows, docs = documents(spark), spark.read.parquet(f"{SMALL}/documents.parquet")
+    quality_of, toxic_of = ({r["doc_id"]: r[c] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()} for c in ("quality", "toxic"))
+    fitted = sorted((i, int(quality_of[i])) for i in quality_of if i in rows and not held(i, 4, 2))
+    rules, constant = quality.train(np.array([quality.statistics(rows[i]["text"]) for i, _ in fitted]), np.array([y for _, y in fitted], float))
+    stats = {i: np.array([quality.statistics(r["text"])]) for i, r in rows.items()}
+    good = {i for i, x in stats.items() if 1 / (1 + np.exp(-(constant + sum(w for rule, w in rules if quality.applies(rule, x)[0])))) >= 0.7}
+    model = toxicity.train([(rows[i]["text"], toxic_of[i]) for i in sorted(toxic_of) if i in good and not held(i, 5, 0)])
+    score = dict(zip(sorted(good), toxicity.Scorer(model).scores([rows[i]["text"] for i in sorted(good)]), strict=True))
+    clean = {i for i, p in score.items() if p < 0.5}
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    prints = {}
+    for i in sorted(clean):
+        own = words(rows[i]["text"])
+        h = [xxhash.xxh64_intdigest(" ".join(own[k : k + 3]).encode(), 42) for k in range(max(1, len(own) - 2))] if own else []
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+    root = {i: i for i in prints}
+    changed = True
+    while changed:  # the smallest id within reach
+        changed = False
+        for i in prints:
+            least = min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3)
+            changed, root[i] = changed or least < root[i], min(root[i], least)
+    left = {i for i in prints if root[i] == i}
+    stages = dict(corpus_pipeline.STAGES)
+    now, kept = docs, []
+    for name in ("quality classifier", "toxicity", "simhash near-dedup"):
+        now = spark.createDataFrame(stages[name](spark, now, SMALL).collect(), docs.schema)
+        kept.append({r["doc_id"] for r in now.collect()})
+    assert kept == [good, clean, left]
+    size = {i: len(words(rows[i]["text"])) for i in left}
+    whole = {}
+    for i in left:
+        whole[rows[i]["source"]] = whole.get(rows[i]["source"], 0) + size[i]
+    pieces = corpus_pipeline.run(spark, SMALL).toPandas()
+    starts = pieces[pieces["piece"] == 0]
+    taken = {}
+    for i in starts["doc_id"]:
+        taken[rows[i]["source"]] = taken.get(rows[i]["source"], 0) + size[i]
+    assert set(starts["doc_id"]) <= left and starts.groupby("doc_id").size().max() <= 3
+    for source, target in slow_targets(whole).items():
+        assert abs(taken.get(source, 0) - target) <= max([size[i] for i in left if rows[i]["source"] == source])
+    assert pieces.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
 def test_pipeline_is_its_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
