@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut, delete, release, shared_folder, table
 
-__all__ = ["U64", "by_size", "cut", "delete", "doc_crc", "kept", "met", "mix64", "parts", "release", "sampled", "shared_folder", "table", "words"]
+__all__ = ["U64", "by_size", "cut", "delete", "doc_crc", "forget", "kept", "met", "mix64", "parts", "release", "sampled", "shared_folder", "table", "words"]
 U64 = np.uint64
 
 
@@ -34,6 +34,11 @@ def kept(key: tuple, make: Callable[[], object]):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Let go of what a worker process keeps for an operator whose stage is over."""
+    _KEPT.clear()
+
+
 def by_size(batch: pa.RecordBatch, column: str | int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts stay under `size` bytes together."""
     lo = held = 0

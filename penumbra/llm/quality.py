@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size, sampled
+from .common import by_size, forget, sampled
 
 #: Labelled documents fitted on, at most: those whose ids have the smallest hashes.
 TRAIN_DOCS = 8000
@@ -75,6 +75,7 @@ def measured(docs: DataFrame, name: str) -> DataFrame:
     kind = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for b in by_size(batch, at):
                 made = np.array([statistics(t.as_py()) for t in b.column(at)], float).reshape(-1, len(STATS))

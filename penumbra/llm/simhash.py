@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_size, cut, met, mix64, parts, release
+from .common import U64, by_size, cut, forget, met, mix64, parts, release
 from .components import components
 
 SHINGLE = 3
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): 64 bits as a signed long; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for b in by_size(batch, "text"):
                 made = np.array([fingerprint(t.as_py()) for t in b.column("text")], U64).view(np.int64)
@@ -125,6 +126,7 @@ def links(distinct: DataFrame, group_variants: int = GROUP_VARIANTS) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "fps", "per", "codes"])
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
+        forget()
         fp = np.concatenate([np.repeat(np.frombuffer(a, U64), np.frombuffer(b, "<u2")) for a, b in zip(f["fps"], f["per"], strict=True)])
         code = np.concatenate([np.frombuffer(c, "<u2") for c in f["codes"]])
         variant = fp ^ FLIPS[code]
