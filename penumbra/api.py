@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.checks import let
 from .operators import external, image, layout
-from .operators.detect import detect
+from .operators.detect import detect, entities_of
 from .operators.engine import Readers, redact_files
-from .operators.mask import mask_bytes
+from .operators.mask import mask_places
 from .sources.ingest import EXTRACTORS, EngineError, Unsupported, check_request
 
 
@@ -23,12 +24,14 @@ def _spans(spark: SparkSession, df: DataFrame, entities, score_threshold, analyz
 
 def redact_texts(df: DataFrame, entities: list[str] | None = None, score_threshold: float | None = None, analyzer: external.Analyzer | None = None, language: str = "en") -> DataFrame:
     """(doc_id, text) to (doc_id, redacted, entities) with an external recognizer's spans, if one is given, merged in."""
-    found = _spans(df.sparkSession, df, entities, score_threshold, analyzer, language)
-    kept = F.struct("entity_type", "start", "end", "score", "source")
-    grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rec_order", "start", "end", kept.alias("e")))).alias("found"))
-    joined = df.select("doc_id", "text").join(grouped, "doc_id", "left")
-    spans = F.coalesce(F.transform("found", lambda s: s["e"]), F.array().cast("array<struct<entity_type:string,start:int,end:int,score:float,source:string>>"))
-    return joined.select("doc_id", mask_bytes(F.col("text"), spans).alias("redacted"), spans.alias("entities"))
+    docs = df.select("doc_id", "text")
+    if analyzer is None:
+        found = docs.withColumn("entities", entities_of("text", entities, score_threshold))
+    else:
+        found = external.with_external(docs, external.analyzed(docs, analyzer, language=language), entities=entities, score_threshold=score_threshold)
+    # bound, so that the scans are planned once
+    made = let(F.col("entities"), lambda e: F.struct(mask_places(F.col("text"), e).alias("redacted"), F.transform(e, lambda x: F.struct(*(x[c].alias(c) for c in ("entity_type", "start", "end", "score", "source")))).alias("entities")))
+    return found.select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
 def redact_text(spark: SparkSession, text: str, entities: list[str] | None = None, score_threshold: float | None = None, analyzer: external.Analyzer | None = None, language: str = "en") -> tuple[str, list[dict]]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .checks import let
-from .patterns import SCAN
+from .patterns import PATTERN, SCAN
 
 MARK, STAND_IN = "\u0001", "\u0002"
 SPAN = "struct<cstart:int,cend:int,start:int,end:int,value:string>"
@@ -78,8 +78,8 @@ def find_all(text: Column, pattern: str, valid=None, lead: str = "") -> Column:
 
 
 def scan(text: Column, entity_type: str, pattern: str, valid=None) -> Column:
-    """find_all for a type's pattern, by the form in SCAN that long texts allow."""
-    lead, own = SCAN.get(entity_type, ("", pattern))
+    """find_all for a type's pattern, by the form in SCAN that long texts allow; other patterns are taken as they are."""
+    lead, own = SCAN[entity_type] if entity_type in SCAN and PATTERN[entity_type] == pattern else ("", pattern)
     return find_all(text, own, valid, lead)
 
 

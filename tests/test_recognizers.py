@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from penumbra.functions import patterns as P
 from penumbra.functions.spans import before, byte_places, find_all, scan
+from penumbra.operators.detect import entities_of
 from penumbra.operators.mask import redact
+from penumbra.operators.recognizers import Recognizer
 
 VECTORS = [
     ("FR_NIR", "185017512345609", [(0, 15)]),
@@ -148,3 +150,12 @@ def test_places_in_bytes(spark):
     df = spark.createDataFrame([(text, [-3, 0, 1, 5, 2048, 4096, 8191, 12_000, 99_999]), ("plain", [0, 3, 9]), ("", [0, 1]), ("é", [])], "t string, c array<int>")
     for t, c, got in df.select("t", "c", byte_places(F.col("t"), F.col("c"))).collect():
         assert got == [len(t[: max(0, x)].encode()) for x in c]
+
+
+def test_a_recognizer_of_ones_own(spark):
+    """Its pattern is taken as it is, also under a type that is known."""
+    mine = Recognizer("EMAIL_ADDRESS", r"\b[a-z]+ at [a-z.]+\b", score=lambda v: F.lit(0.5))
+    other = Recognizer("ORDER_NO", r"#\d{4}", score=lambda v: F.lit(1.0), valid=lambda v: v != "#0000")
+    df = spark.createDataFrame([("bob at x.org, c@d.io, #1234 #0000",)], "text string")
+    got = df.select(entities_of("text", ["EMAIL_ADDRESS", "ORDER_NO"], more=(mine, other)).alias("e")).first()["e"]
+    assert [(e["entity_type"], e["value"]) for e in got] == [("EMAIL_ADDRESS", "c@d.io"), ("EMAIL_ADDRESS", "bob at x.org"), ("ORDER_NO", "#1234")]
