@@ -39,8 +39,10 @@ CACHE_CHUNKS, CACHE_WORDS = 400_000, 800_000
 MARK = "\x01"
 #: Chunks whose lower case and words need no Unicode tables: printable ASCII and the letters of Latin-1.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
-#: The vocabulary's words within plain lower-case chunks (a fixed pattern of the vocabulary).
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+#: The vocabulary's words within plain lower-case chunks (a fixed pattern of the vocabulary), and the ends of lines.
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+").findall
+#: Stands for a line's end among ids, each of which has zeros in its upper bytes.
+LINE = b"\xff" * 4
 
 
 #: Texts on which the way by chunks and words must give the library's ids before it is used.
@@ -91,11 +93,13 @@ class Tokenizing:
     def _learn(self, new: list[str]) -> None:
         known, words = self.known, self.words
         plain = [c for c in new if PLAIN(c) and "<|" not in c]
-        parts = [SPLIT(c) for c in map(str.lower, plain)]
-        if fresh := [w for w in set(chain.from_iterable(parts)) if w not in words]:
-            words.update(zip(fresh, self._encode(fresh), strict=True))
-        get = words.__getitem__
-        known.update(zip(plain, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
+        if plain:
+            # all chunks as one text: a line a chunk, whose ends become a mark that no id's bytes hold
+            parts = SPLIT("\n".join(plain).lower())
+            words["\n"] = LINE
+            if fresh := [w for w in set(parts) if w not in words]:
+                words.update(zip(fresh, self._encode(fresh), strict=True))
+            known.update(zip(plain, b"".join(map(words.__getitem__, parts)).split(LINE), strict=True))
         if len(plain) < len(new):
             other = [c for c in new if c not in known]
             known.update(zip(other, (as_bytes(e.ids) for e in self.encoder.encode_batch(other, add_special_tokens=False)), strict=True))
