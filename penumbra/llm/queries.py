@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, dom, layouts, mixing, packing, preference, quality, simhash, toxicity, vantage, warc
+from . import bottomk, dom, layouts, mixing, packing, preference, quality, repair, simhash, tiered, toxicity, vantage, warc
 from .common import doc_crc, table
 
 
@@ -74,7 +74,15 @@ def op10_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", fifth_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vantage_trees, op3_cube_mixing, op4_rule_ensemble, op5_best_two_fit, op6_dom_field, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge, op10_recurrent_toxicity)}
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vantage_trees, op3_cube_mixing, op4_rule_ensemble, op5_best_two_fit, op6_dom_field, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge, op10_recurrent_toxicity, op11_tiered_search, op12_turn_repair)}
 ORACLES: dict[str, str] = {
     "op1_preference_format": preference.ORACLE,
     "op2_vantage_trees": """
@@ -92,4 +100,6 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM p JOIN f ON f.digest = p.digest""",
+    "op11_tiered_search": tiered.ORACLE,
+    "op12_turn_repair": repair.ORACLE,
 }
