@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, dom, layouts, mixing, packing, preference, quality, repair, simhash, tiered, toxicity, vantage, warc
+from . import bottomk, cutting, dom, layouts, mixing, packing, preference, quality, repair, simhash, tiered, toxicity, vantage, warc
 from .common import doc_crc, table
 
 
@@ -82,7 +82,13 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vantage_trees, op3_cube_mixing, op4_rule_ensemble, op5_best_two_fit, op6_dom_field, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge, op10_recurrent_toxicity, op11_tiered_search, op12_turn_repair)}
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return cutting.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vantage_trees, op3_cube_mixing, op4_rule_ensemble, op5_best_two_fit, op6_dom_field, op7_bottom_k_fingerprints, op8_simhash_balls, op9_warc_index_merge, op10_recurrent_toxicity, op11_tiered_search, op12_turn_repair, op13_cutting_stock)}
 ORACLES: dict[str, str] = {
     "op1_preference_format": preference.ORACLE,
     "op2_vantage_trees": """
