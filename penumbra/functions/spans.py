@@ -52,6 +52,14 @@ def before(items: Column, zero: Column, add: Callable[[Column, Column], Column],
     return let((F.floor(F.sqrt(F.size(items))) + 1).cast("int"), blocked)
 
 
+def first_where(items: Column, late: Callable[[Column], Column]) -> Column:
+    """The first index at which `late` holds, where it holds for all after it; the number of items if for none."""
+    middle = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(late(F.get(items, middle(s))), F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))).otherwise(F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi")))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + 1.0)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi")), step, lambda s: s["lo"])
+
+
 def find_all(text: Column, pattern: str, valid=None, lead: str = "") -> Column:
     """Array of SPAN for the leftmost matches that do not overlap, of those whose value is `valid`.
 

@@ -1,28 +1,31 @@
 """Files of any kind in one table: read, find, redact, each row by its kind.
 
 Texts and office documents come out as masked text, images as images with black boxes, PDFs as PDFs of page images
-(or all of them as masked Markdown). What has no library here is put in by the caller: an OCR, a PDF reader and
-renderer, codecs for formats other than PNG.
+(or all of them as masked Markdown). PDFs with a text layer are read here. What has no library here is put in by the
+caller: an OCR, a PDF renderer, codecs for formats other than PNG.
 
 Finding is the same column expression for all kinds; only what must be done to pixels and files runs in Python, and
-only for rows that need it. Rows are computed in steps kept in the shared folder, since an OCR is too dear to run twice:
-an image in which nothing is found is turned and read again, angle after angle, and only images still without a
-finding enter the next turn.
+only for rows that need it. All of it is one plan of row-wise steps, in which an OCR reads each image and turn once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.checks import let
-from ..sources.ingest import EXTRACTORS, Unsupported, decoded
-from ..sources.tables import cut
+from ..sources import pdf
+from ..sources.errors import IngestError, Unsupported
+from ..sources.ingest import EXTRACTORS, decoded
+from ..sources.tables import by_size
 from . import external, image, layout
 from .detect import entities_of
 from .mask import mask_bytes, mask_places
@@ -43,7 +46,7 @@ class Readers:
 
     ocr: Callable[[np.ndarray], list[dict]] | None = None
     pages: Callable[[bytes], tuple[list[dict], int]] | None = None
-    pdf_text: Callable[[bytes], str] | None = None
+    pdf_text: Callable[[bytes], str] = pdf.markdown
     render: Callable[[bytes, int], list[np.ndarray]] | None = None
     decode: Callable[[bytes], np.ndarray] = image.png_decode
     encode: Callable[[np.ndarray, bytes], bytes] | None = None
@@ -64,30 +67,32 @@ def joined(words: list[dict]) -> tuple[str, list[tuple]]:
     return "".join(text), spans
 
 
-def pixels_of(content: bytes, readers: Readers) -> np.ndarray:
-    """An image's pixels; what was turned here is a PNG whatever the file was."""
-    return image.png_decode(content) if content.startswith(image.SIGNATURE) else readers.decode(content)
+def own_pages(content: bytes, readers: Readers) -> tuple[list[dict], int]:
+    """A PDF's words and number of pages by its text layer; pages that only show pictures are read by the OCR, which takes a
+    renderer too. Without them such a page is refused, not passed on unread."""
+    words, n, blind = pdf.words(content)
+    if not blind:
+        return words, n
+    if readers.ocr is None or readers.render is None:
+        raise Unsupported(f"pages without a text layer ({', '.join(map(str, blind))}) need an OCR and a renderer")
+    pictures = readers.render(content, layout.IMAGE_DPI)
+    read_ = [{**w, "page": i} for i in blind for w in readers.ocr(pictures[i - 1])]
+    return sorted(words + read_, key=lambda w: w["page"]), n
 
 
-def _image_words(content: bytes, readers: Readers) -> tuple[str, list[tuple]]:
-    if readers.ocr is None:
-        raise Unsupported("images need an OCR")
-    return joined(readers.ocr(pixels_of(content, readers)))
-
-
-def ingest_one(kind: str, format: str | None, content: bytes, readers: Readers, strategy: str, boxes: bool) -> tuple[bytes, str | None, str | None, list[tuple], int | None]:
-    """(content, text, markdown, words, pages) of a file that is no plain text; an image's content upright."""
+def ingest_one(kind: str, format: str | None, content: bytes, readers: Readers, strategy: str, boxes: bool) -> tuple[str | None, str | None, list[tuple], int | None]:
+    """(text, markdown, words, pages) of a file that is no plain text."""
     if kind == "image":
         if strategy == "documents":
             raise Unsupported("the documents strategy reads no images")
-        if (turn := image.exif_orientation(content)) and (turned := image.upright(readers.decode(content), turn)) is not None:
-            content = image.png_encode(turned)
-        text, words = _image_words(content, readers)
-        return content, text, None, words, 1
+        if readers.ocr is None:
+            raise Unsupported("images need an OCR")
+        text, words = joined(readers.ocr(seen(content, readers, None)))
+        return text, None, words, 1
     if kind == "pdf":
         if strategy == "documents" and boxes:
             raise Unsupported("the documents strategy gives no places in a PDF")
-        if strategy != "layout" and not boxes and readers.pdf_text:
+        if strategy != "layout" and not boxes:
             try:
                 markdown = readers.pdf_text(content)
             except Exception:
@@ -95,88 +100,156 @@ def ingest_one(kind: str, format: str | None, content: bytes, readers: Readers,
                     raise
                 markdown = ""
             if markdown.strip() or strategy == "documents":
-                return content, markdown, markdown, [], None
-        if strategy == "documents" or readers.pages is None:
-            raise Unsupported("PDFs need a reader")
-        words, n = readers.pages(content)
-        return content, *((t := joined(words))[0], None, t[1]), n
+                return markdown, markdown, [], None
+        words, n = readers.pages(content) if readers.pages else own_pages(content, readers)
+        return (t := joined(words))[0], None, t[1], n
     if strategy == "layout":
         raise Unsupported("the layout strategy reads no documents")
     use = EXTRACTORS | readers.extractors
     if format not in use:
         raise Unsupported(f"no extractor for {format}")
     markdown = use[format](content)
-    return content, markdown, markdown, [], None
+    return markdown, markdown, [], None
 
 
-READ = f"row_ long, kind string, content binary, text string, markdown string, words array<{WORD}>, page_count int, error string"
-COLUMNS = ["row_", "kind", "content", "text", "markdown", "words", "page_count", "error"]
+#: What reading a file adds, with their Arrow types.
+WORDS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("page", pa.int32()), *((c, pa.float32()) for c in ("x", "y", "width", "height"))]))
+STATE = {"text": ("string", pa.string()), "markdown": ("string", pa.string()), "words": (f"array<{WORD}>", WORDS), "pages": ("int", pa.int32()), "error": ("string", pa.string())}
 
 
-def _rows(work: Callable[[tuple], tuple]):
-    """For mapInPandas over (row_, kind, content, ..): work on each row gives READ's next five; an exception its error."""
+class Names:
+    """Columns of the engine's own beside those of the files, whatever theirs are called."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for row in f.itertuples(index=False, name=None):
-                try:
-                    out.append((*row[:2], *work(row), None))
-                except Exception as e:
-                    out.append((*row[:2], row[2] and bytes(row[2]), None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=COLUMNS)
+    def __init__(self, taken: list[str]):
+        self.taken = {c.lower() for c in taken}
 
-    return run
+    def __getattr__(self, name: str) -> str:
+        own = f"{name}__"
+        while own.lower() in self.taken:
+            own += "_"
+        return own
 
 
-def read(files: DataFrame, readers: Readers, strategy: str = "default", boxes: bool = False) -> DataFrame:
-    """READ of files with row_; plain texts are decoded without Python."""
-    plain = files.filter("kind = 'text'")
-    text = F.coalesce(F.col("text"), decoded(F.col("content"))) if "text" in files.columns else decoded(F.col("content"))
-    none = F.lit(None)
-    own = plain.select("row_", "kind", "content", text.alias("text"), none.cast("string").alias("markdown"), F.array().cast(f"array<{WORD}>").alias("words"), none.cast("int").alias("page_count"), none.cast("string").alias("error"))
-    work = lambda r: ingest_one(r[1], r[3], bytes(r[2]), readers, strategy, boxes)
-    return own.unionByName(files.filter("kind <> 'text'").select("row_", "kind", "content", "format").mapInPandas(_rows(work), READ))
+def added(df: DataFrame, columns: dict[str, tuple[str, pa.DataType]], work: Callable[[tuple], tuple], inputs: list[str], size_of: str) -> DataFrame:
+    """The rows with what work(inputs of a row) gives, a value a column; what is there passes through as it is. Rows go in
+    runs of bounded bytes, and no result waits for another's."""
+    schema = T.StructType([*df.schema, *(T.StructField(c, T._parse_datatype_string(t)) for c, (t, _) in columns.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in by_size(b, size_of):
+                made = [work(row) for row in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
+                more = [pa.array([m[i] for m in made], t) for i, (_, t) in enumerate(columns.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *columns])
+
+    return df.mapInArrow(run, schema)
+
+
+def told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
 
+def seen(content: bytes, readers: Readers, degrees: float | None) -> np.ndarray:
+    """An image's pixels, upright and turned; worked out from the file wherever they are needed, never kept."""
+    picture = readers.decode(content)
+    if (turn := image.exif_orientation(content)) and (turned := image.upright(picture, turn)) is not None:
+        picture = turned
+    if degrees is not None:
+        picture = image.turned(picture, degrees) if degrees in (90, 180, 270) else image.slanted(picture[:, :, :3], degrees)
+    return np.ascontiguousarray(picture)
 
-def found_in(read_: DataFrame, entities: list[str] | None, score_threshold: float | None) -> DataFrame:
-    """With `found`: entities with bytes, scores and the box around their words, if there are any."""
-    none = F.lit(None).cast(layout.BOX)
+
+def read(files: DataFrame, names: Names, readers: Readers, strategy: str = "default", boxes: bool = False) -> DataFrame:
+    """The files with STATE. A file that can't be read, or has no kind, has an error and nothing else."""
+
+    def work(row: tuple) -> tuple:
+        kind, format, content = row
+        try:
+            if kind not in ("image", "pdf", "document"):
+                raise Unsupported(f"files of kind {kind} can't be read")
+            if content is None:
+                raise IngestError("no content")
+            return (*ingest_one(kind, format, content, readers, strategy, boxes), None)
+        except Exception as e:
+            return (None, None, None, None, told(e))
+
+    return added(files, {getattr(names, c): t for c, t in STATE.items()}, work, ["kind", "format", "content"], "content")
+
+
+@lru_cache(maxsize=64)
+def _found(text: str, words: str, entities: tuple[str, ...] | None, score_threshold: float | None, context: int) -> Column:
+    """Building the expression takes longer than planning it, so it is kept for columns' names and a session."""
+    none, w = F.lit(None).cast(layout.BOX), F.col(words)
     struct = lambda e: F.struct(e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score"), e["source"].alias("source"), none.alias("bbox"))
-    all_ = F.transform(entities_of("text", entities, score_threshold), struct)
-    boxed = let(all_, lambda e: F.when(F.size("words") > 0, layout.boxes_of(e, F.col("words"))).otherwise(e))
-    return read_.withColumn("found", boxed.cast(f"array<{ENTITY}>"))
-
-
-def turned_until_found(found: DataFrame, readers: Readers, entities, score_threshold) -> DataFrame:
-    """Images without findings are turned and read again in the order of the ladder; the first turn that finds counts."""
-    done = cut(found)
-    for degrees in image.LADDER:
-        empty = (F.col("kind") == "image") & F.col("error").isNull() & (F.size("found") == 0)
-        rest = done.filter(empty)
-        if rest.isEmpty():
-            break
-
-        def again(row: tuple, degrees: float = degrees) -> tuple:
-            picture = pixels_of(bytes(row[2]), readers)
-            new = image.turned(picture, degrees) if degrees in (90, 180, 270) else image.slanted(picture[:, :, :3], degrees)
-            content = image.png_encode(np.ascontiguousarray(new))
-            text, words = _image_words(content, readers)
-            return content, text, None, words, 1
-
-        made = rest.select("row_", "kind", "content").mapInPandas(_rows(again), READ)
-        better = cut(found_in(made.filter("error is null"), entities, score_threshold).filter(F.size("found") > 0))
-        done = cut(done.join(better.select("row_"), "row_", "left_anti").unionByName(better.select(*done.columns)))
-    return done
-
-
-def tiled(found: DataFrame, readers: Readers, entities, score_threshold, grid: int, overlap: float) -> DataFrame:
+    all_ = F.transform(entities_of(text, None if entities is None else list(entities), score_threshold), struct)
+    boxed = let(all_, lambda e: F.when(F.size(w) > 0, layout.boxes_of(e, w)).otherwise(e))
+    return F.coalesce(boxed, F.array()).cast(f"array<{ENTITY}>")
+
+
+def found_in(text: str, words: str, entities: list[str] | None, score_threshold: float | None) -> Column:
+    """Entities of a text column with bytes, scores and the box around their words, if there are any."""
+    return _found(text, words, None if entities is None else tuple(entities), score_threshold, id(SparkContext._active_spark_context))
+
+
+#: Between texts of an image's turns: no pattern spans it, and no label's reach.
+APART = "\n" * 64
+TURN = f"struct<text:string,at:int,stop:int,words:array<{WORD}>>"
+TURNS = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32()), ("stop", pa.int32()), ("words", WORDS)]))
+
+
+def turned_until_found(df: DataFrame, names: Names, readers: Readers, entities, score_threshold) -> DataFrame:
+    """Images without findings are turned and read again in the order of the ladder; the first turn that finds counts.
+
+    Two steps of the plan, right angles and then slants: rows pass, and only an image that is still without findings is
+    decoded and read, at each angle of the step. So nothing is kept, and an image's turn is a number until it is drawn.
+    """
+    text, words, found, angle, error = (F.col(getattr(names, c)) for c in ("text", "words", "found", "angle", "error"))
+    df = df.withColumn(names.angle, F.lit(None).cast("double"))
+    for ladder in ([d for d in image.LADDER if d in (90, 180, 270)], [d for d in image.LADDER if d not in (90, 180, 270)]):
+
+        def again(row: tuple, ladder: list[float] = ladder) -> tuple:
+            content, is_open = row
+            own, text, words, at = [], [], [], 0
+            for degrees in ladder if is_open else ():
+                try:
+                    one, spans = joined(readers.ocr(seen(content, readers, degrees)))
+                except Exception:  # an angle that can't be read finds nothing
+                    one, spans = "", []
+                end = at + len(one.encode("utf-8", "replace"))
+                own.append((one, at, end, spans))
+                words += [(at + a, at + z, *rest) for a, z, *rest in spans]
+                text.append(one + APART)
+                at = end + len(APART)
+            return "".join(text), words, own
+
+        open_ = error.isNull() & (F.size(found) == 0)
+        kinds = {names.text2: STATE["text"], names.words2: STATE["words"], names.turns: (f"array<{TURN}>", TURNS)}
+        tried = added(df.withColumn(names.open, open_), kinds, again, ["content", names.open], "content")
+        tried = tried.withColumn(names.found2, found_in(names.text2, names.words2, entities, score_threshold))
+        # the first turn whose part of the text an entity lies in
+        holds = F.transform(names.turns, lambda t: F.exists(names.found2, lambda e: (e["start"] >= t["at"]) & (e["start"] < t["stop"])))
+        tried = tried.withColumn(names.first, F.coalesce(F.array_position(holds, True).cast("int"), F.lit(0)) - 1)
+        hit, turn = F.col(names.first) >= 0, F.get(names.turns, F.col(names.first))
+        own = F.filter(names.found2, lambda e: (e["start"] >= turn["at"]) & (e["start"] < turn["stop"]))
+        moved = F.transform(own, lambda e: e.withField("start", e["start"] - turn["at"]).withField("end", e["end"] - turn["at"]))
+        new = {names.text: (turn["text"], text), names.words: (turn["words"], words), names.found: (moved, found), names.angle: (F.get(F.array(*(F.lit(float(d)) for d in ladder)), F.col(names.first)), angle)}
+        df = tried.select(*(c for c in df.columns if c not in new), *(F.when(hit, then).otherwise(was).alias(c) for c, (then, was) in new.items()))
+    return df
+
+
+def tiled(df: DataFrame, names: Names, readers: Readers, entities, score_threshold, grid: int, overlap: float) -> DataFrame:
     """Images are read a second time in overlapping tiles; what only tiles show is added, by place."""
     per = layout.UNITS / layout.IMAGE_DPI
 
     def tiles_of(row: tuple) -> tuple:
-        picture = pixels_of(bytes(row[2]), readers)
+        content, degrees, error = row
         text, words, at = [], [], 0
+        if error is not None:
+            return "", []
+        try:
+            picture = seen(content, readers, degrees)
+        except Exception:
+            return "", []
         for x, y, w, h in image.cuts(picture.shape[1], picture.shape[0], grid, overlap):
             try:
                 own, spans = joined(readers.ocr(np.ascontiguousarray(picture[y : y + h, x : x + w])))
@@ -185,31 +258,40 @@ def tiled(found: DataFrame, readers: Readers, entities, score_threshold, grid: i
             words += [(at + a, at + b, p, bx + x * per, by + y * per, bw, bh) for a, b, p, bx, by, bw, bh in spans]
             text.append(own + "\n")
             at += len(text[-1].encode("utf-8", "replace"))
-        return b"", "".join(text), None, words, 1
+        return "".join(text), words
 
-    pictures = found.filter((F.col("kind") == "image") & F.col("error").isNull())
-    made = pictures.select("row_", "kind", "content").mapInPandas(_rows(tiles_of), READ)
-    more = found_in(made, entities, score_threshold).select("row_", F.col("found").alias("more_"))
-    both = layout.merge_by_box(F.col("found"), F.coalesce("more_", F.array().cast(f"array<{ENTITY}>")))
-    return found.join(more, "row_", "left").withColumn("found", both).drop("more_")
+    made = added(df, {names.text2: STATE["text"], names.words2: STATE["words"]}, tiles_of, ["content", names.angle, names.error], "content")
+    made = made.withColumn(names.found2, found_in(names.text2, names.words2, entities, score_threshold))
+    return made.withColumn(names.found, layout.merge_by_box(F.col(names.found), F.col(names.found2))).drop(names.text2, names.words2, names.found2)
 
 
-def with_analyzer(found: DataFrame, analyzer: external.Analyzer, language: str, entities, score_threshold) -> DataFrame:
+GIVEN = pa.list_(pa.struct([("entity_type", pa.string()), ("cstart", pa.int32()), ("cend", pa.int32()), ("score", pa.float32())]))
+
+
+def with_analyzer(df: DataFrame, names: Names, analyzer: external.Analyzer, language: str, entities, score_threshold) -> DataFrame:
     """What an external recognizer finds beside it, where nothing was found here."""
-    spans = external.admitted(external.analyzed(found.select("row_", "text"), analyzer, "row_", "text", language), entities, score_threshold)
-    given = spans.groupBy("row_").agg(F.collect_list(F.struct("entity_type", "cstart", "cend", "score")).alias("given_"))
-    met = found.join(given, "row_", "left")
-    none = F.lit(None).cast(layout.BOX)
+
+    def ask(row: tuple) -> tuple:
+        if row[0] is None:
+            return ([],)
+        return ([(e["entity_type"], e["start"], e["end"], e["score"]) for e in analyzer([row[0]], language)[0]],)
+
+    asked = added(df, {names.given: ("array<struct<entity_type:string,cstart:int,cend:int,score:float>>", GIVEN)}, ask, [names.text], names.text)
+    given = F.col(names.given)
+    if entities is not None:
+        given = F.filter(given, lambda e: e["entity_type"].isin(*entities) if entities else F.lit(False))
+    if score_threshold is not None:
+        given = F.filter(given, lambda e: e["score"] >= F.lit(score_threshold).cast("float"))
+    none, text, words, found = F.lit(None).cast(layout.BOX), F.col(names.text), F.col(names.words), F.col(names.found)
 
     def placed(s: Column) -> Column:
-        ends = external.byte_places(F.col("text"), F.concat(F.transform(s, lambda x: x["cstart"]), F.transform(s, lambda x: x["cend"])))
+        ends = external.byte_places(text, F.concat(F.transform(s, lambda x: x["cstart"]), F.transform(s, lambda x: x["cend"])))
         made = lambda places: F.transform(s, lambda x, i: F.struct(x["entity_type"].alias("entity_type"), F.get(places, i).alias("start"), F.get(places, i + F.size(s)).alias("end"), x["score"].alias("score"), F.lit("TierB").alias("source"), none.alias("bbox")))
         return let(ends, made)
 
-    given = F.coalesce("given_", F.array().cast("array<struct<entity_type:string,cstart:int,cend:int,score:float>>"))
-    free = F.filter(let(given, placed), lambda x: ~F.exists("found", lambda y: external.overlaps(x, y)))
-    boxed = let(free, lambda e: F.when(F.size("words") > 0, layout.boxes_of(e, F.col("words"))).otherwise(e))
-    return met.withColumn("found", F.concat("found", boxed.cast(f"array<{ENTITY}>"))).drop("given_")
+    free = let(let(given, placed), lambda more: external.apart(more, found))
+    boxed = let(free, lambda e: F.when(F.size(words) > 0, layout.boxes_of(e, words)).otherwise(e))
+    return asked.withColumn(names.found, F.concat(found, F.coalesce(boxed.cast(f"array<{ENTITY}>"), F.array().cast(f"array<{ENTITY}>")))).drop(names.given)
 
 
 RESULTS = ["redacted_text", "redacted_markdown", "redacted_bytes", "page_count", "entities", "error", "output"]
@@ -217,14 +299,16 @@ RESULTS = ["redacted_text", "redacted_markdown", "redacted_bytes", "page_count",
 
 def redact_texts(files: DataFrame, output: str, entities: list[str] | None, score_threshold: float | None) -> DataFrame:
     """Plain texts with their RESULTS: one projection, without Python, a shuffle or a kept step."""
+    names = Names(files.columns)
     text = F.coalesce(F.col("text"), decoded(F.col("content"))) if "text" in files.columns else decoded(F.col("content"))
     none = lambda kind: F.lit(None).cast(kind)
     entity = lambda e: F.struct(e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score"), e["source"].alias("source"), none(layout.BOX).alias("bbox"))
-    made = let(text, lambda t: let(entities_of(t, entities, score_threshold), lambda e: F.struct(mask_places(t, e).alias("text"), F.transform(e, entity).cast(f"array<{ENTITY}>").alias("entities"))))
-    done = files.withColumn("made_", made)
-    markdown = F.col("made_.text") if output == "markdown" else none("string")
+    own = files.withColumn(names.text, text)
+    made = let(entities_of(names.text, entities, score_threshold), lambda e: F.struct(mask_places(F.col(names.text), e).alias("text"), F.transform(e, entity).cast(f"array<{ENTITY}>").alias("entities")))
+    done, made = own.withColumn(names.made, made), F.col(names.made)
+    markdown = made["text"] if output == "markdown" else none("string")
     return done.select(
-        *files.columns, F.col("made_.text").alias("redacted_text"), markdown.alias("redacted_markdown"), none("binary").alias("redacted_bytes"), none("int").alias("page_count"), F.col("made_.entities").alias("entities"),
+        *files.columns, made["text"].alias("redacted_text"), markdown.alias("redacted_markdown"), none("binary").alias("redacted_bytes"), none("int").alias("page_count"), made["entities"].alias("entities"),
         none("string").alias("error"), F.lit(output).alias("output"),
     )
 
@@ -237,58 +321,89 @@ def redact_files(
 
     Adds output, redacted_text, redacted_markdown, redacted_bytes, page_count, entities (type, bytes, score, source and
     box; never matched text) and error. Native output of an image or PDF is bytes, of a text its text; documents have
-    none and get an error, as do files that could not be read or have an entity without a place. on_error "raise" fails the
-    job instead. `grid` 1 or 0 turns off the second reading in tiles, 0 also the turning of images without findings.
+    none and get an error, as do files that could not be read, have no kind or have an entity without a place. on_error
+    "raise" fails the job instead. `grid` 1 or 0 turns off the second reading in tiles, 0 also the turning of images without
+    findings. Files' own columns named like a result come back as input_ and their name.
+
+    A plan of projections and row-wise steps: no job runs when it is built, no row is kept, joined or shuffled, each file is read
+    once, and a table that is a stream gives a stream.
     """
     if output not in ("native", "markdown"):
         raise ValueError("output is native or markdown")
     if strategy not in STRATEGIES or on_error not in ("column", "raise"):
         raise ValueError(f"strategy is one of {STRATEGIES}, on_error column or raise")
     readers = readers or Readers()
-    if analyzer is None:  # texts need no steps that are kept
-        others = _redact_files(files.filter("kind <> 'text'"), output, entities, score_threshold, readers, strategy, analyzer, language, dpi, grid, overlap, on_error)
-        return redact_texts(files.filter("kind = 'text'"), output, entities, score_threshold).unionByName(others)
-    return _redact_files(files, output, entities, score_threshold, readers, strategy, analyzer, language, dpi, grid, overlap, on_error)
-
-
-def _redact_files(files, output, entities, score_threshold, readers, strategy, analyzer, language, dpi, grid, overlap, on_error) -> DataFrame:
+    results = {c.lower() for c in RESULTS}
+    for c in files.columns:
+        if c.lower() in results:
+            own = f"input_{c}"
+            while own.lower() in {x.lower() for x in files.columns}:
+                own += "_"
+            files = files.withColumnRenamed(c, own)
+    names, kind = Names(files.columns), F.col("kind")
+    texts, pictures = files.filter(kind.eqNullSafe("text")), files.filter(kind.eqNullSafe("image"))
+    others = files.filter(~kind.eqNullSafe("text") & ~kind.eqNullSafe("image"))
     pixels = output == "native"
-    numbered = cut(files.withColumn("row_", F.monotonically_increasing_id()))
-    refused = F.when((F.col("kind") == "document") & F.lit(pixels), F.lit("Unsupported: documents can be redacted to markdown only"))
-    fit = numbered.withColumn("refused_", refused)
-    found = found_in(read(fit.filter("refused_ is null"), readers, strategy, pixels), entities, score_threshold)
-    found = turned_until_found(found, readers, entities, score_threshold) if grid > 0 else cut(found)
-    if pixels and grid > 1 and readers.ocr:
-        found = tiled(found, readers, entities, score_threshold, grid, overlap)
-    if analyzer:
-        found = with_analyzer(cut(found), analyzer, language, entities, score_threshold)
-
-    drawn_kind = F.col("kind").isin("image", "pdf") & F.lit(pixels)
-    homeless = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda e: e["bbox"].isNull()), lambda e: e["entity_type"]))), ", ")
-    failed = F.when(F.col("error").isNotNull(), F.col("error")).when(drawn_kind & (homeless != ""), F.concat(F.lit("Unsupported: no place on the page for entities of type "), homeless))
-    masked = lambda c: F.when(F.col("error").isNull() & ~drawn_kind, mask_bytes(F.col(c), F.col("found")))
-    told = cut(found.withColumn("error", failed).select("row_", "kind", "content", "page_count", "found", "error", masked("text").alias("text_"), masked("markdown").alias("markdown_")))
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [image.drawn(bytes(c), image.plain_boxes(b), dpi if k == "pdf" else layout.IMAGE_DPI, readers.encode, lambda b: pixels_of(b, readers), readers.render) for k, c, b in zip(f["kind"], f["content"], f["boxes"], strict=True)]
-            yield pd.DataFrame({"row_": f["row_"], "bytes_": [m[0] for m in made], "drawing_": [m[1] for m in made]})
-
-    results = told
-    if pixels:
-        boxes = F.transform("found", lambda e: e["bbox"]).alias("boxes")
-        drawn = told.filter(drawn_kind & F.col("error").isNull()).select("row_", "kind", "content", boxes).mapInPandas(draw, "row_ long, bytes_ binary, drawing_ string")
-        results = told.join(drawn, "row_", "left").withColumn("error", F.coalesce("error", "drawing_"))
+    finish = lambda df, drawn: _finished(df, names, output, entities, score_threshold, readers, analyzer, language, dpi, on_error, drawn)
+    if analyzer is None:  # texts need no Python
+        done = redact_texts(texts, output, entities, score_threshold)
     else:
-        results = told.withColumn("bytes_", F.lit(None).cast("binary"))
-    bad = F.col("error").isNotNull()
-    markdown = F.coalesce("markdown_", "text_") if not pixels else F.col("markdown_")
-    results = results.select(
-        "row_", F.when(~bad, F.col("text_")).alias("redacted_text"), F.when(~bad, markdown).alias("redacted_markdown"), F.when(~bad, F.col("bytes_")).alias("redacted_bytes"), "page_count",
-        F.when(~bad, F.col("found")).alias("entities"), F.col("error").alias("own_error_"),
-    )
-    error = F.coalesce("refused_", "own_error_")
+        text = F.coalesce(F.col("text"), decoded(F.col("content"))) if "text" in files.columns else decoded(F.col("content"))
+        none = lambda c: F.lit(None).cast(STATE[c][0])
+        plain = texts.select("*", text.alias(names.text), none("markdown").alias(names.markdown), F.array().cast(STATE["words"][0]).alias(names.words), none("pages").alias(names.pages), none("error").alias(names.error))
+        done = finish(plain.withColumn(names.found, found_in(names.text, names.words, entities, score_threshold)), False)
+    look = lambda df: df.withColumn(names.found, found_in(names.text, names.words, entities, score_threshold))
+    shown = look(read(pictures, names, readers, strategy, pixels))
+    if grid > 0 and readers.ocr:
+        shown = turned_until_found(shown, names, readers, entities, score_threshold)
+        if pixels and grid > 1:
+            shown = tiled(shown, names, readers, entities, score_threshold, grid, overlap)
+    if pixels:  # what is refused is told without being read
+        done = done.unionByName(_refused(others.filter(kind.eqNullSafe("document")), "Unsupported: documents can be redacted to markdown only", output, on_error))
+        others = others.filter(~kind.eqNullSafe("document"))
+    rest = look(read(others, names, readers, strategy, pixels))
+    return done.unionByName(finish(rest, pixels)).unionByName(finish(shown, pixels))
+
+
+def _refused(files: DataFrame, reason: str, output: str, on_error: str) -> DataFrame:
+    kinds = dict(zip(RESULTS, ("string", "string", "binary", "int", f"array<{ENTITY}>"), strict=False))
+    error = F.lit(reason) if on_error == "column" else F.when(F.col("kind").isNotNull(), F.raise_error(F.lit(reason)).cast("string"))
+    return files.select(*files.columns, *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()), error.alias("error"), F.lit(output).alias("output"))
+
+
+def _finished(df: DataFrame, names: Names, output: str, entities, score_threshold, readers: Readers, analyzer, language: str, dpi: int, on_error: str, drawn: bool) -> DataFrame:
+    """RESULTS from what was read and found, in place of the engine's own columns. `drawn`: boxes are drawn, not texts masked."""
+    own = [c for c in df.columns if c in {getattr(names, n) for n in (*STATE, "found", "angle", "open", "text2", "words2", "turns", "found2", "first")}]
+    kept = [c for c in df.columns if c not in own]
+    if analyzer:
+        df = with_analyzer(df, names, analyzer, language, entities, score_threshold)
+    found, failed = F.col(names.found), F.col(names.error)
+    if drawn:
+        homeless = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda e: e["bbox"].isNull()), lambda e: e["entity_type"]))), ", ")
+        failed = F.coalesce(failed, F.when(homeless != "", F.concat(F.lit("Unsupported: no place on the page for entities of type "), homeless)))
+        turn = F.col(names.angle) if names.angle in df.columns else F.lit(None).cast("double")
+
+        def draw(row: tuple) -> tuple:
+            kind, content, degrees, boxes, failed = row
+            if failed is not None:
+                return (None, None)
+            return image.drawn(content, boxes, dpi if kind == "pdf" else layout.IMAGE_DPI, readers.encode, lambda b: seen(b, readers, degrees), readers.render, turned=True)
+
+        boxes = F.transform(found, lambda e: e["bbox"])
+        df = df.select("*", turn.alias(names.turned), boxes.alias(names.boxes), failed.alias(names.failed))
+        df = added(df, {names.bytes: ("binary", pa.binary()), names.drawing: ("string", pa.string())}, draw, ["kind", "content", names.turned, names.boxes, names.failed], "content")
+        error, made = F.coalesce(names.failed, names.drawing), F.col(names.bytes)
+        text = markdown = F.lit(None).cast("string")
+    else:  # a file's Markdown, where it has one, is its text
+        error, made = failed, F.lit(None).cast("binary")
+        df = df.withColumn(names.masked, mask_bytes(F.col(names.text), found))
+        text = F.col(names.masked)
+        markdown = text if output == "markdown" else F.when(F.col(names.markdown).isNotNull(), text)
     if on_error == "raise":
         error = F.when(error.isNotNull(), F.raise_error(error).cast("string"))
-    whole = fit.join(results, "row_", "left")
-    return whole.withColumn("error", error).withColumn("output", F.lit(output)).select(*files.columns, *RESULTS)
+    good = F.col("error").isNull()
+    done = df.withColumn("error", error)
+    return done.select(
+        *kept, F.when(good, text).alias("redacted_text"), F.when(good, markdown).alias("redacted_markdown"), F.when(good, made).alias("redacted_bytes"), F.col(names.pages).alias("page_count"),
+        F.when(good, found).alias("entities"), "error", F.lit(output).alias("output"),
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import let
-from ..functions.spans import byte_offset, byte_places
+from ..functions.spans import before, byte_offset, byte_places, first_where
 from .detect import entities_of
 from .recognizers import NONE
 
@@ -80,6 +80,23 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def apart(more: Column, found: Column) -> Column:
+    """Of the spans `more` those that overlap none of `found`; both are arrays of structs with start and end.
+
+    `found` is sorted by start once. A span overlaps one of those that begin before its end if the greatest of their ends is
+    beyond its start, so a search for the first that doesn't and a running maximum tell.
+    """
+    ends = F.array_sort(F.transform(found, lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end"))))
+
+    def of(ordered: Column) -> Column:
+        return before(
+            F.transform(ordered, lambda y: y["end"]), F.lit(-1), lambda a, x: F.greatest(a, x),
+            lambda upto: F.filter(more, lambda x: upto(first_where(ordered, lambda y: y["start"] >= x["end"])) <= x["start"]),
+        )
+
+    return F.when(F.size(found) == 0, more).otherwise(let(ends, of))
+
+
 def merge_external(found: DataFrame, external: DataFrame, id_col: str = "doc_id", entities: list[str] | None = None, score_threshold: float | None = None) -> DataFrame:
     """`found` followed by the external spans that are admitted and overlap none of them.
 
@@ -94,7 +111,7 @@ def merge_external(found: DataFrame, external: DataFrame, id_col: str = "doc_id"
     b = more.groupBy(F.col(id_col).alias("b_id")).agg(F.collect_list(row(more)).alias("b"))
     none = F.array().cast(a.schema["a"].dataType)
     met = a.join(b, F.col("a_id").eqNullSafe(F.col("b_id")), "full").select(F.coalesce("a_id", "b_id").alias(id_col), F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    free = F.filter("b", lambda x: ~F.exists("a", lambda y: overlaps(x, y)))
+    free = apart(F.col("b"), F.col("a"))
     return met.select(id_col, F.explode(F.concat("a", free)).alias("e")).select(*(F.col(id_col) if c == id_col else F.col(f"e.{c}").alias(c) for c in both.names))
 
 
@@ -123,6 +140,5 @@ def with_external(docs: DataFrame, external: DataFrame, id_col: str = "doc_id",
         return let(ends, lambda chars: let(byte_places(text, chars), lambda places: F.transform(s, lambda x, i: entity(x, i, chars, places))))
 
     # bound, not columns of their own, which a plan would write out wherever they are used
-    free = lambda found, more: F.filter(more, lambda x: ~F.exists(found, lambda y: overlaps(x, y)))
-    merged = let(entities_of(text_col, entities, score_threshold), lambda found: let(let(given, placed), lambda more: F.concat(found, free(found, more).cast(NONE))))
+    merged = let(entities_of(text_col, entities, score_threshold), lambda found: let(let(given, placed), lambda more: F.concat(found, apart(more, found).cast(NONE))))
     return met.withColumn("entities", merged).drop("spans_")

@@ -227,15 +227,15 @@ def plain_boxes(boxes) -> list[dict]:
     return [b if isinstance(b, dict) else b.asDict() for b in (boxes if boxes is not None else [])]
 
 
-def drawn(source: bytes, boxes: list[dict], dpi: int, encode=None, decode=png_decode, render=None) -> tuple[bytes | None, str | None]:
-    """(bytes, None) with the boxes black, or (None, reason)."""
+def drawn(source: bytes, boxes: list[dict], dpi: int, encode=None, decode=png_decode, render=None, turned: bool = False) -> tuple[bytes | None, str | None]:
+    """(bytes, None) with the boxes black, or (None, reason). `turned`: decode gives the pixels as they are shown."""
     try:
         if source.startswith(b"%PDF"):
             if render is None:
                 raise Unsupported("PDFs need a renderer")
             return image_pdf([blacked(p, boxes, dpi, i) for i, p in enumerate(render(source, dpi), 1)], dpi), None
         image = decode(source)
-        turned_ = upright(image, exif_orientation(source))
+        turned_ = None if turned else upright(image, exif_orientation(source))
         image = image if turned_ is None else turned_
         return (encode or (lambda picture, _: png_encode(picture)))(blacked(image, boxes, dpi, None), source), None
     except Exception as e:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import let
+from ..functions.spans import first_where
 
 BOX = "struct<page:int,x:float,y:float,width:float,height:float>"
 #: Text units of an inch, and the resolution at which images are read.
@@ -52,17 +53,21 @@ def union_boxes(spans: DataFrame, words: DataFrame, id_cols: list[str], span_key
 
 def boxes_of(spans: Column, words: Column) -> Column:
     """An array of spans with bbox: union_boxes() within a row, from its words (structs with start, end, page, x, y,
-    width, height in reading order). A bbox that is already there is kept."""
+    width, height in reading order). A bbox that is already there is kept.
+
+    Words' places ascend, so a span's words are a run, whose ends are searched for; only the run is looked at.
+    """
 
     def box(hit: Column) -> Column:
         own = F.filter(hit, lambda w: w["page"] == F.get(hit, F.lit(0))["page"])
         low = lambda c: F.array_min(F.transform(own, lambda w: w[c]))
         high = lambda c, size: F.array_max(F.transform(own, lambda w: (w[c] + w[size]).cast("float")))
         made = F.struct(F.get(hit, F.lit(0))["page"].cast("int").alias("page"), low("x").alias("x"), low("y").alias("y"), (high("x", "width") - low("x")).cast("float").alias("width"), (high("y", "height") - low("y")).cast("float").alias("height"))
-        return F.when(F.size(hit) > 0, made).cast(BOX)
+        return F.when(hit.isNotNull(), made).cast(BOX)
 
     def placed(s: Column) -> Column:
-        hit = F.filter(words, lambda w: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+        ends = F.struct(first_where(words, lambda w: w["end"] > s["start"]).alias("a"), first_where(words, lambda w: w["start"] >= s["end"]).alias("z"))
+        hit = let(ends, lambda x: F.when(x["a"] < x["z"], F.transform(F.sequence(x["a"], x["z"] - 1), lambda i: F.get(words, i))))
         return s.withField("bbox", F.coalesce(s["bbox"], let(hit, box)))
 
     return F.transform(spans, placed)

@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import re
-import zipfile
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pdf
+from .errors import EngineError, IngestError, RedactError, Unsupported
+from .office import ZIPPED, from_csv, from_office, from_rtf, markdown_table
+from .tables import by_size
+
+__all__ = ["EXTRACTORS", "EngineError", "FORMATS", "IMAGES", "IngestError", "RedactError", "Unsupported", "check_request", "decoded", "extension", "extracted", "format_of", "from_csv", "from_office", "from_pdf", "from_rtf", "kind_of", "markdown_table", "read_files", "read_text", "write_bytes", "write_redacted"]
+
 #: File name endings of document formats and images (case matters).
 FORMATS = {"doc": "doc", "docx": "docx", "odt": "odt", "ppt": "ppt", "pptx": "pptx", "rtf": "rtf", "epub": "epub", "xls": "excel", "xlsx": "excel", "ods": "ods", "odp": "odp", "csv": "csv"}
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "webp")
 
 
-class EngineError(Exception):
-    """What the engine refuses or cannot do."""
-
-
-class IngestError(EngineError):
-    """A document could not be read."""
-
-
-class RedactError(EngineError):
-    """A document could not be redacted."""
-
-
-class Unsupported(EngineError):
-    """The combination of input and output is not supported."""
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text").withColumn("path", F.input_file_name())
 
@@ -66,125 +52,20 @@ def kind_of(path: Column, content: Column) -> Column:
     return F.when(F.startswith(content, F.lit(b"%PDF")) | (end == "pdf"), "pdf").when(end.isin(*IMAGES), "image").when(end.isin(*FORMATS), "document").otherwise("text")
 
 
-def markdown_table(rows: list[list[str]]) -> str:
-    """Rows as a Markdown table whose head is the first; short rows are filled up."""
-    rows = [r for r in rows if r]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    line = lambda r: "| " + " | ".join(x.replace("|", "\\|").replace("\n", " ") for x in r + [""] * (width - len(r))) + " |"
-    return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])]) + "\n"
-
-
-def from_csv(content: bytes) -> str:
-    """A Markdown table."""
-    return markdown_table(list(csv.reader(io.StringIO(content.decode("utf-8", "replace")))))
-
-
-def _name(node: ElementTree.Element) -> str:
-    return node.tag.rpartition("}")[2]
-
-
-def _value(node: ElementTree.Element, name: str) -> str | None:
-    """An attribute by its local name."""
-    return next((v for k, v in node.attrib.items() if k.rpartition("}")[2] == name), None)
-
-
-def _whole(node: ElementTree.Element) -> str:
-    return re.sub(r"\s+", " ", "".join(node.itertext())).strip()
-
-
-def _runs(node: ElementTree.Element) -> str:
-    return "".join(t.text or "" for t in node.iter() if _name(t) == "t")
-
-
-def _word_blocks(node: ElementTree.Element) -> Iterator[str]:
-    """Paragraphs, headings by their style, and tables, in order."""
-    for b in node:
-        kind = _name(b)
-        if kind == "p":
-            style = next((_value(x, "val") or "" for x in b.iter() if _name(x) == "pStyle"), "")
-            level = re.fullmatch(r"(?i)heading ?([1-6])|title", style)
-            yield ("#" * int(level[1] or 1) + " " if level else "") + _runs(b)
-        elif kind == "tbl":
-            yield markdown_table([[" ".join(filter(None, (_runs(p) for p in cell.iter() if _name(p) == "p"))) for cell in row if _name(cell) == "tc"] for row in b if _name(row) == "tr"])
-        else:
-            yield from _word_blocks(b)
-
-
-def _open_blocks(node: ElementTree.Element) -> Iterator[str]:
-    """The same for the open formats, spreadsheets as tables."""
-    for b in node:
-        kind = _name(b)
-        if kind == "h":
-            yield "#" * min(6, int(_value(b, "outline-level") or 1)) + " " + _whole(b)
-        elif kind == "p":
-            yield _whole(b)
-        elif kind == "table":
-            cells = [[" ".join(_whole(p) for p in c.iter() if _name(p) == "p") for c in r if _name(c) in ("table-cell", "covered-table-cell")] for r in b.iter() if _name(r) == "table-row"]
-            yield markdown_table([r for r in cells if any(r)])
-        else:
-            yield from _open_blocks(b)
-
-
-def _page_blocks(node: ElementTree.Element) -> Iterator[str]:
-    """Headings, paragraphs and list items of a book's page."""
-    for b in node.iter():
-        kind = _name(b)
-        if re.fullmatch("h[1-6]", kind):
-            yield "#" * int(kind[1]) + " " + _whole(b)
-        elif kind in ("p", "li") and not any(_name(x) in ("p", "li") for x in b.iter() if x is not b):
-            yield ("- " if kind == "li" else "") + _whole(b)
-
-
-def _sheet(node: ElementTree.Element, shared: list[str]) -> str:
-    rows = []
-    for row in (r for r in node.iter() if _name(r) == "row"):
-        cells: list[str] = []
-        for c in (c for c in row if _name(c) == "c"):
-            if at := re.match("[A-Z]+", c.get("r") or ""):  # empty cells may be left out
-                column = 0
-                for x in at[0]:
-                    column = column * 26 + ord(x) - 64
-                cells += [""] * (min(column, 16_384) - 1 - len(cells))
-            v = next((x.text or "" for x in c.iter() if _name(x) in ("v", "t")), "")
-            cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-        rows.append(cells)
-    return markdown_table(rows)
-
-
-def from_office(content: bytes, format: str) -> str:
-    """Markdown of the zipped formats (docx, pptx, odt, ods, odp, epub, xlsx): headings, paragraphs and tables."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = sorted(z.namelist(), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
-        read = lambda n: ElementTree.fromstring(z.read(n))  # noqa: E731, S314
-        if format == "docx":
-            blocks = list(_word_blocks(read("word/document.xml")))
-        elif format == "pptx":
-            blocks = [_runs(p) for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n) for p in read(n).iter() if _name(p) == "p"]
-        elif format in ("odt", "odp", "ods"):
-            blocks = list(_open_blocks(read("content.xml")))
-        elif format == "epub":
-            blocks = [t for n in names if n.endswith((".xhtml", ".html", ".htm")) for t in _page_blocks(read(n))]
-        elif format == "excel":
-            shared = [_runs(x) for x in read("xl/sharedStrings.xml").iter() if _name(x) == "si"] if "xl/sharedStrings.xml" in names else []
-            blocks = [_sheet(read(n), shared) for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        else:
-            raise Unsupported(f"no extractor for {format}")
-    return "\n\n".join(x for x in blocks if x.strip())
-
-
-def from_rtf(content: bytes) -> str:
-    raw = content.decode("latin-1")
-    raw = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", raw)
-    raw = re.sub(r"\\u(-?\d+)\??", lambda m: chr(int(m[1]) % 65536), raw)
-    raw = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), raw)
-    raw = re.sub(r"\\(?:par|line)\b ?", "\n", raw)
-    return re.sub(r"[{}]", "", re.sub(r"\\[a-zA-Z]+-?\d* ?|\\[^a-zA-Z]", "", raw)).strip()
-
-
-#: Extractors by format; others (legacy binary formats, PDF, OCR) can be put in.
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {"csv": from_csv, "rtf": from_rtf} | {f: (lambda b, f=f: from_office(b, f)) for f in ("docx", "pptx", "odt", "ods", "odp", "epub", "excel")}
+def from_pdf(content: bytes) -> str:
+    """The text layer as Markdown; a PDF that shows pictures only, or is broken, has none that can be read."""
+    try:
+        text = pdf.markdown(content)
+        readable = text.strip() or not pdf.words(content)[2]
+    except Exception as e:
+        raise Unsupported(f"the PDF has no text layer that can be read: {e}") from e
+    if not readable:
+        raise Unsupported("the PDF has no text layer")
+    return text
+
+
+#: Extractors by format; others (legacy binary formats, from_pdf, an OCR) can be put in.
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {"csv": from_csv, "rtf": from_rtf} | {f: (lambda b, f=f: from_office(b, f)) for f in ZIPPED}
 
 
 def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, on_error: str = "raise") -> DataFrame:
@@ -196,28 +77,32 @@ def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
     if on_error not in ("raise", "column"):
         raise ValueError("on_error is raise or column")
     use = EXTRACTORS | (extractors or {})
-    kept = files.columns
-    plain = files.filter("kind = 'text'").withColumn("text", decoded(F.col("content"))).withColumn("markdown", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
+    is_text = F.col("kind").eqNullSafe("text")
+    plain = files.filter(is_text).withColumn("text", decoded(F.col("content"))).withColumn("markdown", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
     schema = T.StructType([*files.schema, *(T.StructField(c, T.StringType()) for c in ("text", "markdown", "error"))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, errors = [], []
-            for kind, form, content in zip(f["kind"], f["format"], f["content"], strict=True):
-                try:
-                    key = form if kind == "document" else kind
-                    if key not in use:
-                        raise Unsupported(f"no extractor for {key}")
-                    texts.append(use[key](bytes(content)))
-                    errors.append(None)
-                except Exception as e:
-                    if on_error == "raise":
-                        raise
-                    texts.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield f[kept].assign(text=texts, markdown=texts, error=errors)
-
-    return plain.unionByName(files.filter("kind <> 'text'").mapInPandas(run, schema))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in by_size(b, "content"):
+                texts, errors = [], []
+                for kind, form, content in zip(*(part.column(c).to_pylist() for c in ("kind", "format", "content")), strict=True):
+                    try:
+                        key = form if kind == "document" else kind
+                        if key not in use:
+                            raise Unsupported(f"no extractor for {key}")
+                        if content is None:
+                            raise IngestError("no content")
+                        texts.append(use[key](content))
+                        errors.append(None)
+                    except Exception as e:
+                        if on_error == "raise":
+                            raise
+                        texts.append(None)
+                        errors.append(f"{type(e).__name__}: {e}")
+                more = [pa.array(x, pa.string()) for x in (texts, texts, errors)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "text", "markdown", "error"])
+
+    return plain.unionByName(files.filter(~is_text).mapInArrow(run, schema))
 
 
 def check_request(kind: str, output: str) -> None:

@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Scans of more splits than this many for each core are never dealt anew.
 FEW_SPLITS = 4
+#: Rows and bytes of a column that a worker holds at once; one longer value is held by itself.
+SLICE_ROWS, SLICE_BYTES = 1000, 4_000_000
+
+
+def by_size(batch: pa.RecordBatch, column: str | int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose values stay under `size` bytes together."""
+    lo = held = 0
+    for hi, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if hi > lo and (held + n > size or hi - lo >= rows):
+            yield batch.slice(lo, hi - lo)
+            lo, held = hi, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
