@@ -39,15 +39,15 @@ ROUNDS, TOLERANCE = 150, 0.001
 #: Rows to cut whose tokens are fetched by broadcast; more meet in a shuffle.
 FEW_CUTS = 200_000
 #: Distinct chunks and words whose ids a worker keeps.
-CACHE_CHUNKS, CACHE_WORDS = 500_000, 1_000_000
+CACHE_CHUNKS, CACHE_WORDS = 800_000, 1_000_000
 
 # Tokens -------------------------------------------------------------------------------------------------------------
 
 #: Chunks of printable ASCII and Latin-1 letters; the vocabulary's split within them (a fixed pattern of it).
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\nA-Za-z0-9À-ÖØ-öø-ÿ ]+|\n").findall
-#: White space that is more than single spaces and line ends within a text.
-UNEVEN = re.compile("[ \n][ \n]|^[ \n]|[ \n]$|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
+#: White space of other kinds, which chunks are not parted at.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Texts on which the way by chunks must give the library's ids before it is used.
 PROBES = ("", "One two, three's don't they'll 1234.5 (x) -- 'quoted' it's\nNext line: été Über £5 ½\nI'm", "a\nb c\nd", "日本語 текст \U0001f600 x", "x  y \n z\n\nw ", "<|endoftext|> a<|endoftext|>b", "WE'LL 'S s' ªº² á")
 
@@ -59,7 +59,8 @@ def as_bytes(ids: list[int]) -> bytes:
 class Tokens:
     """Ids of whole texts as little-endian bytes. No token of a byte-level vocabulary spans from a character to white
     space, so a text of single spaces and line ends is its chunks, each with the white space before it, encoded once.
-    Other texts, vocabularies that fail PROBES and chunks of other characters go to the library whole."""
+    A text with a chunk that isn't of this kind (empty, of other white space, of a special token's look) is marked by it and
+    goes to the library whole, as do all texts where a vocabulary fails PROBES."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,9 +76,9 @@ class Tokens:
     def _encode(self, new: list[str]) -> list[bytes]:
         """The ids of words without line ends: as one text, a word a line."""
         out: list[bytes] = []
+        fast = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
         for lo in range(0, len(new), 4000):
-            own = new[lo : lo + 4000]
-            ids = np.array(self.encoder.encode("\n".join(own), add_special_tokens=False).ids, "<u4")
+            ids = np.array(fast(["\n".join(new[lo : lo + 4000])], add_special_tokens=False)[0].ids, "<u4")
             raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.line)).tolist(), 4 * len(ids)]
             out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
         return out
@@ -88,11 +89,13 @@ class Tokens:
         mark = b"\xff" * 4
         for first, prefix, before in ((False, " ", b""), (True, "", end)):
             own = [c for c in new if c.startswith("\n") is first]
-            plain = [c for c in own if PLAIN(c[1:] if first else c) and "<|" not in c]
+            odd = {c for c in own if len(c) == first or "<|" in c or OTHER_SPACE(c)}
+            known.update(dict.fromkeys(odd))
+            plain = [c for c in own if c not in odd and PLAIN(c, first)]
             if plain:
                 parts = SPLIT("\n".join([prefix + c[first:] for c in plain]))
                 words["\n"] = mark
-                if fresh := [w for w in set(parts) if w not in words]:
+                if fresh := list(set(parts).difference(words)):
                     words.update(zip(fresh, self._encode(fresh), strict=True))
                 known.update(zip(plain, (before + x for x in b"".join(map(words.__getitem__, parts)).split(mark)), strict=True))
             other = [c for c in own if c not in known]
@@ -101,19 +104,19 @@ class Tokens:
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         end = as_bytes([END])
-        split = [None if not self.by_chunks or not t or UNEVEN(t) or "<|" in t else ("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
+        split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if t and self.by_chunks else None for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         known = self.known
-        if new := [c for c in set(chain.from_iterable(filter(None, split))) if c not in known]:
-            self._learn(new)
+        if new := set(chain.from_iterable(filter(None, split))).difference(known):
+            self._learn(list(new))
         for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                yield as_bytes([*self.encoder.encode(text or "", add_special_tokens=False).ids, END])
-            else:
+            try:
                 yield b"".join(map(known.__getitem__, chunks))[4:] + end
+            except TypeError:  # no chunks, or one that isn't of the kind
+                yield as_bytes([*self.encoder.encode(text or "", add_special_tokens=False).ids, END])
 
 
 # The program --------------------------------------------------------------------------------------------------------
