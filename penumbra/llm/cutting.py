@@ -43,8 +43,8 @@ CACHE_CHUNKS, CACHE_WORDS = 800_000, 1_000_000
 
 # Tokens -------------------------------------------------------------------------------------------------------------
 
-#: Chunks of printable ASCII and Latin-1 letters; the vocabulary's split within them (a fixed pattern of it).
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+#: Lines of printable ASCII and Latin-1 letters; the vocabulary's split within them (a fixed pattern of it).
+PLAIN = re.compile("^[!-~À-ÖØ-öø-ÿ]+$", re.M).findall
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\nA-Za-z0-9À-ÖØ-öø-ÿ ]+|\n").findall
 #: White space of other kinds, which chunks are not parted at.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -88,19 +88,25 @@ class Tokens:
         known, words, end = self.known, self.words, as_bytes([self.line])
         mark = b"\xff" * 4
         for first, prefix, before in ((False, " ", b""), (True, "", end)):
-            own = [c for c in new if c.startswith("\n") is first]
-            odd = {c for c in own if len(c) == first or "<|" in c or OTHER_SPACE(c)}
-            known.update(dict.fromkeys(odd))
-            plain = [c for c in own if c not in odd and PLAIN(c, first)]
+            own = [c[1:] for c in new if c[:1] == "\n"] if first else [c for c in new if c[:1] != "\n"]
+            whole = "\n".join(own)
+            plain = PLAIN(whole)
+            if "<|" in whole:
+                plain = [c for c in plain if "<|" not in c]
+            name = "\n" if first else ""
+            other = list(set(own).difference(plain)) if len(plain) < len(own) else []
+            odd = {c for c in other if not c or "<|" in c or OTHER_SPACE(c)}
+            known.update((name + c, None) for c in odd)
+            other = [c for c in other if c not in odd]
             if plain:
-                parts = SPLIT("\n".join([prefix + c[first:] for c in plain]))
+                parts = SPLIT(prefix + ("\n" + prefix).join(plain))
                 words["\n"] = mark
                 if fresh := list(set(parts).difference(words)):
                     words.update(zip(fresh, self._encode(fresh), strict=True))
-                known.update(zip(plain, (before + x for x in b"".join(map(words.__getitem__, parts)).split(mark)), strict=True))
-            other = [c for c in own if c not in known]
+                made = b"".join(map(words.__getitem__, parts)).split(mark)
+                known.update(zip([name + c for c in plain], [before + x for x in made], strict=True) if first else zip(plain, made, strict=True))
             if other:
-                known.update(zip(other, (before + as_bytes(e.ids) for e in self.encoder.encode_batch([prefix + c[first:] for c in other], add_special_tokens=False)), strict=True))
+                known.update((name + c, before + as_bytes(e.ids)) for c, e in zip(other, self.encoder.encode_batch([prefix + c for c in other], add_special_tokens=False), strict=True))
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         end = as_bytes([END])
