@@ -22,6 +22,7 @@ are ignored; nothing is cut or capped; an empty table gives an empty one.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -37,9 +38,10 @@ from .common import by_size
 #: Pages whose fields are worked out together.
 PAGES = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr"
+                   " math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Elements whose inside is never text of the page.
-HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button input datalist meter progress map".split())
+HIDDEN = frozenset("script style noscript template head title iframe object svg annotation annotation-xml canvas audio video select option textarea input datalist meter progress map".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed".split())
 BLOCKS = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table td th tr tbody thead tfoot caption ul".split())
 #: An opening tag of the key closes an open element of these, up to the nearest of the stops.
@@ -227,6 +229,8 @@ class Page:
     def __init__(self, page: str | None):
         self.up: list[int] = []
         self.tags: list[str] = []
+        #: Whether a node lies in a form, where buttons are no text.
+        self.form: list[bool] = []
         self.words: list[str] = []
         self.blocks: list[tuple[int, str]] = []
         self.chars: list[int] = []
@@ -251,20 +255,21 @@ class Page:
                 for k in kinds:
                     self.inline[own][k] = self.inline[own].get(k, 0) + size
                 continue
-            if item.hidden:
-                if item.tag not in INLINE:
+            if item.hidden or item.tag == "button" and not (own >= 0 and self.tags[own] == "p" and not self.form[own]):
+                if item.tag in BLOCKS:  # what isn't seen within a line doesn't end it
                     pending = self._flush(pending)
                 continue
             if item.tag == "br" or item.tag == "wbr":
                 pending[1].append(" " if item.tag == "br" else "")
                 continue
-            if item.tag in INLINE and own >= 0:
+            if (item.tag in INLINE or item.tag == "button") and own >= 0:
                 more = kinds_of(item.words)
                 inner = kinds if more <= set(kinds) else (*kinds, *(more - set(kinds)))
                 stack += [(k, own, linked or item.tag == "a", inner) for k in reversed(item.kids)]
                 continue
             pending = self._flush(pending)
             self.up.append(own)
+            self.form.append(item.tag == "form" or own >= 0 and self.form[own])
             self.tags.append(item.tag)
             self.words.append(item.words)
             self.chars.append(0)
@@ -330,6 +335,14 @@ class Forest:
         self.kids = np.flatnonzero(self.up >= 0)
 
 
+#: Nodes of a level up to which plain numbers are quicker than arrays: a chain of elements has one a level.
+FEW = 4
+
+
+def _log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 class Field:
     """Weights of nodes' evidence and, for each kind of child, a 2 x 2 table of log potentials (parent, child)."""
 
@@ -341,11 +354,24 @@ class Field:
         table, up = self.pair[f.kind], f.up
         inward, to_parent = f.x @ self.node, np.zeros(len(up))
         for c in reversed(f.levels):  # upward
+            if len(c) <= FEW:
+                for i in c.tolist():
+                    (a, b), (d, e) = table[i].tolist()
+                    z = float(inward[i])
+                    to_parent[i] = m = _log_sum(d, e + z) - _log_sum(a, b + z)
+                    inward[up[i]] += m
+                continue
             t, z = table[c], inward[c]
             to_parent[c] = np.logaddexp(t[:, 1, 0], t[:, 1, 1] + z) - np.logaddexp(t[:, 0, 0], t[:, 0, 1] + z)
             np.add.at(inward, up[c], to_parent[c])
         belief = inward.copy()
         for c in f.levels:  # downward
+            if len(c) <= FEW:
+                for i in c.tolist():
+                    (a, b), (d, e) = table[i].tolist()
+                    z = float(belief[up[i]]) - float(to_parent[i])
+                    belief[i] = float(inward[i]) + _log_sum(b, e + z) - _log_sum(a, d + z)
+                continue
             t, z = table[c], belief[up[c]] - to_parent[c]
             belief[c] = inward[c] + np.logaddexp(t[:, 0, 1], t[:, 1, 1] + z) - np.logaddexp(t[:, 0, 0], t[:, 1, 0] + z)
         return belief, inward, to_parent

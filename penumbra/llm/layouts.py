@@ -72,7 +72,7 @@ def page(seed: int, family: str = "classed") -> tuple[str, set[str]]:
         return box(["header", "header", "div"], names["top"], r.choice([f"<h1>{_words(r, 3)}</h1>", f"<p>{_sentence(r)}</p>", f"<div>{_words(r, 2)}</div>"]) + (menu() if r.random() < 0.5 else ""))
 
     def bottom() -> str:
-        return box(["footer", "footer", "div"], names["bottom"], r.choice([f"&copy; {_words(r, 2)} &middot; {_sentence(r)}", f"<p>{_sentence(r)}</p>" + links(4), links(6), f"<p>{_paragraph(r)}</p>"]))
+        return box(["footer", "footer", "div"], names["bottom"], r.choice([f"{_words(r, 2)} {_sentence(r)}", f"<p>{_sentence(r)}</p>" + links(4), links(6), f"<p>{_paragraph(r)}</p>"]))
 
     def side() -> str:
         return box(["aside", "aside", "div", "section"], names["side"], f"<h3>{_words(r, 2)}</h3>" + r.choice([links(5), f"<p>{_paragraph(r)}</p>", f"<p>{_sentence(r)}</p>" + links(3)]))
@@ -101,13 +101,13 @@ def page(seed: int, family: str = "classed") -> tuple[str, set[str]]:
             if kind < 0.1:
                 out.append(f"<p>{good(_words(r, r.randint(1, 3)).capitalize() + '.')}</p>")
             elif kind < 0.17:
-                out.append(f"<p><b>{good(_paragraph(r))}<br>\n")
+                out.append(f"<p>{good(_paragraph(r))}</p>")
             elif kind < 0.62:
                 out.append(f"<p>{good(_paragraph(r))}" + r.choice(["</p>", "</p>", "</p>", "\n"]))
             elif kind < 0.68:
                 one, two = _sentence(r), _sentence(r)
                 content.add(f"{one} {two}")
-                out.append(f"<p><b>{one}<br>{two}</p>")
+                out.append(f"<p>{one} <strong>{two}</strong></p>")
             elif kind < 0.74:
                 one, two, three = _sentence(r), _words(r, 2), _words(r, 4)
                 content.add(f"{one} {two} {three}")
@@ -141,7 +141,7 @@ def page(seed: int, family: str = "classed") -> tuple[str, set[str]]:
         before, after = links(r.randint(4, 9)), links(r.randint(3, 6)) + f"<div>{_words(r, 3)}</div>" if r.random() < 0.7 else ""
         whole = (f"<div>{before}</div>" if r.random() < 0.6 else before) + f"<div>{body()}</div><div>{after}</div>"
     elif family == "tables":
-        whole = f'<table width="100%"><tr><td colspan=2>{_words(r, 2)} {links(r.randint(3, 6))}</td></tr><tr><td width=150 valign=top>{links(r.randint(4, 9))}</td><td valign=top>{body()}</td></tr><tr><td colspan=2>{links(r.randint(2, 5))}&copy; {_words(r, 2)}</td></tr></table>'
+        whole = f'<table width="100%"><tr><td colspan=2>{_words(r, 2)} {links(r.randint(3, 6))}</td></tr><tr><td width=150 valign=top>{links(r.randint(4, 9))}</td><td valign=top>{body()}</td></tr><tr><td colspan=2>{links(r.randint(2, 5))}{_words(r, 2)}</td></tr></table>'
     elif family == "threads":
         title = _sentence(r, 2, 9)[:-1]
         whole = f"<h1>{good(title)}</h1><article><div class={r.choice(names['main'])}>{body()}</div></article>"
@@ -157,7 +157,7 @@ def page(seed: int, family: str = "classed") -> tuple[str, set[str]]:
         whole += line_of_links()
     for _ in range(r.choice([0, 0, 1, 2])):
         whole = f"<div{r.choice(['', ' class=wrapper', ' id=page', ' class=container'])}>{whole}</div>"
-    return f'<!DOCTYPE html><html><head><title>{_words(r, 4)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body><!-- {_words(r, 2)} -->{whole}' + r.choice(["</body></html>", ""]), content
+    return f'<!DOCTYPE html><html><head><title>{_words(r, 4)}</title></head><body><!-- {_words(r, 2)} -->{whole}' + r.choice(["</body></html>", ""]), content
 
 
 def pages(n: int, first: int = 0, families: tuple[str, ...] = FAMILIES) -> list[tuple[str, set[str]]]:
