@@ -16,7 +16,7 @@ from ..operators.mask import mask, mask_bytes, mask_places, merged, output
 from ..sources import ingest
 from ..sources.tables import table
 from . import oracles as O
-from . import synthetic
+from . import filetexts, synthetic
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -521,3 +521,60 @@ def redact_kinds_native(spark, sf_dir):
     rows = kinds(spark, sf_dir, "native")
     box = F.element_at("entities", 1)["bbox"]
     return rows.select("k", F.col("redacted_text").alias("text"), F.hex(F.substring("redacted_bytes", 1, 4)).alias("magic"), box["page"].alias("page"), box["x"].cast("double").alias("x"), F.substring_index("error", ":", 1).alias("error"))
+
+
+# ---- documents written into files and read back
+
+def as_files(spark, sf_dir, kind: str, write) -> DataFrame:
+    """Every document in a file of its own: (doc_id, content, kind, format)."""
+
+    def run(frames):
+        for f in frames:
+            made = [write(int(i), filetexts.one_line(t)) for i, t in zip(f["doc_id"], f["text"], strict=True)]
+            yield f[["doc_id"]].assign(content=[m[0] for m in made], kind=kind, format=[m[1] for m in made])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, content binary, kind string, format string")
+
+
+def masked_files(files: DataFrame, **options) -> DataFrame:
+    done = redact_files(files, "markdown", **options)
+    return done.select("doc_id", F.col("redacted_markdown").alias("redacted"), F.size("entities").alias("n_entities"))
+
+
+@query("office_redacted", O.masked(filetexts.OFFICE_TEXTS))
+def office_redacted(spark, sf_dir):
+    """Documents with addresses behind tabs, breaks and cells, in eight formats."""
+
+    def write(i: int, text: str):
+        form = filetexts.FORMATS[i % 8]
+        return filetexts.office_file(form, text, i), form
+
+    return masked_files(as_files(spark, sf_dir, "document", write))
+
+
+@query("pdf_redacted", O.masked(filetexts.PDF_TEXTS))
+def pdf_redacted(spark, sf_dir):
+    """Documents as PDFs, read word by word from their text layer."""
+    files = as_files(spark, sf_dir, "pdf", lambda i, text: (synthetic.text_pdf(text, i % 2 == 1), None))
+    return masked_files(files, strategy="layout")
+
+
+@query("pdf_word_boxes", """SELECT CAST(p_partkey AS BIGINT) AS k, 'P' || p_partkey AS word, 1 AS page, CAST(1000 * (40 + p_partkey % 400) AS BIGINT) AS x, CAST(1000 * (800 - 100 - p_partkey % 600) - 800 * (8 + p_partkey % 5) AS BIGINT) AS y,
+CAST((667 + 556 * length(CAST(p_partkey AS VARCHAR))) * (8 + p_partkey % 5) AS BIGINT) AS width, CAST(1000 * (8 + p_partkey % 5) AS BIGINT) AS height FROM part""")
+def pdf_word_boxes(spark, sf_dir):
+    """A word at a known place on a page of its own, in thousandths of a unit."""
+    from ..sources import pdf
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for k in f["p_partkey"].tolist():
+                show = f"BT /F {8 + k % 5} Tf {40 + k % 400} {100 + k % 600} Td (P{k}) Tj ET".encode()
+                objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 600 800] >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> >> >> >>", b"<< /Length %d >>\nstream\n%s\nendstream" % (len(show), show)]
+                words, _, _ = pdf.words(b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>")
+                out += [(k, w["word"], w["page"], *(round(1000 * w[c]) for c in ("x", "y", "width", "height"))) for w in words]
+            yield pd.DataFrame(out, columns=["k", "word", "page", "x", "y", "width", "height"])
+
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey")).mapInPandas(run, "k long, word string, page int, x long, y long, width long, height long")

@@ -44,3 +44,71 @@ def behind(name: str, source: str, id_col: str, text_col: str) -> str:
 
 #: Runs of more groups than any bank account number has, with one behind them: swallowed by the run, or apart from it.
 LONG_RUN = "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'AA00 ' || repeat('AAAA ', CAST(190 + n_nationkey AS INT)) || CASE WHEN n_nationkey % 3 = 0 THEN 'é ' WHEN n_nationkey % 3 = 1 THEN 'to ' ELSE '' END || 'GB82 WEST 1234 5698 7654 32' AS text FROM nation"
+
+
+def glyph_width(char: str) -> int:
+    """Thousandths of an em of a character in text_pdf()."""
+    return 300 if char == " " else 420 + ord(char) % 7 * 30
+
+
+def text_pdf(text: str, modern: bool = False, size: int = 10) -> bytes:
+    """A PDF whose text layer says `text`, wrapped into pages, in a font that numbers characters as they come and maps them
+    to Unicode. `modern`: objects in streams, tables as streams with predictors; else plain, each word placed by itself."""
+    import zlib
+
+    number = {c: i for i, c in enumerate(dict.fromkeys(" " + text), 1)}
+    lines: list[list[str]] = []
+    for paragraph in text.split("\n"):
+        lines.append([])
+        used = 0
+        for word in paragraph.split():
+            n = sum(map(glyph_width, word)) + 300
+            if lines[-1] and used + n > 500_000 // size:
+                lines.append([])
+                used = 0
+            lines[-1].append(word)
+            used += n
+    code = lambda t: "".join(f"{number[c]:04X}" for c in t)
+    pages = []
+    for at in range(0, max(1, len(lines)), 55):
+        out = []
+        for k, line in enumerate(lines[at : at + 55]):
+            y, x = 780 - 13.5 * k, 50.0
+            if modern and line:
+                out.append(f"BT /F {size} Tf {x} {y} Td <{code(' '.join(line))}> Tj ET")
+            for word in () if modern else line:
+                out.append(f"BT /F {size} Tf {x:.2f} {y} Td <{code(word)}> Tj ET")
+                x += (sum(map(glyph_width, word)) + 300) * size / 1000
+        pages.append(zlib.compress("\n".join(out).encode()))
+    cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange\n" + "\n".join(f"1 beginbfchar <{i:04X}> <{c.encode('utf-16-be', 'surrogatepass').hex()}> endbfchar" for c, i in number.items())
+    widths = "[1 [" + " ".join(str(glyph_width(c)) for c in number) + "]]"
+    objects: dict[int, bytes] = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /BaseFont /S /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>", 4: f"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /S /DW 500 /W {widths} >>".encode()}
+    stream = lambda data, head="": f"<< /Length {len(data)} {head}>>\nstream\n".encode() + data + b"\nendstream"
+    streams = {5: stream(zlib.compress(cmap.encode()), "/Filter /FlateDecode ")}
+    for i, data in enumerate(pages):
+        objects[6 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Contents {7 + 2 * i} 0 R >>".encode()
+        streams[7 + 2 * i] = stream(data, "/Filter /FlateDecode ")
+    kids = " ".join(f"{6 + 2 * i} 0 R" for i in range(len(pages)))
+    objects[2] = f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /MediaBox [0 0 600 800] /Resources << /Font << /F 3 0 R >> >> >>".encode()
+    out, last = b"%PDF-1.5\n", 6 + 2 * len(pages)
+    table: dict[int, tuple[int, int, int]] = {0: (0, 0, 0)}
+    if modern:
+        heads, body = [], b""
+        for k, (n, o) in enumerate(sorted(objects.items())):
+            heads.append(f"{n} {len(body)}")
+            body += o + b" "
+            table[n] = (2, last, k)
+        first = " ".join(heads).encode() + b" "
+        streams[last] = stream(zlib.compress(first + body), f"/Type /ObjStm /N {len(heads)} /First {len(first)} /Filter /FlateDecode ")
+        objects = {}
+    for n, o in sorted((objects | streams).items()):
+        table[n] = (1, len(out), 0)
+        out += f"{n} 0 obj\n".encode() + o + b"\nendobj\n"
+    if not modern:
+        entries = b"".join(b"%010d 00000 n \n" % table[n][1] for n in range(1, last))
+        return out + b"xref\n0 %d\n0000000000 65535 f \n" % last + entries + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (last, len(out))
+    table[last + 1] = (1, len(out), 0)
+    rows = [a.to_bytes(1, "big") + b.to_bytes(4, "big") + c.to_bytes(2, "big") for _, (a, b, c) in sorted(table.items())]
+    up = b"".join(b"\x02" + bytes((x - y) & 255 for x, y in zip(r, before, strict=True)) for r, before in zip(rows, [bytes(7), *rows], strict=False))
+    head = f"/Type /XRef /Size {last + 2} /W [1 4 2] /Root 1 0 R /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 7 >> "
+    return out + f"{last + 1} 0 obj\n".encode() + stream(zlib.compress(up), head) + f"\nendobj\nstartxref\n{len(out)}\n%%EOF\n".encode()

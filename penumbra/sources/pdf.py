@@ -690,6 +690,7 @@ class Page:
     pictures: bool = False
     fonts: dict[int, Font] = field(default_factory=dict)
     open: Shown | None = None
+    running: set[int] = field(default_factory=set)
 
     def glyph(self, text: str, state: State, tm: Matrix, width: float) -> None:
         font, size = state.font, state.size
@@ -704,7 +705,8 @@ class Page:
         corners = [(a * x + c * y + e, b * x + d * y + f) for x in (0.0, width) for y in (font.down, font.up)]
         x0, x1, y0, y1 = min(p[0] for p in corners), max(p[0] for p in corners), min(p[1] for p in corners), max(p[1] for p in corners)
         length = (a * a + b * b) ** 0.5 or 1.0
-        along, end = (a / length, b / length), (a * width + e, b * width + f)
+        step = width + (state.char / size if size else 0.0)  # letters that are spaced out follow each other still
+        along, end = (a / length, b / length), (a * step + e, b * step + f)
         w = self.open
         if w is not None:
             dx, dy = e - w.end[0], f - w.end[1]
@@ -802,11 +804,13 @@ class Page:
                 if isinstance(form, Stream):
                     if form.head.get("Subtype") == "Image":
                         self.pictures = True
-                    elif form.head.get("Subtype") == "Form" and depth < DEEPEST // 4:
+                    elif form.head.get("Subtype") == "Form" and depth < DEEPEST // 4 and id(form) not in self.running:
                         inner = copy(state)
                         inner.ctm = times(tuple(map(float, m)), state.ctm) if len(m := file.numbers(form.head.get("Matrix"))) == 6 else state.ctm
                         own = file.dict(form.head.get("Resources")) if "Resources" in form.head else resources
+                        self.running.add(id(form))  # a form that shows itself shows nothing more
                         self.run(file.data_of(form), own, inner, depth + 1)
+                        self.running.discard(id(form))
             elif x == b"ID":
                 self.pictures = True
                 end = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|\Z)").search(data, p.at)
