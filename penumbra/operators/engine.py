@@ -2,7 +2,7 @@
 
 Texts and office documents come out as masked text, images as images with black boxes, PDFs as PDFs of page images
 (or all of them as masked Markdown). PDFs with a text layer are read here. What has no library here is put in by the
-caller: an OCR, a PDF renderer, codecs for formats other than PNG.
+caller: an OCR, a PDF renderer, codecs for formats other than PNG and JPEG.
 
 Finding is the same column expression for all kinds; only what must be done to pixels and files runs in Python, and
 only for rows that need it. All of it is one plan of row-wise steps, in which an OCR reads each image and turn once.
@@ -41,15 +41,17 @@ class Readers:
 
     ocr(image) and pages(pdf) give words in reading order: dicts of word, page, x, y, width, height in 72 units an inch;
     `pages` gives (words, number of pages). pdf_text(pdf) gives the Markdown of a PDF's text layer, render(pdf, dpi) its
-    pages' pixels. extractors by format add to those for office documents.
+    pages' pixels. extractors by format add to those for office documents. PNG and JPEG are decoded and encoded here; pages of
+    redacted PDFs are lossless, or JPEGs of page_quality.
     """
 
     ocr: Callable[[np.ndarray], list[dict]] | None = None
     pages: Callable[[bytes], tuple[list[dict], int]] | None = None
     pdf_text: Callable[[bytes], str] = pdf.markdown
     render: Callable[[bytes, int], list[np.ndarray]] | None = None
-    decode: Callable[[bytes], np.ndarray] = image.png_decode
+    decode: Callable[[bytes], np.ndarray] = image.decode
     encode: Callable[[np.ndarray, bytes], bytes] | None = None
+    page_quality: int | None = None
     extractors: dict[str, Callable[[bytes], str]] = field(default_factory=dict)
 
 
@@ -387,7 +389,7 @@ def _finished(df: DataFrame, names: Names, output: str, entities, score_threshol
             kind, content, degrees, boxes, failed = row
             if failed is not None:
                 return (None, None)
-            return image.drawn(content, boxes, dpi if kind == "pdf" else layout.IMAGE_DPI, readers.encode, lambda b: seen(b, readers, degrees), readers.render, turned=True)
+            return image.drawn(content, boxes, dpi if kind == "pdf" else layout.IMAGE_DPI, readers.encode, lambda b: seen(b, readers, degrees), readers.render, turned=True, quality=readers.page_quality)
 
         boxes = F.transform(found, lambda e: e["bbox"])
         df = df.select("*", turn.alias(names.turned), boxes.alias(names.boxes), failed.alias(names.failed))

@@ -1,4 +1,4 @@
-"""Images as arrays: PNG reading and writing, orientation, rotation, blacked-out boxes, image-only PDFs."""
+"""Images as arrays: PNG and JPEG reading and writing, orientation, rotation, blacked-out boxes, image-only PDFs."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..sources.ingest import RedactError, Unsupported
+from . import jpeg
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Of JPEGs that are written.
+JPEG_QUALITY = 90
 #: Orders in which turned images are tried until something is found: right angles first, then slight slants.
 LADDER = (90, 180, 270, 10, -10, 15, -15, 20, -20)
 
@@ -185,8 +188,18 @@ def blacked(image: np.ndarray, boxes: list[dict], dpi: int, page: int | None = 1
     return out
 
 
-def image_pdf(pages: list[np.ndarray], dpi: int = 150) -> bytes:
-    """A PDF of images only, so no text survives; lossless."""
+def decode(content: bytes) -> np.ndarray:
+    """Pixels of a PNG or JPEG."""
+    return jpeg.decode(content) if content[:2] == b"\xff\xd8" else png_decode(content)
+
+
+def encode(picture: np.ndarray, source: bytes, quality: int = JPEG_QUALITY) -> bytes:
+    """In the format of the file it came from: a JPEG stays one (without alpha), all else is a PNG."""
+    return jpeg.encode(picture, quality) if source[:2] == b"\xff\xd8" else png_encode(picture)
+
+
+def image_pdf(pages: list[np.ndarray], dpi: int = 150, quality: int | None = None) -> bytes:
+    """A PDF of images only, so no text survives; lossless, or JPEGs of a quality."""
     parts: list[bytes] = []
     kids = " ".join(f"{3 + 3 * i} 0 R" for i in range(len(pages)))
     objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode()]
@@ -195,10 +208,10 @@ def image_pdf(pages: list[np.ndarray], dpi: int = 150) -> bytes:
         h, w = rgb.shape[:2]
         size = f"{w * 72 / dpi:.2f} {h * 72 / dpi:.2f}"
         draw = f"q {size.split()[0]} 0 0 {size.split()[1]} 0 0 cm /I Do Q".encode()
-        data = zlib.compress(rgb.tobytes())
+        data, way = (zlib.compress(rgb.tobytes()), "FlateDecode") if quality is None else (jpeg.encode(rgb, quality), "DCTDecode")
         objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {size}] /Contents {4 + 3 * i} 0 R /Resources << /XObject << /I {5 + 3 * i} 0 R >> >> >>".encode())
         objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(draw), draw))
-        objects.append(f"<< /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
+        objects.append(f"<< /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /{way} /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
     out, places = b"%PDF-1.4\n", []
     for i, o in enumerate(objects, 1):
         places.append(len(out))
@@ -207,10 +220,10 @@ def image_pdf(pages: list[np.ndarray], dpi: int = 150) -> bytes:
     return out + parts[0] + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
 
 
-def redact_images(df: DataFrame, content_col: str = "content", boxes_col: str = "boxes", dpi: int = 150, encode: Callable[[np.ndarray, bytes], bytes] | None = None, decode: Callable[[bytes], np.ndarray] = png_decode, render: Callable[[bytes, int], list[np.ndarray]] | None = None) -> DataFrame:
+def redact_images(df: DataFrame, content_col: str = "content", boxes_col: str = "boxes", dpi: int = 150, encode: Callable[[np.ndarray, bytes], bytes] | None = None, decode: Callable[[bytes], np.ndarray] = decode, render: Callable[[bytes, int], list[np.ndarray]] | None = None) -> DataFrame:
     """The rows with `redacted`, the image with its boxes black, and `error`; a row that fails has no bytes.
 
-    PNG by itself; give a codec for other formats. An image is one page, so all boxes are drawn. With `render`, rows that
+    PNG and JPEG by themselves; give a codec for other formats. An image is one page, so all boxes are drawn. With `render`, rows that
     are PDFs become PDFs of page images, each with the boxes of its page.
     """
     out = T.StructType([*df.schema, T.StructField("redacted", T.BinaryType()), T.StructField("error", T.StringType())])
@@ -227,16 +240,19 @@ def plain_boxes(boxes) -> list[dict]:
     return [b if isinstance(b, dict) else b.asDict() for b in (boxes if boxes is not None else [])]
 
 
-def drawn(source: bytes, boxes: list[dict], dpi: int, encode=None, decode=png_decode, render=None, turned: bool = False) -> tuple[bytes | None, str | None]:
+in_its_format = encode
+
+
+def drawn(source: bytes, boxes: list[dict], dpi: int, encode=None, decode=decode, render=None, turned: bool = False, quality: int | None = None) -> tuple[bytes | None, str | None]:
     """(bytes, None) with the boxes black, or (None, reason). `turned`: decode gives the pixels as they are shown."""
     try:
         if source.startswith(b"%PDF"):
             if render is None:
                 raise Unsupported("PDFs need a renderer")
-            return image_pdf([blacked(p, boxes, dpi, i) for i, p in enumerate(render(source, dpi), 1)], dpi), None
+            return image_pdf([blacked(p, boxes, dpi, i) for i, p in enumerate(render(source, dpi), 1)], dpi, quality), None
         image = decode(source)
         turned_ = None if turned else upright(image, exif_orientation(source))
         image = image if turned_ is None else turned_
-        return (encode or (lambda picture, _: png_encode(picture)))(blacked(image, boxes, dpi, None), source), None
+        return (encode or in_its_format)(blacked(image, boxes, dpi, None), source), None
     except Exception as e:
         return None, f"{type(e).__name__}: {e}"
