@@ -41,7 +41,7 @@ class Readers:
 
     ocr(image) and pages(pdf) give words in reading order: dicts of word, page, x, y, width, height in 72 units an inch;
     `pages` gives (words, number of pages). pdf_text(pdf) gives the Markdown of a PDF's text layer, render(pdf, dpi) its
-    pages' pixels. extractors by format add to those for office documents. PNG and JPEG are decoded and encoded here; pages of
+    pages' pixels. extractors by format add to those for office documents. PNG, JPEG, GIF and BMP are decoded here (the last two come out as PNG); pages of
     redacted PDFs are lossless, or JPEGs of page_quality.
     """
 

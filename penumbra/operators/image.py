@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.ingest import RedactError, Unsupported
 from . import jpeg
+from .raster import bmp_decode, gif_decode, samples
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Of JPEGs that are written.
@@ -30,11 +31,15 @@ def png_encode(image: np.ndarray) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+#: First column and line, and steps, of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def png_decode(data: bytes) -> np.ndarray:
-    """(height, width, channels) of an 8-bit PNG that is not interlaced; palettes are resolved."""
+    """(height, width, channels) of a PNG, in 8 bits; palettes are resolved."""
     if data[:8] != SIGNATURE:
         raise RedactError("not a PNG")
-    at, packed, palette, head = 8, b"", None, None
+    at, packed, palette, head = 8, [], None, None
     while at + 8 <= len(data):
         size, name = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + size]
@@ -44,27 +49,48 @@ def png_decode(data: bytes) -> np.ndarray:
         elif name == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif name == b"IDAT":
-            packed += body
+            packed.append(body)
         elif name == b"IEND":
             break
-    if head is None or head[2] != 8 or head[6]:
-        raise RedactError("only 8-bit PNGs that are not interlaced are read")
-    w, h, c = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h, w * c), np.uint8)
+    if head is None or head[2] not in (1, 2, 4, 8, 16) or head[3] not in (0, 2, 3, 4, 6) or head[6] > 1:
+        raise RedactError("the PNG has no head that can be read")
+    w, h, depth, c = head[0], head[1], head[2], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    image = np.zeros((h, w, c), np.uint8)
+    at = 0
+    for x0, y0, dx, dy in PASSES if head[6] else ((0, 0, 1, 1),):
+        wide, high = len(range(x0, w, dx)), len(range(y0, h, dy))
+        if not wide or not high:
+            continue
+        line = -(-wide * c * depth // 8)
+        rows = _lines(raw[at : at + high * (1 + line)].reshape(high, 1 + line), max(1, c * depth // 8))
+        at += high * (1 + line)
+        values = rows[:, ::2] if depth == 16 else samples(rows, depth)
+        if depth < 8 and head[3] != 3:
+            values = values * (255 // ((1 << depth) - 1))
+        image[y0::dy, x0::dx] = values[:, : wide * c].reshape(high, wide, c)
+    if head[3] != 3 or palette is None:
+        return image
+    table = np.zeros((256, 3), np.uint8)
+    table[: len(palette)] = palette
+    return table[image[:, :, 0]]
+
+
+def _lines(raw: np.ndarray, step: int) -> np.ndarray:
+    """Lines of bytes whose first says how they were stored: as they are, or as differences."""
+    out = np.zeros((raw.shape[0], raw.shape[1] - 1), np.uint8)
     above = out[0]
-    for y in range(h):
+    for y in range(len(raw)):
         kind, line = raw[y, 0], raw[y, 1:]
         if kind == 1:  # from the left: a running sum of each channel
-            line = np.add.accumulate(line.reshape(w, c), axis=0, dtype=np.uint8).reshape(-1)
+            line = np.add.accumulate(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
         elif kind == 2:
             line = line + above
         elif kind in (3, 4):
-            line = _unfiltered(line.tolist(), above.tolist(), c, kind == 4)
+            line = _unfiltered(line.tolist(), above.tolist(), step, kind == 4)
         out[y] = line
         above = out[y]
-    image = out.reshape(h, w, c)
-    return palette[image[:, :, 0]] if head[3] == 3 and palette is not None else image
+    return out
 
 
 def _unfiltered(line: list[int], above: list[int], c: int, paeth: bool) -> list[int]:
@@ -189,8 +215,11 @@ def blacked(image: np.ndarray, boxes: list[dict], dpi: int, page: int | None = 1
 
 
 def decode(content: bytes) -> np.ndarray:
-    """Pixels of a PNG or JPEG."""
-    return jpeg.decode(content) if content[:2] == b"\xff\xd8" else png_decode(content)
+    """Pixels of a PNG, JPEG, GIF or BMP."""
+    for mark, read in ((b"\xff\xd8", jpeg.decode), (b"GIF8", gif_decode), (b"BM", bmp_decode)):
+        if content.startswith(mark):
+            return read(content)
+    return png_decode(content)
 
 
 def encode(picture: np.ndarray, source: bytes, quality: int = JPEG_QUALITY) -> bytes:
@@ -223,7 +252,7 @@ def image_pdf(pages: list[np.ndarray], dpi: int = 150, quality: int | None = Non
 def redact_images(df: DataFrame, content_col: str = "content", boxes_col: str = "boxes", dpi: int = 150, encode: Callable[[np.ndarray, bytes], bytes] | None = None, decode: Callable[[bytes], np.ndarray] = decode, render: Callable[[bytes, int], list[np.ndarray]] | None = None) -> DataFrame:
     """The rows with `redacted`, the image with its boxes black, and `error`; a row that fails has no bytes.
 
-    PNG and JPEG by themselves; give a codec for other formats. An image is one page, so all boxes are drawn. With `render`, rows that
+    PNG and JPEG by themselves, GIF and BMP become PNGs; give a codec for other formats. An image is one page, so all boxes are drawn. With `render`, rows that
     are PDFs become PDFs of page images, each with the boxes of its page.
     """
     out = T.StructType([*df.schema, T.StructField("redacted", T.BinaryType()), T.StructField("error", T.StringType())])

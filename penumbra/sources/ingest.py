@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pdf
+from . import legacy, pdf
 from .errors import EngineError, IngestError, RedactError, Unsupported
 from .office import ZIPPED, from_csv, from_office, from_rtf, markdown_table
 from .tables import by_size
@@ -64,8 +64,9 @@ def from_pdf(content: bytes) -> str:
     return text
 
 
-#: Extractors by format; others (legacy binary formats, from_pdf, an OCR) can be put in.
+#: Extractors by format; others (from_pdf, an OCR) can be put in.
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {"csv": from_csv, "rtf": from_rtf} | {f: (lambda b, f=f: from_office(b, f)) for f in ZIPPED}
+EXTRACTORS |= {"doc": legacy.from_doc, "ppt": legacy.from_ppt, "excel": lambda b: legacy.from_xls(b) if b.startswith(legacy.MAGIC) else from_office(b, "excel")}
 
 
 def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, on_error: str = "raise") -> DataFrame:

@@ -64,6 +64,40 @@ def test_what_the_jvm_writes_is_read(spark, progressive):
     assert own.shape == pixels.shape and np.abs(own - other).mean() < 1 and np.abs(own - other).max() <= 4
 
 
+@pytest.mark.parametrize(("format", "kind", "interlaced"), [("png", 1, False), ("png", 1, True), ("png", 12, False), ("png", 12, True), ("png", 13, False), ("png", 11, False), ("png", 10, True), ("png", 2, True), ("gif", 13, False), ("gif", 12, True), ("bmp", 1, False), ("bmp", 12, False), ("bmp", 13, False)])
+def test_other_pictures_of_the_jvm_are_read(spark, format, kind, interlaced):
+    """Its kinds: 1 RGB, 2 with alpha, 10 and 11 gray of 8 and 16 bits, 12 of two colours, 13 with a palette."""
+    jvm, (h, w) = spark._jvm, (13, 21)
+    picture, pixels = jvm.java.awt.image.BufferedImage(w, h, kind), smooth(h, w)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = (int(v) for v in pixels[y, x])
+            picture.setRGB(x, y, -16777216 | r << 16 | g << 8 | b)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(format).next()
+    param = writer.getDefaultWriteParam()
+    if interlaced:
+        param.setProgressiveMode(1)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), param)
+    writer.getOutput().flush()
+    made = bytes(out.toByteArray())
+    own, other = image.decode(made), of_jvm(spark, made)
+    assert own.shape[:2] == (h, w)
+    if kind in (10, 11):  # the JVM brightens gray on its way to RGB, so its own numbers are compared
+        raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(made)).getRaster()
+        assert own[:, :, 0].tolist() == [[raster.getSample(x, y, 0) >> (8 if kind == 11 else 0) for x in range(w)] for y in range(h)]
+    else:
+        rgb = own[:, :, :3] if own.shape[2] > 2 else np.repeat(own[:, :, :1], 3, 2)
+        assert np.array_equal(rgb, other)
+
+
+def test_pictures_that_are_broken():
+    for mark in (b"GIF89a", b"BM", b"GIF8", b"BM" + b"\0" * 60, b"GIF89a\1\0\1\0\0\0\0;"):
+        with pytest.raises(RedactError):
+            image.decode(mark)
+
+
 def test_gray_noise_restarts_and_broken_files():
     noise = np.random.default_rng(1).integers(0, 256, (64, 72, 3)).astype(np.uint8)
     assert np.abs(jpeg.decode(jpeg.encode(noise, 100)).astype(int) - noise).max() <= 4
