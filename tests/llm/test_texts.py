@@ -476,15 +476,15 @@ HOSTILE = {
 
 @pytest.mark.parametrize("name", list(HOSTILE))
 def test_time_is_in_proportion_to_a_page(field, name):
-    """Twice of what made parsers slow takes about twice as long."""
+    """Twice of what made parsers slow takes about twice as long; the better of two runs each, since machines stutter."""
 
     def seconds(share):
         t = time.process_time()
         dom.extract([HOSTILE[name][: int(len(HOSTILE[name]) * share)]], field)
         return time.process_time() - t
 
-    seconds(0.05)
-    assert seconds(1.0) < 3 * max(0.3, seconds(0.5))
+    half = min(seconds(0.5), seconds(0.5))
+    assert min(seconds(1.0), seconds(1.0)) < 3 * max(0.5, half)
 
 
 def test_what_is_not_seen_within_a_line_does_not_end_it(field):
