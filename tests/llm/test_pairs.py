@@ -82,6 +82,68 @@ def test_every_pair_within_three_bits_is_linked(spark):
         assert ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 3
 
 
+def near_copies_of(rng, families, copies):
+    """Texts in families of edited copies, and pairs that share a passage of half their words only."""
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = []
+    for _ in range(families):
+        base = [word() for _ in range(rng.randint(80, 400))]
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            edited = list(base)
+            for _ in range(max(1, len(base) // 60)):
+                edited[rng.randrange(len(edited))] = word()
+            texts.append(" ".join(edited).upper() if rng.random() < 0.2 else " ".join(edited))
+    passage = [word() for _ in range(120)]
+    texts += [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(40)]) for _ in range(60)]
+    return texts
+
+
+def test_near_copies_against_brute_force(docs_of):
+    texts = near_copies_of(random.Random(9), 60, 4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(list(enumerate(texts)))).collect()}
+    sets = [slow_shingles(t.lower()) for t in texts]
+    alike = [(i, j, len(a & b) / len(a | b)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) / len(a | b) >= 0.5]
+    near = [(i, j) for i, j, s in alike if s >= 0.8]
+    assert len(near) > 250 and sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
+    reach = {i: i for i in range(len(texts))}
+    for i, j, s in sorted(alike):
+        if s >= 0.7:
+            low, high = sorted((reach[i], reach[j]))
+            reach = {k: low if r == high else r for k, r in reach.items()}
+    assert all(reach[i] == reach[c] for i, c in got.items())
+    assert all(got[i] == i for i in range(300, 360))
+
+
+def test_near_copies_of_a_chain_and_a_hot_group():
+    rng = np.random.default_rng(4)
+    hub = rng.integers(0, 1 << 63, 4).astype(np.uint64)
+    prints = np.repeat(hub[None], 400, 0)
+    for i in range(1, 400):
+        bits = rng.integers(0, 256, 6)
+        prints[i] = prints[i - 1] if i % 100 else rng.integers(0, 1 << 63, 4).astype(np.uint64)
+        for b in bits:
+            prints[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    for radius in (0, 4, 6, 20):
+        apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+
+        def parts_of(pairs):
+            root = list(range(400))
+            for x, y in pairs:
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+            return root
+
+        want = parts_of(zip(*np.nonzero(apart <= radius), strict=True))
+        assert parts_of(simhash._chained(prints, np.arange(400), radius)) == want
+
+
+def test_near_copies_edges(docs_of):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(EDGE)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)] == [1, 1, 1, 4, 5, 5, 7, 7, 9, 10, 7] and got[None] is None
+    assert simhash.near_copies(docs_of([])).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in components(edges).collect()}
