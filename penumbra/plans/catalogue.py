@@ -526,14 +526,18 @@ def redact_kinds_native(spark, sf_dir):
 # ---- documents written into files and read back
 
 def as_files(spark, sf_dir, kind: str, write) -> DataFrame:
-    """Every document in a file of its own: (doc_id, content, kind, format)."""
+    """Every document in a file of its own: (doc_id, content, format, kind).
+
+    The kind is a literal above the Python step, so the plan drops the engine's branches for other kinds, each of which would
+    write all files anew.
+    """
 
     def run(frames):
         for f in frames:
             made = [write(int(i), filetexts.one_line(t)) for i, t in zip(f["doc_id"], f["text"], strict=True)]
-            yield f[["doc_id"]].assign(content=[m[0] for m in made], kind=kind, format=[m[1] for m in made])
+            yield f[["doc_id"]].assign(content=[m[0] for m in made], format=[m[1] for m in made])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, content binary, kind string, format string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, content binary, format string").withColumn("kind", F.lit(kind))
 
 
 def masked_files(files: DataFrame, **options) -> DataFrame:

@@ -57,18 +57,20 @@ def text_pdf(text: str, modern: bool = False, size: int = 10) -> bytes:
     import zlib
 
     number = {c: i for i, c in enumerate(dict.fromkeys(" " + text), 1)}
+    coded, wide = {ord(c): f"{i:04X}" for c, i in number.items()}, {c: glyph_width(c) for c in number}
+    sizes = {word: sum([wide[c] for c in word]) + 300 for word in set(text.split())}
     lines: list[list[str]] = []
     for paragraph in text.split("\n"):
         lines.append([])
         used = 0
         for word in paragraph.split():
-            n = sum(map(glyph_width, word)) + 300
+            n = sizes[word]
             if lines[-1] and used + n > 500_000 // size:
                 lines.append([])
                 used = 0
             lines[-1].append(word)
             used += n
-    code = lambda t: "".join(f"{number[c]:04X}" for c in t)
+    code = lambda t: t.translate(coded)
     pages = []
     for at in range(0, max(1, len(lines)), 55):
         out = []
@@ -78,7 +80,7 @@ def text_pdf(text: str, modern: bool = False, size: int = 10) -> bytes:
                 out.append(f"BT /F {size} Tf {x} {y} Td <{code(' '.join(line))}> Tj ET")
             for word in () if modern else line:
                 out.append(f"BT /F {size} Tf {x:.2f} {y} Td <{code(word)}> Tj ET")
-                x += (sum(map(glyph_width, word)) + 300) * size / 1000
+                x += sizes[word] * size / 1000
         pages.append(zlib.compress("\n".join(out).encode()))
     cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange\n" + "\n".join(f"1 beginbfchar <{i:04X}> <{c.encode('utf-16-be', 'surrogatepass').hex()}> endbfchar" for c, i in number.items())
     widths = "[1 [" + " ".join(str(glyph_width(c)) for c in number) + "]]"

@@ -9,6 +9,7 @@ import pytest
 from pdfs import classic, one_page, stream
 
 from penumbra.operators.engine import Readers, redact_files
+from penumbra.plans import catalogue
 from penumbra.plans.synthetic import text_pdf
 from penumbra.sources import pdf
 
@@ -196,3 +197,35 @@ def test_pdfs_among_files(spark):
     box = got["text"]["entities"][0]["bbox"]
     where = next(w for w in pdf.words(rows[0][1])[0] if w["word"] == "a@b.io")
     assert (box["page"], box["x"], box["y"]) == (1, pytest.approx(where["x"]), pytest.approx(where["y"]))
+
+
+SHOWN = [
+    b"BT /F 10 Tf 50 700 Td (one two  three) Tj 4 Tc (spaced out) ' 0 Tc 9 Tw (with word spacing) Tj ET",
+    b"BT /F 8 Tf 0.7 0.7 -0.7 0.7 100 100 Tm [(tur) -20 (ned) -600 (apart) 30 (on)] TJ 3 Ts 80 Tz (narrow high) Tj ET",
+    b"2 0 0 2 5 5 cm BT /F 5 Tf 12 TL 20 200 Td (big) Tj T* (end ) Tj (next) Tj (joined) Tj -1 Tc (tight letters) Tj -3 0 0 3 90 90 Tm (mirrored) Tj ET",
+]
+
+
+@pytest.mark.parametrize("show", SHOWN)
+def test_strings_run_by_run_are_strings_glyph_by_glyph(show, monkeypatch):
+    file = one_page(show)
+    runs, calls = pdf.words(file)[0], []
+    monkeypatch.setattr(pdf.Page, "string", lambda *_: calls.append(1))
+    single = pdf.words(file)[0]
+    assert calls and [w["word"] for w in runs] == [w["word"] for w in single]
+    assert all(abs(a[k] - b[k]) < 1e-9 for a, b in zip(runs, single, strict=True) for k in ("page", "x", "y", "width", "height"))
+
+
+def test_plain_strings_are_not_placed_glyph_by_glyph(monkeypatch):
+    glyphs = []
+    monkeypatch.setattr(pdf.Page, "glyph", lambda *_: glyphs.append(1))
+    text = "an address 1 rue de la Paix, née x@b.io " * 40
+    for modern in (False, True):
+        assert [w["word"] for w in pdf.words(text_pdf(text, modern))[0]] == text.split()
+    assert not glyphs
+
+
+@pytest.mark.parametrize("query", ["pdf_redacted", "office_redacted"])
+def test_files_are_written_once(spark, query):
+    plan = catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
