@@ -17,11 +17,12 @@ Variants travel packed: for each fingerprint and shuffle bucket one list of flip
 Near copies at a five-word similarity of 0.8 differ in 4 to 19 of 64 bits, beyond any ball that can be emitted. For them
 there is a wide fingerprint (`wide_links`): 512 bits over the distinct shingles, in 16 blocks of 32. Each block emits
 itself and its 32 one-bit variants, so two texts meet where any block differs in at most two bits: always so up to 47 bits in
-all and mostly beyond (a pair at similarity 0.8 has about 60). Only a variant and 16 bytes a text are shuffled: its name and
-64 further bits, in which near texts differ in few. Of those that meet in a variant, all are linked that a chain of such pairs joins: by a star where its hub is near all, else by comparing the
+all and mostly beyond (a pair at similarity 0.8 has about 60). Only a variant and 32 bytes a text are shuffled: its name,
+64 further bits, in which near texts differ in few, and the first four blocks, to tell nearer texts. Of those that meet in a variant, all are linked that a chain of such pairs joins: by a star where its hub is near all, else by comparing the
 smallest part with the rest until no part is left, without emitting pairs. Three members of a variant are hubs, by an
-order that differs from block to block, so near copies are linked in several ways; a link then stands if bottom-256 sketches of the five-word shingles (op7's)
-put the similarity at 0.8, less their error, or more. Documents that merely share a long passage are no near copies.
+order that differs from block to block, so near copies are linked in several ways. What a task finds goes on as a forest of its nearest links
+(by 192 bits): of all links up to any distance, it joins what they join, so links that the sketches refuse don't stand in for nearer ones, and a group of near copies
+has fewer links a task than members. A link then stands if bottom-256 sketches of the five-word shingles (op7's) put the similarity at 0.8, less their error, or more. Documents that merely share a long passage are no near copies.
 
 A node has at most 43,744 links of three bits, the size of its ball, so links have no hot key. Components and fingerprints that many
 share are few by the bound in `common.met` and meet their members by broadcast.
@@ -220,7 +221,7 @@ def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, group_variants: i
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
                 wide = np.frombuffer(b"".join(b.column("wide").slice(lo, BLOCK).to_pylist()), "<u4").reshape(-1, BLOCKS + 2)
-                own = np.stack([b.column("fp").slice(lo, BLOCK).to_numpy().view(U64), np.ascontiguousarray(wide[:, BLOCKS:]).view("<u8")[:, 0]], 1)
+                own = np.stack([b.column("fp").slice(lo, BLOCK).to_numpy().view(U64), *np.ascontiguousarray(wide[:, [BLOCKS, BLOCKS + 1, 0, 1, 2, 3]]).view("<u8").T], 1)
                 variants = (wide[:, code // flips] ^ _FLIP[code % flips]).ravel()
                 blocks = np.tile((code // flips).astype(np.uint8), len(wide))
                 where = (mix64(_keys(variants, blocks)) % U64(buckets)).astype(np.int32)
@@ -235,8 +236,8 @@ def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, group_variants: i
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         forget()
-        own = np.frombuffer(b"".join(f["own"]), "<u8").reshape(-1, 2)
-        names, prints = own[:, 0], own[:, 1:]
+        own = np.frombuffer(b"".join(f["own"]), "<u8").reshape(-1, 4)
+        names, prints = own[:, 0], own[:, 1:2]
         who = np.repeat(np.arange(len(own)), np.frombuffer(b"".join(f["per"]), "<u2"))
         key = _keys(np.frombuffer(b"".join(f["variants"]), "<u4"), np.frombuffer(b"".join(f["blocks"]), np.uint8))
         order = np.lexsort((mix64(mix64(names)[who] ^ (key >> U64(32))), key))
@@ -268,6 +269,8 @@ def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, group_variants: i
                 seen.add(known)
                 pairs.append(np.array(_chained(prints, members, radius), np.int64).reshape(-1, 2))
         kept = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        kept = kept[np.lexsort((kept[:, 0], kept[:, 1], _apart(own[kept[:, 0], 1:], own[kept[:, 1], 1:])))]
+        kept = kept[_forest(kept)]
         named = np.sort(names[kept], axis=1).view(np.int64)
         return pd.DataFrame({"a": named[:, 0], "b": named[:, 1]})
 

@@ -307,3 +307,14 @@ def test_pruning_skips_parts_of_clustered_data():
     best = np.sort(q @ x.T, axis=1)[:, -5:]
     for i in range(len(q)):
         assert np.allclose(np.sort(q[i] @ x[row[who == i]].T)[-5:], best[i])
+
+
+def test_links_of_a_hot_group_are_a_forest_a_task(docs_of, spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = [" ".join(base[: (at := rng.randrange(300))] + [f"x{i}"] + base[at:]) for i in range(400)]
+    prints = simhash.wide_fingerprints(docs_of(list(enumerate(texts)))).select("fp", "wide").distinct().cache()
+    linked = simhash.wide_links(prints, group_variants=100_000)
+    n, tasks = prints.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * 528 // 100_000))
+    assert linked.count() <= tasks * (n - 1)
+    assert components(linked).select("root").distinct().count() == 1 and components(linked).count() == n
