@@ -18,10 +18,11 @@ Near copies at a five-word similarity of 0.8 differ in 4 to 19 of 64 bits, beyon
 there is a wide fingerprint (`wide_links`): 512 bits over the distinct shingles, in 16 blocks of 32. Each block emits
 itself and its 32 one-bit variants, so two texts meet where any block differs in at most two bits: always so up to 47 bits in
 all and mostly beyond (a pair at similarity 0.8 has about 60). Only a variant and 32 bytes a text are shuffled: its name,
-64 further bits, in which near texts differ in few, and the first four blocks, to tell nearer texts. Of those that meet in a variant, all are linked that a chain of such pairs joins: by a star where its hub is near all, else by comparing the
+64 further bits, in which near texts differ in few, and a bit of each of 128 smallest shingle hashes (`minima`), to tell nearer texts. Of those that meet in a variant, all are linked that a chain of such pairs joins: by a star where its hub is near all, else by comparing the
 smallest part with the rest until no part is left, without emitting pairs. Three members of a variant are hubs, by an
-order that differs from block to block, so near copies are linked in several ways. What a task finds goes on as a forest of its nearest links
-(by 192 bits): of all links up to any distance, it joins what they join, so links that the sketches refuse don't stand in for nearer ones, and a group of near copies
+order that differs from block to block, so near copies are linked in several ways. Texts of equal block value share all its 33 variants:
+links from their hubs are written where they share it unchanged, and used but not written where the same bit of both is flipped. What a task finds goes on as a forest of its nearest links
+(by minima): of all links up to any distance, it joins what they join, so links that the sketches refuse don't stand in for nearer ones, and a group of near copies
 has fewer links a task than members. A link then stands if bottom-256 sketches of the five-word shingles (op7's) put the similarity at 0.8, less their error, or more. Documents that merely share a long passage are no near copies.
 
 A node has at most 43,744 links of three bits, the size of its ball, so links have no hot key. Components and fingerprints that many
@@ -63,6 +64,8 @@ EVEN = 65
 #: A wide fingerprint: blocks of 32 bits, 64 bits to compare, and how many of these near copies may differ in: 8 to 10 is
 #: usual at similarity 0.8, 32 for texts that have nothing in common.
 BLOCKS, WIDE_RADIUS = 16, 20
+#: Bits that tell which of several near texts is nearer, a power of two.
+MINIMA = 128
 #: Hubs of a variant: each links to all of its members that are near.
 HUBS = 3
 #: The least similarity, and what a sketch's estimate may be under it: its standard error there is 0.025.
@@ -115,9 +118,18 @@ def wide_fingerprint(text: str | None) -> bytes:
     return np.packbits(counts * 2 > len(h), bitorder="little").tobytes()
 
 
+def minima(sketch: np.ndarray) -> bytes:
+    """16 bytes: of the least hash of a sketch in each of 128 bins one bit; zero where a bin has none. Sketches of similarity s
+    differ in about (1 - s) / 2 of the bits whose bins are filled."""
+    bits = np.zeros(MINIMA, np.uint8)
+    bins, first = np.unique(sketch & np.uint32(MINIMA - 1), return_index=True)
+    bits[bins] = sketch[first] >> np.uint32(8) & np.uint32(1)
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, wide, fp, sketch): 72 bytes, their XXH64 as a signed long that stands for them, and the upper halves of the
-    smallest hashes of five-word shingles; no shuffle."""
+    """(doc_id, wide, fp, sketch): 72 bytes and 16 of minima, their XXH64 as a signed long that stands for them, and the upper
+    halves of the smallest hashes of five-word shingles; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -125,8 +137,9 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for b in by_size(batch, "text"):
                 texts = b.column("text").to_pylist()
-                made = [wide_fingerprint(t) for t in texts]
-                sketched = [(sketcher.sketch(lowered(t)) >> U64(32)).astype("<u4").tobytes() for t in texts]
+                sketches = [(sketcher.sketch(lowered(t)) >> U64(32)).astype("<u4") for t in texts]
+                made = [wide_fingerprint(t) + minima(s) for t, s in zip(texts, sketches, strict=True)]
+                sketched = [s.tobytes() for s in sketches]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.binary()), pa.array(_names(made)), pa.array(sketched, pa.binary())], ["doc_id", "wide", "fp", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, wide binary, fp long, sketch binary")
@@ -176,6 +189,25 @@ def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ other).sum(-1, dtype=np.int32)
 
 
+def _once(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.unique(np.sort(np.stack([one, other], 1), axis=1), axis=0)
+
+
+def _starred(prints: np.ndarray, who: np.ndarray, start: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of HUBS members of every group (`start`: where one begins): the hub's number, its place, those of the members behind it,
+    and which of these are within the radius."""
+    if not len(who):
+        return
+    first = np.flatnonzero(start)[np.cumsum(start) - 1]
+    place = np.arange(len(who))
+    for h in range(HUBS):
+        at = place[place > first + h]
+        hub, close = first[at] + h, np.zeros(len(at), bool)
+        for i in range(0, len(at), 100_000):
+            close[i : i + 100_000] = _apart(prints[who[hub[i : i + 100_000]]], prints[who[at[i : i + 100_000]]]) <= radius
+        yield h, hub, at, close
+
+
 def _chained(prints: np.ndarray, members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Pairs of members within the radius that join all that chains of such pairs join.
 
@@ -220,61 +252,63 @@ def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, group_variants: i
         code = np.arange(BLOCKS * flips)
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
-                wide = np.frombuffer(b"".join(b.column("wide").slice(lo, BLOCK).to_pylist()), "<u4").reshape(-1, BLOCKS + 2)
-                own = np.stack([b.column("fp").slice(lo, BLOCK).to_numpy().view(U64), *np.ascontiguousarray(wide[:, [BLOCKS, BLOCKS + 1, 0, 1, 2, 3]]).view("<u8").T], 1)
+                wide = np.frombuffer(b"".join(b.column("wide").slice(lo, BLOCK).to_pylist()), "<u4").reshape(-1, BLOCKS + 2 + MINIMA // 32)
+                own = np.stack([b.column("fp").slice(lo, BLOCK).to_numpy().view(U64), *np.ascontiguousarray(wide[:, BLOCKS:]).view("<u8").T], 1)
                 variants = (wide[:, code // flips] ^ _FLIP[code % flips]).ravel()
                 blocks = np.tile((code // flips).astype(np.uint8), len(wide))
                 where = (mix64(_keys(variants, blocks)) % U64(buckets)).astype(np.int32)
                 order = np.argsort(where, kind="stable")
-                where, who, variants, blocks = where[order], order // len(code), variants[order].astype("<u4"), blocks[order]
+                where, who, variants, codes = where[order], order // len(code), variants[order].astype("<u4"), (order % len(code)).astype("<u2")
                 first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
                 rows = []
                 for f, e in zip(first, np.r_[first[1:], len(where)], strict=True):
                     there, per = np.unique(who[f:e], return_counts=True)
-                    rows.append((int(where[f]), own[there].tobytes(), per.astype("<u2").tobytes(), variants[f:e].tobytes(), blocks[f:e].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "own", "per", "variants", "blocks"])
+                    rows.append((int(where[f]), own[there].tobytes(), per.astype("<u2").tobytes(), variants[f:e].tobytes(), codes[f:e].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "own", "per", "variants", "codes"])
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         forget()
-        own = np.frombuffer(b"".join(f["own"]), "<u8").reshape(-1, 4)
+        own = np.frombuffer(b"".join(f["own"]), "<u8").reshape(-1, 2 + MINIMA // 64)
         names, prints = own[:, 0], own[:, 1:2]
         who = np.repeat(np.arange(len(own)), np.frombuffer(b"".join(f["per"]), "<u2"))
-        key = _keys(np.frombuffer(b"".join(f["variants"]), "<u4"), np.frombuffer(b"".join(f["blocks"]), np.uint8))
+        block, flip = np.divmod(np.frombuffer(b"".join(f["codes"]), "<u2"), flips)
+        key = _keys(np.frombuffer(b"".join(f["variants"]), "<u4"), block)
         order = np.lexsort((mix64(mix64(names)[who] ^ (key >> U64(32))), key))
-        key, who = key[order], who[order]
+        key, who, flip = key[order], who[order], flip[order]
         same = key[1:] == key[:-1]
         again = np.r_[same, False] | np.r_[False, same]
-        key, who = key[again], who[again]
+        key, who, flip = key[again], who[again], flip[again]
         if not len(who):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         start = np.r_[True, key[1:] != key[:-1]]
         group = np.cumsum(start) - 1
-        first = np.flatnonzero(start)[group]
-        place = np.arange(len(who))
-        pairs, near = [], np.ones(len(who), bool)
-        for h in range(HUBS):
-            held = place[place > first + h]
-            close = np.zeros(len(held), bool)
-            for i in range(0, len(held), 100_000):
-                at = held[i : i + 100_000]
-                close[i : i + 100_000] = _apart(prints[who[first[at] + h]], prints[who[at]]) <= radius
+        pairs, elsewhere, near = [], [], np.ones(len(who), bool)
+        for h, hub, at, close in _starred(prints, who, start, radius):
             if h == 0:
-                near[held] = close
-            held = held[close]
-            pairs.append(np.unique(np.sort(np.stack([who[first[held] + h], who[held]], 1), axis=1), axis=0))
+                near[at] = close
+            hub, at = hub[close], at[close]
+            met_before = (flip[hub] == flip[at]) & (flip[at] > 0)
+            for to, those in ((elsewhere, met_before), (pairs, ~met_before)):
+                to.append(_once(who[hub[those]], who[at[those]]))
+        own_value = np.flatnonzero(flip == 0)
+        for _, hub, at, close in _starred(prints, who[own_value], np.diff(group[own_value], prepend=-1) != 0, radius):
+            pairs.append(_once(who[own_value[hub[close]]], who[own_value[at[close]]]))
         bounds, seen = np.r_[np.flatnonzero(start), len(who)], set()
         for g in np.unique(group[~near]):
             members = who[bounds[g] : bounds[g + 1]]
             if len(members) > 2 and (known := members.tobytes()) not in seen:
                 seen.add(known)
                 pairs.append(np.array(_chained(prints, members, radius), np.int64).reshape(-1, 2))
-        kept = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-        kept = kept[np.lexsort((kept[:, 0], kept[:, 1], _apart(own[kept[:, 0], 1:], own[kept[:, 1], 1:])))]
-        kept = kept[_forest(kept)]
-        named = np.sort(names[kept], axis=1).view(np.int64)
+        here, there = np.concatenate(pairs), np.concatenate(elsewhere)
+        kept, first = np.unique(np.sort(np.concatenate([here, there]), axis=1), axis=0, return_index=True)
+        ends = np.sort(names[kept], axis=1)
+        # one order of links in all tasks, so that what is left to another task is joined there by links as near
+        order = np.lexsort((ends[:, 1], ends[:, 0], _apart(own[kept[:, 0], 2:], own[kept[:, 1], 2:])))
+        order = order[_forest(kept[order])]
+        named = ends[order[first[order] < len(here)]].view(np.int64)
         return pd.DataFrame({"a": named[:, 0], "b": named[:, 1]})
 
-    packed = distinct.repartition(parts(spark), "fp").mapInArrow(emit, "bucket int, own binary, per binary, variants binary, blocks binary")
+    packed = distinct.repartition(parts(spark), "fp").mapInArrow(emit, "bucket int, own binary, per binary, variants binary, codes binary")
     return packed.groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 

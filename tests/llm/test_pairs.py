@@ -318,3 +318,23 @@ def test_links_of_a_hot_group_are_a_forest_a_task(docs_of, spark):
     n, tasks = prints.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * 528 // 100_000))
     assert linked.count() <= tasks * (n - 1)
     assert components(linked).select("root").distinct().count() == 1 and components(linked).count() == n
+
+
+def test_copies_of_equal_blocks_are_not_linked_again_in_each_variant(docs_of, spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = [" ".join(base[: (at := rng.randrange(300))] + [f"x{i}"] + base[at:]) for i in range(300)]
+    texts += [" ".join(f"w{rng.randrange(4000)}" for _ in range(200)) for _ in range(30)]
+    prints = simhash.wide_fingerprints(docs_of(list(enumerate(texts)))).select("fp", "wide").distinct().cache()
+    found = prints.collect()
+    wide = np.frombuffer(b"".join(r["wide"] for r in found), "<u4").reshape(-1, simhash.BLOCKS + 2 + simhash.MINIMA // 32)
+    apart = np.bitwise_count(wide[:, None] ^ wide[None]).astype(int)
+    root = np.arange(len(found))
+    for i, j in np.argwhere((apart[:, :, : simhash.BLOCKS].min(2) <= 2) & (apart[:, :, simhash.BLOCKS : simhash.BLOCKS + 2].sum(2) <= simhash.WIDE_RADIUS)):
+        root[root == root[i]] = root[j]
+    for buckets in (4, 40, 400):
+        linked = simhash.wide_links(prints, group_variants=-(-len(found) * 528 // buckets)).cache()
+        # before: each text with nearly each other one in every bucket that two of them share, up to 528 a text
+        assert linked.count() <= 40 * len(found)
+        reached = {r["node"]: r["root"] for r in components(linked).collect()}
+        assert len(set(reached.values())) + len(found) - len(reached) == len(set(root.tolist()))
