@@ -1,6 +1,8 @@
 """Office documents as people write them: what stands apart on the page stands apart in the text."""
 
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -131,3 +133,23 @@ def test_no_job_runs_before_the_result_is_asked_for(spark):
     df = spark.createDataFrame([(1, "text", bytearray(b"a@b.io"), None)], "id long, kind string, content binary, format string")
     redact_files(df, "markdown")
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_white_space_is_what_a_pattern_over_every_space_gives():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("a\t\n\r\f\v \x00\x7f\xa0　￾\\{}é\U0001f600\x1c\x85b  ") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    for text in texts:
+        for others in ("\t\r\n", "\t\r\f", "\t\r\n\f"):
+            assert office.spaced(text, others) == re.sub(f"[ {others}]+", " ", text)
+        assert filetexts.one_line(text) == re.sub(filetexts.ODD.pattern.replace("\x1f", "\x20").replace("\\x1f", "\\x20") + "+", " ", text).strip(" ")
+
+
+def test_texts_of_single_spaces_pass_without_a_pattern(monkeypatch):
+    text = "an address in one line " * 2000
+    files = {f: filetexts.office_file(f, text.strip(), 7) for f in ("odt", "epub")}
+    calls = []
+    plain = re.sub
+    monkeypatch.setattr(office.re, "sub", lambda pattern, *a, **k: calls.append(pattern) or plain(pattern, *a, **k))
+    for f, content in files.items():
+        assert office.from_office(content, f).startswith(text.strip())
+    assert not any(p.startswith("[ ") for p in calls)
