@@ -85,12 +85,22 @@ def find_all(text: Column, pattern: str, valid=None, lead: str = "") -> Column:
     return let(parts_of(text, pattern, lead), of)
 
 
+def form_of(entity_type: str, pattern: str) -> tuple[str, str]:
+    return SCAN[entity_type] if entity_type in SCAN and PATTERN[entity_type] == pattern else ("", pattern)
+
+
 def scan(text: Column, entity_type: str, pattern: str, valid=None) -> Column:
     """find_all for a type's pattern, by the form in SCAN that long texts allow; other patterns are taken as they are."""
-    lead, own = SCAN[entity_type] if entity_type in SCAN and PATTERN[entity_type] == pattern else ("", pattern)
+    lead, own = form_of(entity_type, pattern)
     return find_all(text, own, valid, lead)
 
 
+def scanned_values(text: Column, entity_type: str, pattern: str) -> Column:
+    """The values of scan(), valid or not, for which no places are worked out."""
+    lead, own = form_of(entity_type, pattern)
+    return F.filter(parts_of(text, own, lead), lambda _, i: i % 2 == 1)
+
+
 def byte_places(text: Column, places: Column) -> Column:
     """Bytes before places given in characters, held within the text; one for each, in their order."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, sqlfuncs
 from ..functions import patterns as P
-from ..functions.spans import byte_offset, find_all, scan, snapped
+from ..functions.spans import byte_offset, find_all, scan, scanned_values, snapped
 from ..operators import external, image, layout
 from ..operators.detect import counts, detect, entities_of
 from ..operators.engine import Readers, redact_files
@@ -207,7 +207,7 @@ def sql_checks(spark, sf_dir):
     made_ = all_made(spark, sf_dir)
     found = None
     for entity in SQL_CHECKS:
-        one = made_.select("doc_id", F.lit(entity).alias("entity_type"), F.explode(scan(F.col("text"), entity, P.PATTERN[entity])).alias("s")).select("doc_id", "entity_type", F.col("s.value").alias("v"))
+        one = made_.select("doc_id", F.lit(entity).alias("entity_type"), F.explode(scanned_values(F.col("text"), entity, P.PATTERN[entity])).alias("v"))
         found = one if found is None else found.unionByName(one)
     arms = " ".join(f"WHEN '{entity}' THEN {call}" for entity, (call, _) in SQL_CHECKS.items())
     return spark.sql(f"SELECT doc_id, entity_type, v, coalesce(CASE entity_type {arms} END, false) AS ok FROM {{found}}", found=found)

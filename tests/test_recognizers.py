@@ -159,3 +159,19 @@ def test_a_recognizer_of_ones_own(spark):
     df = spark.createDataFrame([("bob at x.org, c@d.io, #1234 #0000",)], "text string")
     got = df.select(entities_of("text", ["EMAIL_ADDRESS", "ORDER_NO"], more=(mine, other)).alias("e")).first()["e"]
     assert [(e["entity_type"], e["value"]) for e in got] == [("EMAIL_ADDRESS", "c@d.io"), ("EMAIL_ADDRESS", "bob at x.org"), ("ORDER_NO", "#1234")]
+
+
+def test_values_of_a_scan_without_places(spark):
+    from pyspark.sql import functions as F
+
+    from penumbra.functions import patterns as P
+    from penumbra.functions.spans import scan, scanned_values
+    from penumbra.plans import catalogue
+
+    texts = ["", "a.b@c.io x@y.org, 123-45-6789 \u0001 123 45 6789", "DE12 3456 7890 FR12345678901 é", "no", None, "+33 1 23 45 67 89 4111 1111 1111 1111"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for entity in P.ORDER:
+        both = rows.select(scan(F.col("text"), entity, P.PATTERN[entity])["value"].alias("a"), scanned_values(F.col("text"), entity, P.PATTERN[entity]).alias("b")).collect()
+        assert all((r["a"] or []) == (r["b"] or []) for r in both)
+    plan = catalogue.QUERIES["sql_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "4294967296" not in plan
