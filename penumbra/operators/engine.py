@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,20 +70,58 @@ def joined(words: list[dict]) -> tuple[str, list[tuple]]:
     return "".join(text), spans
 
 
-def own_pages(content: bytes, readers: Readers) -> tuple[list[dict], int]:
-    """A PDF's words and number of pages by its text layer; pages that only show pictures are read by the OCR, which takes a
-    renderer too. Without them such a page is refused, not passed on unread."""
-    words, n, blind = pdf.words(content)
+class Columns:
+    """A row's list of structs as a list a field."""
+
+    __slots__ = ("of",)
+
+    def __init__(self, *of: list):
+        self.of = of
+
+    def __len__(self) -> int:
+        return len(self.of[0])
+
+    def __iter__(self) -> Iterator[tuple]:
+        return zip(*self.of, strict=True)
+
+
+def array(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of rows' values, of which lists of structs may be Columns."""
+    if not any(isinstance(v, Columns) for v in values):
+        return pa.array(values, kind)
+    if not all(v is None or isinstance(v, Columns) for v in values):
+        return pa.array([list(v) if isinstance(v, Columns) else v for v in values], kind)
+    there = [v for v in values if v is not None]
+    ends = list(accumulate((0 if v is None else len(v) for v in values), initial=0))
+    offsets = pa.array([*(None if v is None else at for v, at in zip(values, ends, strict=False)), ends[-1]], pa.int32())
+    fields = list(kind.value_type)
+    inner = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(v.of[i] for v in there)), f.type) for i, f in enumerate(fields)], fields=fields)
+    return pa.ListArray.from_arrays(offsets, inner, type=kind)
+
+
+def joined_columns(texts: list[str], *places: list) -> tuple[str, Columns]:
+    """joined() for words that are not empty, as columns of their texts, pages, x, y, widths and heights."""
+    text = " ".join(texts)
+    sizes = list(map(len, texts)) if text.isascii() else [len(t.encode("utf-8", "replace")) for t in texts]
+    ends = [e + i for i, e in enumerate(accumulate(sizes))]
+    return text, Columns([e - n for e, n in zip(ends, sizes, strict=True)], ends, *places)
+
+
+def own_pages(content: bytes, readers: Readers) -> tuple[str, Columns | list[tuple], int]:
+    """A PDF's text, joined() words and number of pages by its text layer; pages that only show pictures are read by the OCR, which
+    takes a renderer too. Without them such a page is refused, not passed on unread."""
+    words, n, blind = pdf.placed(content)
     if not blind:
-        return words, n
+        return (*joined_columns(*words), n)
     if readers.ocr is None or readers.render is None:
         raise Unsupported(f"pages without a text layer ({', '.join(map(str, blind))}) need an OCR and a renderer")
     pictures = readers.render(content, layout.IMAGE_DPI)
     read_ = [{**w, "page": i} for i in blind for w in readers.ocr(pictures[i - 1])]
-    return sorted(words + read_, key=lambda w: w["page"]), n
+    named = [dict(zip(("word", "page", "x", "y", "width", "height"), w, strict=True)) for w in zip(*words, strict=True)]
+    return (*joined(sorted(named + read_, key=lambda w: w["page"])), n)
 
 
-def ingest_one(kind: str, format: str | None, content: bytes, readers: Readers, strategy: str, boxes: bool) -> tuple[str | None, str | None, list[tuple], int | None]:
+def ingest_one(kind: str, format: str | None, content: bytes, readers: Readers, strategy: str, boxes: bool) -> tuple[str | None, str | None, Columns | list[tuple], int | None]:
     """(text, markdown, words, pages) of a file that is no plain text."""
     if kind == "image":
         if strategy == "documents":
@@ -103,8 +142,12 @@ def ingest_one(kind: str, format: str | None, content: bytes, readers: Readers,
                 markdown = ""
             if markdown.strip() or strategy == "documents":
                 return markdown, markdown, [], None
-        words, n = readers.pages(content) if readers.pages else own_pages(content, readers)
-        return (t := joined(words))[0], None, t[1], n
+        if readers.pages is None:
+            text, words, n = own_pages(content, readers)
+        else:
+            words, n = readers.pages(content)
+            text, words = joined(words)
+        return text, None, words, n
     if strategy == "layout":
         raise Unsupported("the layout strategy reads no documents")
     use = EXTRACTORS | readers.extractors
@@ -141,7 +184,7 @@ def added(df: DataFrame, columns: dict[str, tuple[str, pa.DataType]], work: Call
         for b in batches:
             for part in by_size(b, size_of):
                 made = [work(row) for row in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
-                more = [pa.array([m[i] for m in made], t) for i, (_, t) in enumerate(columns.values())]
+                more = [array([m[i] for m in made], t) for i, (_, t) in enumerate(columns.values())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *columns])
 
     return df.mapInArrow(run, schema)

@@ -56,30 +56,31 @@ def text_pdf(text: str, modern: bool = False, size: int = 10) -> bytes:
     to Unicode. `modern`: objects in streams, tables as streams with predictors; else plain, each word placed by itself."""
     import zlib
 
+    most = 500_000 // size
     number = {c: i for i, c in enumerate(dict.fromkeys(" " + text), 1)}
     coded, wide = {ord(c): f"{i:04X}" for c, i in number.items()}, {c: glyph_width(c) for c in number}
     sizes = {word: sum([wide[c] for c in word]) + 300 for word in set(text.split())}
+    shown = {word: word.translate(coded) for word in sizes}
     lines: list[list[str]] = []
     for paragraph in text.split("\n"):
         lines.append([])
         used = 0
         for word in paragraph.split():
             n = sizes[word]
-            if lines[-1] and used + n > 500_000 // size:
+            if used and used + n > most:
                 lines.append([])
                 used = 0
             lines[-1].append(word)
             used += n
-    code = lambda t: t.translate(coded)
     pages = []
     for at in range(0, max(1, len(lines)), 55):
         out = []
         for k, line in enumerate(lines[at : at + 55]):
             y, x = 780 - 13.5 * k, 50.0
             if modern and line:
-                out.append(f"BT /F {size} Tf {x} {y} Td <{code(' '.join(line))}> Tj ET")
+                out.append(f"BT /F {size} Tf {x} {y} Td <{coded[32].join([shown[word] for word in line])}> Tj ET")
             for word in () if modern else line:
-                out.append(f"BT /F {size} Tf {x:.2f} {y} Td <{code(word)}> Tj ET")
+                out.append(f"BT /F {size} Tf {x:.2f} {y} Td <{shown[word]}> Tj ET")
                 x += sizes[word] * size / 1000
         pages.append(zlib.compress("\n".join(out).encode()))
     cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange\n" + "\n".join(f"1 beginbfchar <{i:04X}> <{c.encode('utf-16-be', 'surrogatepass').hex()}> endbfchar" for c, i in number.items())

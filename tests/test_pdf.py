@@ -5,9 +5,11 @@ import random
 import time
 import zlib
 
+import pyarrow as pa
 import pytest
 from pdfs import classic, one_page, stream
 
+from penumbra.operators import engine
 from penumbra.operators.engine import Readers, redact_files
 from penumbra.plans import catalogue
 from penumbra.plans.synthetic import text_pdf
@@ -225,6 +227,40 @@ def test_plain_strings_are_not_placed_glyph_by_glyph(monkeypatch):
     assert not glyphs
 
 
+ALONE = [
+    b"".join(b"BT /F 10 Tf %d %d Td (word%d) Tj ET\n" % (50 + 60 * (i % 5), 700 - 14 * (i // 5), i) for i in range(40)),
+    b"BT /F 10 Tf 50 700 Td (4111) Tj ET BT /F 10 Tf 72.5 700 Td (1111 and ) Tj ET BT /F 12 Tf 118 700 Td (more) Tj ET BT /F 10 Tf 50 650 Td () Tj ET BT /F 9. Tf .5 600 Td <48 69> Tj ET",
+    b"3 Tc 2 Ts 80 Tz BT /F 10 Tf 50 700 Td (one) Tj ET BT /F 10 Tf +80 700 Td < 4869> Tj ET 0 Tc q 2 0 0 2 5 5 cm BT /F 5 Tf 20 300 Td (big) Tj ET BT /F 5 Tf 40 300 Td <414243> Tj ET Q BT /F 5 Tf 99 99 Td (end) Tj ET (more) Tj",
+    b"-1 0 0 -1 600 800 cm BT /F 10 Tf 50 700 Td (turned over) Tj ET BT /F 10 Tf 50 650 Td (\351t\351 ) Tj ET BT /F 10 Tf 150 650 Td (  ) Tj ET BT /F 10 Tf 250 650 Td (\001) Tj ET BT /G 10 Tf 350 650 Td (other) Tj ET",
+    b"9 Tw BT /F 10 Tf 50 700 Td (with spacing) Tj ET 0 Tw BT /F 0 Tf 50 600 Td (none) Tj ET BT /F 10 Tf 50 500 Td (open) Tj ET 0 1 -1 0 0 0 cm BT /F 10 Tf 50 -400 Td (upwards) Tj ET BT /F 10 Tf 90 -400 Td (so) Tj ET",
+]
+
+
+@pytest.mark.parametrize("show", ALONE)
+def test_text_objects_at_once_are_text_objects_one_by_one(show, monkeypatch):
+    file = one_page(show)
+    found, text = pdf.words(file)[0], pdf.markdown(file)
+    monkeypatch.setattr(pdf.Page, "strings", lambda *_: None)
+    single = pdf.words(file)[0]
+    assert single and [w["word"] for w in found] == [w["word"] for w in single] and text == pdf.markdown(file)
+    assert all(abs(a[k] - b[k]) < 1e-9 for a, b in zip(found, single, strict=True) for k in ("page", "x", "y", "width", "height"))
+
+
+def test_words_placed_by_themselves_are_read_at_once(monkeypatch):
+    strings = []
+    monkeypatch.setattr(pdf.Page, "string", lambda *_: strings.append(1))
+    text = "an address 1 rue de la Paix, née x@b.io " * 400
+    assert [w["word"] for w in pdf.words(text_pdf(text))[0]] == text.split()
+    assert not strings
+
+
+def test_arrays_of_rows_as_columns():
+    rows = [[(0, 1, 1, 1.0, 2.0, 3.0, 4.0), (2, 5, 1, 0.5, 0.5, 0.5, 0.5)], None, [], [(0, 3, 2, 9.0, 8.0, 7.0, 6.0)]]
+    columns = [None if r is None else engine.Columns(*map(list, zip(*r, strict=True))) if r else engine.Columns(*([] for _ in range(7))) for r in rows]
+    want = pa.array(rows, engine.WORDS)
+    assert engine.array(columns, engine.WORDS) == want and engine.array([*columns[:3], rows[3]], engine.WORDS) == want and engine.array(rows, engine.WORDS) == want
+
+
 @pytest.mark.parametrize("query", ["pdf_redacted", "office_redacted"])
 def test_files_are_written_once(spark, query):
     plan = catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
