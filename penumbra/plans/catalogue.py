@@ -537,7 +537,7 @@ def as_files(spark, sf_dir, kind: str, write) -> DataFrame:
             made = [write(int(i), filetexts.one_line(t)) for i, t in zip(f["doc_id"], f["text"], strict=True)]
             yield f[["doc_id"]].assign(content=[m[0] for m in made], format=[m[1] for m in made])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, content binary, format string").withColumn("kind", F.lit(kind))
+    return table(spark, sf_dir, "documents", costly=True).select("doc_id", "text").mapInPandas(run, "doc_id long, content binary, format string").withColumn("kind", F.lit(kind))
 
 
 def masked_files(files: DataFrame, **options) -> DataFrame:

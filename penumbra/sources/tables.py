@@ -28,21 +28,24 @@ def by_size(batch: pa.RecordBatch, column: str | int, rows: int = SLICE_ROWS, si
         yield batch.slice(lo)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+def table(spark: SparkSession, folder: str, name: str, costly: bool = False) -> DataFrame:
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"), costly)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, costly: bool = False) -> DataFrame:
     """The rows of a plain scan; dealt anew where its few splits would leave cores idle.
 
     A file of one row group is one task however many splits it has. Only scans with few splits are looked at, by
     counting rows a split, which reads file footers alone; scans of large tables stay as they are, without a shuffle.
+    `costly`: a row takes far longer than moving it, so few splits are always dealt, since 8 on 6 cores take two turns.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() > FEW_SPLITS * cores:
         return scan
     rows = [n for _, n in scan.groupBy(F.spark_partition_id()).count().collect()]
-    return scan.repartition(2 * cores) if rows and sum(rows) > cores and 2 * len(rows) < cores else scan
+    if sum(rows) <= cores or not costly and 2 * len(rows) >= cores:
+        return scan
+    return scan.repartition((FEW_SPLITS if costly else 2) * cores)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -254,6 +254,14 @@ def test_words_placed_by_themselves_are_read_at_once(monkeypatch):
     assert not strings
 
 
+def test_files_of_few_splits_are_dealt_to_more_tasks_than_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 100 * cores, 1, cores + 1).selectExpr("id AS doc_id", "'a' AS text")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = catalogue.as_files(spark, str(tmp_path), "pdf", None)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {4 * cores}, true" in plan
+
+
 def test_arrays_of_rows_as_columns():
     rows = [[(0, 1, 1, 1.0, 2.0, 3.0, 4.0), (2, 5, 1, 0.5, 0.5, 0.5, 0.5)], None, [], [(0, 3, 2, 9.0, 8.0, 7.0, 6.0)]]
     columns = [None if r is None else engine.Columns(*map(list, zip(*r, strict=True))) if r else engine.Columns(*([] for _ in range(7))) for r in rows]
